@@ -147,3 +147,48 @@ def scan(
         final.append(v.alias(name))
     keep = [c for c in df.columns if c not in specs]
     return out.select(*keep, *final)
+
+
+def asof(
+    probes: DataFrame,
+    markers: DataFrame,
+    key: list[str],
+    probe_t: str,
+    marker_t: str,
+    marker_order: str,
+    out: str,
+    bucket_width: int,
+    inclusive: bool = True,
+) -> DataFrame:
+    """For every probe row, the last marker row (as struct ``out``) of the same key with
+    ``marker_t <= probe_t`` (``<`` when not inclusive); null if none.
+
+    Sort-based as-of join: both sides are unioned, ordered by time and the marker
+    struct is carried forward with a bucketed last-non-null scan. Markers at equal
+    time are ordered by ``marker_order``.
+    """
+    mcols = [c for c in markers.columns]
+    mstruct = F.struct(*[F.col(c) for c in mcols])
+    mtype = markers.select(mstruct.alias("m")).schema["m"].dataType
+    pstruct = F.struct(*[F.col(c) for c in probes.columns])
+    ptype = probes.select(pstruct.alias("p")).schema["p"].dataType
+    probe_prio = 1 if inclusive else 0
+    a = probes.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
+        F.col(probe_t).cast("bigint").alias("_t"),
+        F.lit(probe_prio).alias("_prio"),
+        F.lit(None).cast("bigint").alias("_o"),
+        pstruct.alias("_p"),
+        F.lit(None).cast(mtype).alias("_m"),
+    )
+    b = markers.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
+        F.col(marker_t).cast("bigint").alias("_t"),
+        F.lit(1 - probe_prio).alias("_prio"),
+        F.col(marker_order).cast("bigint").alias("_o"),
+        F.lit(None).cast(ptype).alias("_p"),
+        mstruct.alias("_m"),
+    )
+    kcols = [f"_k{i}" for i in range(len(key))]
+    s = scan(a.unionByName(b), kcols, ["_t", "_prio", "_o"], {"_last": run_last(F.col("_m"))}, bucket_width)
+    return s.where(F.col("_p").isNotNull()).select("_p.*", F.col("_last").alias(out))
