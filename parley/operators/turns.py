@@ -324,3 +324,32 @@ def latest_interim(events: DataFrame, p: Params) -> DataFrame:
              & (F.col("playing_id").isNull() | segment_allows_interruptions(F.col("playing_id"))))
     return s.select("session_id", "event_id", "t_us", interim_text(F.col("event_id")).alias("response_text"),
                     F.col("playing_id").alias("playing_speech_id"), start.alias("starts_reply"))
+
+
+def say_routing(events: DataFrame, p: Params) -> DataFrame:
+    """A say request (test derivation: VAD rows) during a playing speech whose nesting is
+    unfinished becomes a nested child of it; otherwise it is enqueued. Uses the recorded
+    playing speech (as-of), so it is not sequential."""
+    s = playing_at_events(events, p).where(F.col("event_type") == VAD_DONE)
+    nested = F.col("playing_id").isNotNull()
+    return s.select(
+        F.col("event_id").alias("speech_id"), "session_id", "t_us",
+        F.when(nested, F.col("playing_id")).alias("parent_id"),
+        F.when(nested, F.lit("nested")).otherwise(F.lit("enqueue")).alias("route"),
+        F.when(nested, F.lit(1)).otherwise(F.lit(0)).alias("depth"))
+
+
+def nested_rollup(events: DataFrame, p: Params) -> DataFrame:
+    """Children per parent speech (sorted ids), their count and depth, and whether the
+    parent finished (its agent segment closed)."""
+    from parley.operators.segments import speech_segments
+
+    r = say_routing(events, p).where(F.col("route") == "nested")
+    g = r.groupBy("session_id", F.col("parent_id")).agg(
+        F.sort_array(F.collect_list("speech_id")).alias("children"),
+        F.count(F.lit(1)).alias("n_children"), F.max("depth").alias("max_depth"))
+    closed = speech_segments(events, p).where(F.col("party") == "agent").select(
+        F.col("start_event_id").alias("parent_id"), F.lit(True).alias("_closed"))
+    return g.join(closed, "parent_id", "left").select(
+        "session_id", "parent_id", "children", "n_children", "max_depth",
+        F.coalesce(F.col("_closed"), F.lit(False)).alias("finished"))
