@@ -353,3 +353,29 @@ def nested_rollup(events: DataFrame, p: Params) -> DataFrame:
     return g.join(closed, "parent_id", "left").select(
         "session_id", "parent_id", "children", "n_children", "max_depth",
         F.coalesce(F.col("_closed"), F.lit(False)).alias("finished"))
+
+
+def conversation_commit(events: DataFrame, p: Params) -> DataFrame:
+    """Chat context in time order: user audio turns (at user END), final agent replies
+    (non-empty, at agent START) and played agent speech (at agent END; '...' appended when
+    interrupted). Turn numbers come from a running count (skew-safe row_number)."""
+    from parley.operators.segments import speech_segments
+
+    user = events.where(F.col("event_type") == USER_END).select(
+        "session_id", "event_id", "t_us", F.lit("user").alias("role"), F.lit("user_audio").alias("source"),
+        F.lit(None).cast("string").alias("text"))
+    final = events.where(F.col("event_type") == AGENT_START).select(
+        "session_id", "event_id", "t_us", F.lit("assistant").alias("role"), F.lit("final_reply").alias("source"),
+        interim_text(F.col("event_id")).alias("text")).where(F.length("text") > 0)
+    seg = speech_segments(events, p).where(F.col("party") == "agent").select(
+        F.col("end_event_id").alias("event_id"), "start_event_id")
+    im = interrupt_match(events, p).select(F.col("speech_id").alias("start_event_id"), "interrupt_us")
+    ends = events.where(F.col("event_type") == AGENT_END).join(seg, "event_id").join(im, "start_event_id", "left")
+    txt = interim_text(F.col("start_event_id"))
+    played = ends.select(
+        "session_id", "event_id", "t_us", F.lit("assistant").alias("role"), F.lit("played_speech").alias("source"),
+        F.when(F.col("interrupt_us").isNotNull(), F.concat(txt, F.lit("..."))).otherwise(txt).alias("text"),
+    ).where(F.length(txt) > 0)
+    allrows = user.unionByName(final).unionByName(played)
+    s = scan(allrows, K, O, {"turn": run_sum(F.lit(1).cast("bigint"))}, p.bucket_us)
+    return s.select("session_id", F.col("turn").cast("bigint"), "role", "source", "event_id", "text")

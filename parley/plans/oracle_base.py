@@ -63,10 +63,11 @@ segments AS (
 """
 
 
-def sql(body: str, ctes: str = "") -> str:
+def sql(body: str, ctes: str = "", recursive: bool = False) -> str:
     """Oracle statement: adapters + optional extra CTEs + body."""
     extra = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
-    return f"WITH {ADAPTERS.strip()}{extra}\n{body.strip()}"
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{head} {ADAPTERS.strip()}{extra}\n{body.strip()}"
 
 H = 3_600_000_000  # one reference second on the EV tables (1 hour)
 STRIP = r"regexp_replace({x}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
