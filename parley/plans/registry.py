@@ -27,4 +27,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # Importing the plan modules fills the registry.
-    from parley.plans import speech, playout, text, audio, telemetry, streams, hooks  # noqa: F401
+    from parley.plans import speech, playout, text, audio, telemetry, hooks  # noqa: F401
+    from parley.plans import streams  # noqa: F401  (reuses oracles of the modules above)

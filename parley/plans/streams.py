@@ -1 +1,61 @@
-"""Queries (filled in below)."""
+"""Streaming twins: each runs availableNow over staged input and equals its batch query,
+so the batch query's oracle statement is reused."""
+
+from __future__ import annotations
+
+from parley.operators import turns
+from parley.params import DEFAULT, EVENTS as P
+from parley.plans import audio as qa, speech as qs, telemetry as qt, text as qx
+from parley.plans.oracle_base import sql
+from parley.plans.registry import ORACLES, query
+from parley.sources import agent_events, audio_vectors, chunks
+from parley.streaming import twins
+
+TAIL_SQL = sql(f"""
+SELECT session_id, event_id, which, t_us, y, kind, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY session_id, which ORDER BY t_us DESC, event_id DESC) AS BIGINT) AS rank
+  FROM tel WHERE kind = 'value') WHERE rank <= {P.telemetry_points}
+UNION ALL
+SELECT e.session_id, e.event_id, e.which, e.t_us, CAST(NULL AS DOUBLE), 'event', CAST(NULL AS BIGINT)
+FROM tel e LEFT JOIN (SELECT session_id, max(t_us) AS mx FROM tel WHERE kind = 'value' GROUP BY session_id) m
+  USING (session_id)
+WHERE e.kind = 'event' AND (m.mx IS NULL OR e.t_us >= m.mx - {P.us(P.telemetry_retention)})
+""", qt.TEL)
+
+
+@query("stream_speech_segments", ORACLES["speech_segments"])
+def q_stream_speech_segments(spark, d):
+    return twins.run_segments(spark, agent_events(spark, d))
+
+
+@query("stream_debounce", ORACLES["endpoint_debounce"])
+def q_stream_debounce(spark, d):
+    return twins.run_debounce(spark, agent_events(spark, d), P)
+
+
+@query("stream_agent_state", ORACLES["agent_state_timeline"])
+def q_stream_agent_state(spark, d):
+    return twins.run_agent_state(spark, agent_events(spark, d), P)
+
+
+@query("stream_throttle", ORACLES["throttle_stream"])
+def q_stream_throttle(spark, d):
+    return twins.run_throttle(spark, chunks(spark, d), DEFAULT)
+
+
+@query("stream_telemetry_tail", TAIL_SQL)
+def q_stream_telemetry_tail(spark, d):
+    return twins.run_telemetry_tail(spark, qt.tel(spark, d), P)
+
+
+@query("stream_usage", ORACLES["usage_summary"])
+def q_stream_usage(spark, d):
+    return twins.run_usage(spark, turns.metrics(agent_events(spark, d), P))
+
+
+@query("stream_asset_dedupe", ORACLES["asset_sink"])
+def q_stream_asset_dedupe(spark, d):
+    return twins.run_asset_dedupe(spark, audio_vectors(spark, d))
+
+
+_ = (qs, qa, qx)  # the twins reuse oracles registered by these modules
