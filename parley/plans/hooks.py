@@ -1 +1,72 @@
-"""Queries (filled in below)."""
+"""Hook queries with the deterministic stubs (no network)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.operators import hooks as hk
+from parley.operators import text as tx
+from parley.params import DEFAULT
+from parley.plans.oracle_base import sql, strip
+from parley.plans.registry import query
+from parley.sources import audio_vectors, chat_messages, transcripts
+
+WORD = r"'[^ \t\n\r\f]+'"
+
+
+@query("batch_reply", sql(f"""
+SELECT session_id, turn, CAST(generate_subscripts(ws, 1) AS INTEGER) AS seq,
+       unnest(list_transform(ws, lambda w, i: CASE WHEN i = 1 THEN w ELSE ' ' || w END)) AS delta,
+       CAST(NULL AS VARCHAR) AS error
+FROM (SELECT session_id, turn, regexp_extract_all(text, {WORD}) AS ws FROM chat_messages WHERE role = 'user')
+"""))
+def q_batch_reply(spark, d):
+    """A model call at every user message with the context up to it."""
+    ctx = tx.chat_context_snapshot(chat_messages(spark, d), DEFAULT)
+    req = ctx.join(chat_messages(spark, d).where("role = 'user'").select("session_id", "turn"), ["session_id", "turn"])
+    return hk.batch_reply(req.withColumnRenamed("context", "history"))
+
+
+@query("text_hook", sql(f"""
+SELECT session_id, turn, {strip('text')} AS tts_text,
+       CASE WHEN text IS NULL THEN 'hook_returned_none' ELSE 'ok' END AS status
+FROM chat_messages WHERE role = 'assistant'
+"""))
+def q_text_hook(spark, d):
+    """before-TTS hook that strips surrounding whitespace."""
+    from parley.functions.text import strip as strip_col
+
+    a = chat_messages(spark, d).where("role = 'assistant'")
+    return hk.text_hook(a, strip_col)
+
+
+@query("score_turns", sql("SELECT doc_id, lang, (n_chars % 100) / 100.0 AS p_end_of_turn FROM transcripts"))
+def q_score_turns(spark, d):
+    return hk.score_turns(transcripts(spark, d))
+
+
+@query("synthesize", sql(f"""
+SELECT session_id, turn, CAST(generate_subscripts(ws, 1) AS INTEGER) AS frame_idx,
+       unnest(list_transform(ws, lambda w: CAST(240 * length(w) AS BIGINT))) AS samples_per_channel,
+       24000 AS sample_rate
+FROM (SELECT session_id, turn, regexp_extract_all(text, {WORD}) AS ws FROM chat_messages WHERE role = 'assistant')
+"""))
+def q_synthesize(spark, d):
+    return hk.synthesize(chat_messages(spark, d).where("role = 'assistant'"))
+
+
+@query("vad", sql("""
+SELECT session_id, vec_id, event_type, probability FROM (
+  SELECT session_id, vec_id, probability, unnest([
+           'vad_inference_done',
+           CASE WHEN sp AND NOT coalesce(was, false) THEN 'start_of_speech'
+                WHEN NOT sp AND coalesce(was, false) THEN 'end_of_speech' END]) AS event_type
+  FROM (SELECT *, lag(sp) OVER (PARTITION BY session_id ORDER BY vec_id) AS was
+        FROM (SELECT session_id, vec_id, probability, probability >= 0.5 AS sp
+              FROM (SELECT session_id, vec_id,
+                           least(list_max(list_transform(samples, lambda x: abs(CAST(x AS DOUBLE)))), 1.0) AS probability
+                    FROM audio_vectors))))
+WHERE event_type IS NOT NULL
+"""))
+def q_vad(spark, d):
+    return hk.vad(audio_vectors(spark, d), DEFAULT)
