@@ -15,9 +15,15 @@ def peak(samples: Column) -> Column:
 
 
 def normalize(samples: Column) -> Column:
-    """y / max|y| in float32; silent input (peak 0) gives null instead of NaN."""
+    """y / max|y| in float32; silent input (peak 0) gives null instead of NaN.
+
+    The peak is paired with every element (``zip_with`` over ``array_repeat``) so it is
+    evaluated once per row; referencing it inside the lambda would re-evaluate it per
+    element once Catalyst inlines the projection.
+    """
     pk = F.nullif(peak(samples), F.lit(0.0))
-    return F.when(pk.isNotNull(), F.transform(samples, lambda x: (x.cast("double") / pk).cast("float")))
+    return F.when(pk.isNotNull(), F.zip_with(samples, F.array_repeat(pk, F.size(samples)),
+                                             lambda x, p: (x.cast("double") / p).cast("float")))
 
 
 def pcm16(samples: Column) -> Column:

@@ -75,39 +75,40 @@ def scan(
     w_in = Window.partitionBy(*key, _B).orderBy(*ocols)
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    inner = {}
-    aggs = []
+    inner = {"_is_last": F.lead(F.lit(1)).over(w_in).isNull()}
+    summary_cols = []
     for name, s in specs.items():
         v = f"_v_{name}"
         data = data.withColumn(v, s.expr)
         if s.kind == "sum":
             inner[name] = F.sum(v).over(w_run)
-            aggs.append(F.sum(v).alias(f"_a_{name}"))
         elif s.kind == "max":
             inner[name] = F.max(v).over(w_run)
-            aggs.append(F.max(v).alias(f"_a_{name}"))
         elif s.kind == "min":
             inner[name] = F.min(v).over(w_run)
-            aggs.append(F.min(v).alias(f"_a_{name}"))
         elif s.kind == "last":
             inner[name] = F.last(v, ignorenulls=True).over(w_run)
-            aggs.append(
-                F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(*ocols))).alias(f"_a_{name}")
-            )
         elif s.kind == "prev":
             inner[name] = F.lag(v).over(w_in)
             inner[f"_first_{name}"] = F.lag(F.lit(1)).over(w_in).isNull()
-            aggs.append(F.max_by(F.col(v), F.struct(*ocols)).alias(f"_a_{name}"))
         elif s.kind == "next":
             inner[name] = F.lead(v).over(w_in)
             inner[f"_last_{name}"] = F.lead(F.lit(1)).over(w_in).isNull()
-            aggs.append(F.min_by(F.col(v), F.struct(*ocols)).alias(f"_a_{name}"))
+            inner[f"_head_{name}"] = F.first(v).over(w_run)
         else:
             raise ValueError(s.kind)
+        # bucket summary = the running value at the bucket's last row
+        if s.kind in ("sum", "max", "min", "last"):
+            summary_cols.append(F.col(f"_i_{name}").alias(f"_a_{name}"))
+        elif s.kind == "prev":
+            summary_cols.append(F.col(v).alias(f"_a_{name}"))
+        else:
+            summary_cols.append(F.col(f"_i__head_{name}").alias(f"_a_{name}"))
 
     windowed = data.select("*", *[c.alias(f"_i_{n}") for n, c in inner.items()])
-    # One summary row per (session, bucket): no exchange, the window already partitioned so.
-    summary = windowed.groupBy(*key, _B).agg(*aggs)
+    # One summary row per (session, bucket), read off the windowed rows: both branches
+    # share the same exchange (reused), so the input is computed once.
+    summary = windowed.where(F.col("_i__is_last")).select(*key, _B, *summary_cols)
     wb = Window.partitionBy(*key).orderBy(_B)
     wb_prev = wb.rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
