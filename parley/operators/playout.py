@@ -74,7 +74,8 @@ def playout_queue(speeches: DataFrame, frames: DataFrame, p: Params) -> DataFram
     start = S + max over earlier-or-equal rows of (arrival - S). Two exact scans.
     """
     s = speech_durations(speeches, frames).select("speech_id", "session_id", "t_us", "dur_us")
-    s = scan(s, ["session_id"], ["t_us", "speech_id"], {"c_incl": run_sum(F.col("dur_us"))}, p.bucket_us)
+    s = scan(s, ["session_id"], ["t_us", "speech_id"], {"c_incl": run_sum(F.col("dur_us"))}, p.bucket_us,
+             keep_bucket=True)  # the second scan reuses the partitioning
     s = s.withColumn("s_excl", F.col("c_incl") - F.col("dur_us"))
     s = scan(s, ["session_id"], ["t_us", "speech_id"], {"m": run_max(F.col("t_us") - F.col("s_excl"))}, p.bucket_us)
     start = (F.col("s_excl") + F.col("m")).cast("bigint")

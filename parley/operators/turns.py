@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import ends_with_punct, strip, word_count
-from parley.operators.scan import asof, next_, prev, run_last, run_sum, scan
+from parley.operators.scan import asof_many, first_after, next_, prev, run_last, run_sum, scan
 from parley.operators.segments import AGENT_END, AGENT_START, USER_END, USER_START, VAD_DONE
 from parley.params import Params
 
@@ -83,40 +83,57 @@ def endpoint_debounce(events: DataFrame, p: Params, delay_us: int | None = None)
     )
 
 
-def _user_ends_with_fires(events: DataFrame, p: Params) -> DataFrame:
-    """User END rows with the number of debounce fires before them (= transcript turn)."""
+def _user_ends(events: DataFrame, p: Params) -> DataFrame:
+    """User END rows with: k (1-based END number), next user edge time, the last user START
+    and last VAD inference before it, fired (debounce) and turn_id (fires before the row).
+
+    One scan over START/END/VAD rows gives k, the next edge and the last times; one more
+    scan (same partitioning, bucket reused) counts the fires.
+    """
     d = p.us(p.final_transcript_timeout)
-    e = events.where(F.col("event_type").isin(USER_START, USER_END)).select("session_id", "event_id", "t_us", "event_type")
-    s = scan(e, K, O, {"next_t": next_(F.col("t_us"))}, p.bucket_us).where(F.col("event_type") == USER_END)
+    e = events.where(F.col("event_type").isin(USER_START, USER_END, VAD_DONE)).select(
+        "session_id", "event_id", "t_us", "event_type")
+    is_user = F.col("event_type").isin(USER_START, USER_END)
+    s = scan(e, K, O, {
+        "next_t": first_after(F.when(is_user, F.col("t_us"))),
+        "k": run_sum(F.when(F.col("event_type") == USER_END, F.lit(1)).otherwise(F.lit(0)).cast("bigint")),
+        "last_start": run_last(F.when(F.col("event_type") == USER_START, F.col("t_us"))),
+        "last_vad": run_last(F.when(F.col("event_type") == VAD_DONE, F.col("t_us"))),
+    }, p.bucket_us, keep_bucket=True).where(F.col("event_type") == USER_END)
     s = s.withColumn("fired", F.col("next_t").isNull() | (F.col("next_t") > F.col("t_us") + F.lit(d)))
     s = scan(s, K, O, {"fires_incl": run_sum(F.col("fired").cast("bigint"))}, p.bucket_us)
     return s.withColumn("turn_id", (F.col("fires_incl") - F.col("fired").cast("bigint")).cast("bigint"))
 
 
-def user_transcripts(events: DataFrame, chat: DataFrame, p: Params) -> DataFrame:
+def _with_transcripts(ends: DataFrame, chat: DataFrame) -> DataFrame:
     """k-th user END of session s takes the k-th user message of conversation s mod n_conv."""
-    ends = events.where(F.col("event_type") == USER_END).select("session_id", "event_id", "t_us")
-    ends = scan(ends, K, O, {"k": run_sum(F.lit(1).cast("bigint"))}, p.bucket_us)
     users = chat.where(F.col("role") == "user").select("session_id", "turn", "text")
     users = scan(users, K, ["turn"], {"k": run_sum(F.lit(1).cast("bigint"))}, 1 << 20)
     n_conv = chat.agg(F.countDistinct("session_id").alias("n_conv"))
     ends = ends.crossJoin(F.broadcast(n_conv))  # one-row constant: the number of conversations
     ends = ends.withColumn("conv_id", F.pmod(F.col("session_id"), F.col("n_conv")))
     u = users.select(F.col("session_id").alias("conv_id"), "k", F.col("text").alias("transcript"))
-    return ends.join(u, ["conv_id", "k"], "left").select("session_id", "event_id", "t_us", "k", "transcript")
+    return ends.join(u, ["conv_id", "k"], "left").drop("conv_id", "n_conv")
+
+
+def user_transcripts(events: DataFrame, chat: DataFrame, p: Params) -> DataFrame:
+    ends = _user_ends(events, p).select("session_id", "event_id", "t_us", "k")
+    return _with_transcripts(ends, chat)
+
+
+def _piece(transcript: Column) -> Column:
+    return F.when(transcript.isNotNull(), F.concat(F.lit(" "), strip(transcript)))
 
 
 def transcript_accumulate(events: DataFrame, chat: DataFrame, p: Params) -> DataFrame:
-    """' ' + strip(transcript) appended per final transcript; reset when validation fires."""
-    ends = _user_ends_with_fires(events, p).select("session_id", "event_id", "t_us", "turn_id")
-    tr = user_transcripts(events, chat, p).select("session_id", "event_id", "transcript")
-    x = ends.join(tr, ["session_id", "event_id"])
-    piece = F.when(F.col("transcript").isNotNull(), F.concat(F.lit(" "), strip(F.col("transcript"))))
+    """' ' + strip(transcript) appended per final transcript; reset when validation fires.
+    The running text is re-emitted per END, so it is collected within one turn."""
+    x = _with_transcripts(_user_ends(events, p).select("session_id", "event_id", "t_us", "k", "turn_id"), chat)
     from pyspark.sql import Window
     w = Window.partitionBy("session_id", "turn_id").orderBy("t_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return x.select(
         "session_id", "event_id", "t_us", "turn_id",
-        F.array_join(F.collect_list(piece).over(w), "").alias("accumulated"),
+        F.array_join(F.collect_list(_piece(F.col("transcript"))).over(w), "").alias("accumulated"),
     )
 
 
@@ -127,23 +144,17 @@ def endpoint_delay(events: DataFrame, chat: DataFrame, p: Params) -> DataFrame:
     (x 0.75 when the accumulated transcript ends in . ! ?); base = transcript time when
     start < transcript < end, else end; delay = max(0, d - (end - base)).
     Transcript time = last inference event inside the user segment (test derivation).
+    The accumulated transcript's emptiness and final character come from its last
+    non-empty piece: a last-non-null scan of (turn, piece), valid while the turn matches.
     """
-    ends = _user_ends_with_fires(events, p).select("session_id", "event_id", "t_us", "turn_id")
-    tr = user_transcripts(events, chat, p).select("session_id", "event_id", "transcript")
-    x = ends.join(tr, ["session_id", "event_id"])
-    piece = F.when(F.col("transcript").isNotNull(), F.concat(F.lit(" "), strip(F.col("transcript"))))
-    # last non-null piece of the turn decides emptiness and the final character
-    x = scan(x.withColumn("_piece", piece), ["session_id", "turn_id"], O, {"last_piece": run_last(F.col("_piece"))},
+    ends = _user_ends(events, p).select("session_id", "event_id", "t_us", "k", "turn_id", "last_start", "last_vad")
+    x = _with_transcripts(ends, chat).withColumn("_piece", _piece(F.col("transcript")))
+    x = scan(x, K, O, {"_lp": run_last(F.when(F.col("_piece").isNotNull(),
+                                                F.struct(F.col("turn_id").alias("turn"), F.col("_piece").alias("piece"))))},
              p.bucket_us)
-    # start of this user segment and the last inference time before the END
-    e = events.where(F.col("event_type").isin(USER_START, USER_END, VAD_DONE)).select("session_id", "event_id", "t_us", "event_type")
-    e = scan(e, K, O, {
-        "last_start": run_last(F.when(F.col("event_type") == USER_START, F.col("t_us"))),
-        "last_vad": run_last(F.when(F.col("event_type") == VAD_DONE, F.col("t_us"))),
-    }, p.bucket_us).where(F.col("event_type") == USER_END).select("session_id", "event_id", "last_start", "last_vad")
-    x = x.join(e, ["session_id", "event_id"])
-    has_tr = F.col("last_piece").isNotNull()
-    d = F.when(ends_with_punct(F.col("last_piece")), F.lit(p.us(p.min_endpointing_delay * p.punctuation_reduce_factor))) \
+    last_piece = F.when(F.col("_lp.turn") == F.col("turn_id"), F.col("_lp.piece"))
+    has_tr = last_piece.isNotNull()
+    d = F.when(ends_with_punct(last_piece), F.lit(p.us(p.min_endpointing_delay * p.punctuation_reduce_factor))) \
         .otherwise(F.lit(p.us(p.min_endpointing_delay)))
     tt = F.col("last_vad")
     base = F.when((tt > 0) & (tt > F.coalesce(F.col("last_start"), F.lit(0))) & (tt < F.col("t_us")), tt).otherwise(F.col("t_us"))
@@ -231,18 +242,24 @@ def should_interrupt(events: DataFrame, p: Params) -> DataFrame:
                                          interrupted, interim_text(F.col("event_id")), p).alias("should_interrupt"))
 
 
-def _validations(events: DataFrame, p: Params) -> DataFrame:
-    """Debounce fires with the agent speech playing at the fire time."""
+def _validations(events: DataFrame, p: Params, with_metrics: bool = False) -> DataFrame:
+    """Debounce fires with, as of the fire time, the playing agent speech and (for the
+    EOU metrics) the last speech time and last final response: one union, one scan."""
     fires = endpoint_debounce(events, p)
-    markers = events.where(F.col("event_type").isin(AGENT_START, AGENT_END)).select(
-        "session_id", "event_id", "t_us", "event_type")
-    v = asof(fires, markers, K, "fire_us", "t_us", "event_id", "_agent", p.bucket_us)
+    markers = {"_agent": (events.where(F.col("event_type").isin(AGENT_START, AGENT_END)).select(
+        "session_id", "event_id", "t_us", "event_type"), "t_us", "event_id")}
+    if with_metrics:
+        cand = F.when(raw_accumulated_speech(F.col("event_id")) > 0,
+                      F.col("t_us") - raw_accumulated_silence_us(F.col("event_id"), p))
+        markers["_ls"] = (events.where(F.col("event_type") == VAD_DONE).select(
+            "session_id", "event_id", "t_us", cand.alias("val")).where(F.col("val").isNotNull()), "t_us", "event_id")
+        markers["_fr"] = (events.where(F.col("event_type") == AGENT_START).select(
+            "session_id", "event_id", "t_us"), "t_us", "event_id")
+    v = asof_many(fires, K, "fire_us", markers, p.bucket_us)
     return v.withColumn("playing_speech_id", F.when(F.col("_agent.event_type") == AGENT_START, F.col("_agent.event_id"))).drop("_agent")
 
 
-def reply_validation(events: DataFrame, p: Params) -> DataFrame:
-    """Decision at validation (debounce fire) time, in the reference's order."""
-    v = _validations(events, p)
+def _decide(v: DataFrame, events: DataFrame, p: Params) -> DataFrame:
     im = interrupt_match(events, p).select(F.col("speech_id").alias("playing_speech_id"), "interrupt_us")
     v = v.join(im, ["playing_speech_id"], "left")
     playing = F.col("playing_speech_id").isNotNull()
@@ -254,29 +271,26 @@ def reply_validation(events: DataFrame, p: Params) -> DataFrame:
                 .when(playing & ~should, "ignored_threshold")
                 .when(F.length(text) == 0, "nothing_pending")
                 .otherwise("validated"))
-    return v.select("session_id", "end_event_id", "fire_us", "playing_speech_id", decision.alias("decision"))
+    return v.withColumn("decision", decision)
+
+
+def reply_validation(events: DataFrame, p: Params) -> DataFrame:
+    """Decision at validation (debounce fire) time, in the reference's order."""
+    v = _decide(_validations(events, p), events, p)
+    return v.select("session_id", "end_event_id", "fire_us", "playing_speech_id", "decision")
 
 
 def eou_metrics(events: DataFrame, p: Params) -> DataFrame:
     """At validated replies: end_of_utterance_delay = fire - last_speech_time;
     transcription_delay = max(last final response (or 0) - last_speech_time, 0);
     only when last_speech_time is known."""
-    v = reply_validation(events, p).where(F.col("decision") == "validated")
-    vad = events.where(F.col("event_type") == VAD_DONE).select("session_id", "event_id", "t_us")
-    cand = F.when(raw_accumulated_speech(F.col("event_id")) > 0,
-                  F.col("t_us") - raw_accumulated_silence_us(F.col("event_id"), p))
-    marks = vad.select("session_id", "event_id", "t_us", cand.alias("ls")).where(F.col("ls").isNotNull()) \
-        .select("session_id", "event_id", "t_us", F.lit("speech").alias("kind"), F.col("ls").alias("val"))
-    fr = events.where(F.col("event_type") == AGENT_START).select(
-        "session_id", "event_id", "t_us", F.lit("final").alias("kind"), F.col("t_us").alias("val"))
-    a = asof(v, marks, K, "fire_us", "t_us", "event_id", "_ls", p.bucket_us)
-    a = asof(a, fr, K, "fire_us", "t_us", "event_id", "_fr", p.bucket_us)
-    a = a.where(F.col("_ls").isNotNull())
+    a = _decide(_validations(events, p, with_metrics=True), events, p)
+    a = a.where((F.col("decision") == "validated") & F.col("_ls").isNotNull())
     ls = F.col("_ls.val")
     return a.select(
         "session_id", "end_event_id", "fire_us",
         (F.col("fire_us") - ls).alias("end_of_utterance_delay_us"),
-        F.greatest(F.coalesce(F.col("_fr.val"), F.lit(0)) - ls, F.lit(0)).cast("bigint").alias("transcription_delay_us"),
+        F.greatest(F.coalesce(F.col("_fr.t_us"), F.lit(0)) - ls, F.lit(0)).cast("bigint").alias("transcription_delay_us"),
     )
 
 

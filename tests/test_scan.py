@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parley.operators.scan import asof, next_, prev, run_last, run_max, run_min, run_sum, scan
+from parley.operators.scan import asof, asof_many, first_after, next_, prev, run_last, run_max, run_min, run_sum, scan
 
 
 def _data(spark, seed=7, n=600):
@@ -49,3 +49,24 @@ def test_asof_inclusive_and_strict(spark):
     st = {(r.pt, r.k): (r.m.mid if r.m else None)
           for r in asof(probes, marks, ["k"], "pt", "mt", "mid", "m", 7, inclusive=False).collect()}
     assert st[(10, 1)] is None and st[(20, 1)] == 2
+
+
+def test_first_after_and_bucket_reuse(spark):
+    df = _data(spark, seed=5)
+    out = scan(df, ["s"], ["t", "id"], {"fa": first_after(F.col("v"))}, 41, keep_bucket=True)
+    assert "_bkt" in out.columns
+    out2 = scan(out, ["s"], ["t", "id"], {"sm": run_sum(F.lit(1))}, 41)
+    w = Window.partitionBy("s").orderBy("t", "id")
+    ref = df.select("*", F.first("v", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("fa"),
+                    F.sum(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sm"))
+    cols = ["s", "id", "t", "v", "fa", "sm"]
+    assert sorted(out2.select(cols).collect()) == sorted(ref.select(cols).collect())
+
+
+def test_asof_many(spark):
+    probes = spark.createDataFrame([(1, 10), (1, 20)], "k long, pt long")
+    a = spark.createDataFrame([(1, 5, 1), (1, 15, 2)], "k long, t long, id long")
+    b = spark.createDataFrame([(1, 12, 7)], "k long, t long, id long")
+    out = {r.pt: (r.a.id if r.a else None, r.b.id if r.b else None)
+           for r in asof_many(probes, ["k"], "pt", {"a": (a, "t", "id"), "b": (b, "t", "id")}, 7).collect()}
+    assert out == {10: (1, None), 20: (2, 7)}
