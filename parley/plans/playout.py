@@ -10,6 +10,7 @@ from parley.params import DAY_US, EVENTS
 from parley.plans.oracle_base import TURN_CTES, sql
 from parley.plans.registry import query
 from parley.sources import agent_events, frames, speeches
+from parley.operators.segments import AGENT_END, AGENT_START, VAD_DONE
 
 P = EVENTS.with_(unit_us=DAY_US)  # SP/FR: one reference second of playout = one day
 CAP = 100  # buffer cap used on the test tables (FIXTURES.md)
@@ -246,7 +247,7 @@ SELECT event_id AS speech_id, session_id, t_us, playing_id AS parent_id,
 FROM playing WHERE event_type = 'vad_inference_done'
 """, TURN_CTES))
 def q_say_routing(spark, d):
-    return turns.say_routing(agent_events(spark, d), EVENTS)
+    return turns.say_routing(agent_events(spark, d, [AGENT_START, AGENT_END, VAD_DONE]), EVENTS)
 
 
 @query("nested_rollup", sql("""
@@ -260,4 +261,4 @@ LEFT JOIN (SELECT start_event_id AS parent_id, true AS closed FROM segments WHER
   USING (parent_id)
 """, TURN_CTES))
 def q_nested_rollup(spark, d):
-    return turns.nested_rollup(agent_events(spark, d), EVENTS)
+    return turns.nested_rollup(agent_events(spark, d, [AGENT_START, AGENT_END, VAD_DONE]), EVENTS)

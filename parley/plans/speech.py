@@ -9,13 +9,19 @@ from parley.params import EVENTS as P
 from parley.plans.oracle_base import sql
 from parley.plans.registry import query
 from parley.sources import agent_events
+from parley.operators.segments import AGENT_END, AGENT_START, SPEECH_EDGES, USER_END, USER_START, VAD_DONE
+
+# Event types each query reads (filtered at the parquet scan).
+USER_EDGES = [USER_START, USER_END]
+AGENT_VAD = [AGENT_START, AGENT_END, VAD_DONE]
+USER_VAD = [USER_START, USER_END, VAD_DONE]
 
 
 @query("speech_segments", sql("""
 SELECT session_id, party, start_event_id, end_event_id, start_us, end_us FROM segments
 """))
 def q_speech_segments(spark, d):
-    return seg.speech_segments(agent_events(spark, d), P)
+    return seg.speech_segments(agent_events(spark, d, SPEECH_EDGES), P)
 
 
 @query("barge_in_overlap", sql("""
@@ -27,7 +33,7 @@ FROM segments u JOIN segments a
  AND u.start_us < a.end_us AND a.start_us < u.end_us
 """))
 def q_barge_in_overlap(spark, d):
-    return seg.barge_in_overlap(seg.speech_segments(agent_events(spark, d), P), P)
+    return seg.barge_in_overlap(seg.speech_segments(agent_events(spark, d, SPEECH_EDGES), P), P)
 
 
 BARGE_IN_SUMMARY_SQL = sql("""
@@ -43,7 +49,7 @@ GROUP BY u.session_id
 
 @query("barge_in_summary", BARGE_IN_SUMMARY_SQL)
 def q_barge_in_summary(spark, d):
-    return seg.barge_in_summary(agent_events(spark, d), P)
+    return seg.barge_in_summary(agent_events(spark, d, SPEECH_EDGES), P)
 
 
 # --- slice 1: turn-taking --------------------------------------------------------
@@ -82,12 +88,12 @@ SELECT session_id, event_id, t_us,
 FROM agent_events WHERE event_type = 'vad_inference_done'
 """))
 def q_last_speech_time(spark, d):
-    return turns.last_speech_time(agent_events(spark, d), P)
+    return turns.last_speech_time(agent_events(spark, d, [VAD_DONE]), P)
 
 
 @query("endpoint_debounce", sql("SELECT session_id, end_event_id, end_us, fire_us FROM debounce", TURN_CTES))
 def q_endpoint_debounce(spark, d):
-    return turns.endpoint_debounce(agent_events(spark, d), P)
+    return turns.endpoint_debounce(agent_events(spark, d, USER_EDGES), P)
 
 
 @query("transcript_accumulate", sql(f"""
@@ -97,7 +103,7 @@ SELECT session_id, event_id, t_us, turn_id,
 FROM tr_turn
 """, TURN_CTES))
 def q_transcript_accumulate(spark, d):
-    return turns.transcript_accumulate(agent_events(spark, d), chat_messages(spark, d), P)
+    return turns.transcript_accumulate(agent_events(spark, d, USER_VAD), chat_messages(spark, d), P)
 
 
 @query("endpoint_delay", sql(f"""
@@ -124,7 +130,7 @@ uv AS (
   WINDOW w AS (PARTITION BY session_id ORDER BY t_us, event_id {W_RUN}))
 """))
 def q_endpoint_delay(spark, d):
-    return turns.endpoint_delay(agent_events(spark, d), chat_messages(spark, d), P)
+    return turns.endpoint_delay(agent_events(spark, d, USER_VAD), chat_messages(spark, d), P)
 
 
 AGENT_STATE_SQL = sql(f"""
@@ -160,12 +166,12 @@ SELECT session_id, event_id, t_us, speech_duration, playing_id AS playing_speech
 FROM playing WHERE event_type = 'vad_inference_done' AND speech_duration >= 0.5
 """, TURN_CTES))
 def q_interrupt_trigger(spark, d):
-    return turns.interrupt_trigger(agent_events(spark, d), P)
+    return turns.interrupt_trigger(agent_events(spark, d, AGENT_VAD), P)
 
 
 @query("interrupt_match", sql("SELECT * FROM imatch", TURN_CTES))
 def q_interrupt_match(spark, d):
-    return turns.interrupt_match(agent_events(spark, d), P)
+    return turns.interrupt_match(agent_events(spark, d, AGENT_VAD), P)
 
 
 @query("should_interrupt", sql("""
@@ -177,7 +183,7 @@ FROM playing p LEFT JOIN imatch m ON m.speech_id = p.playing_id
 WHERE p.event_type = 'vad_inference_done'
 """, TURN_CTES))
 def q_should_interrupt(spark, d):
-    return turns.should_interrupt(agent_events(spark, d), P)
+    return turns.should_interrupt(agent_events(spark, d, AGENT_VAD), P)
 
 
 @query("reply_validation", sql("SELECT * FROM decisions", TURN_CTES))
@@ -208,7 +214,7 @@ SELECT session_id, event_id, greatest(0.0, 1.0 - probability) AS target_volume,
 FROM agent_events WHERE event_type = 'vad_inference_done'
 """))
 def q_target_volume(spark, d):
-    return turns.target_volume(agent_events(spark, d), P)
+    return turns.target_volume(agent_events(spark, d, [VAD_DONE]), P)
 
 
 METRICS_CTE = """
@@ -225,12 +231,12 @@ metrics AS (
 SELECT session_id, event_id, t_us, sequence_id, amount FROM metrics WHERE kind = 'tts'
 """, TURN_CTES + "," + METRICS_CTE))
 def q_tts_metric_enrich(spark, d):
-    return turns.metrics(agent_events(spark, d), P).where("kind = 'tts'").drop("kind")
+    return turns.metrics(agent_events(spark, d, AGENT_VAD), P).where("kind = 'tts'").drop("kind")
 
 
 @query("vad_metric_pass", sql("SELECT * FROM metrics", TURN_CTES + "," + METRICS_CTE))
 def q_vad_metric_pass(spark, d):
-    return turns.metrics(agent_events(spark, d), P)
+    return turns.metrics(agent_events(spark, d, AGENT_VAD), P)
 
 
 @query("usage_summary", sql("""
@@ -240,7 +246,7 @@ SELECT session_id, count(*) FILTER (WHERE kind = 'tts') AS n_tts, count(*) FILTE
 FROM metrics GROUP BY session_id
 """, TURN_CTES + "," + METRICS_CTE))
 def q_usage_summary(spark, d):
-    return turns.usage_summary(turns.metrics(agent_events(spark, d), P))
+    return turns.usage_summary(turns.metrics(agent_events(spark, d, AGENT_VAD), P))
 
 
 @query("event_counts", sql("""
@@ -256,4 +262,4 @@ SELECT session_id, event_id, t_us, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'a b
 FROM playing WHERE event_type = 'user_stopped_speaking'
 """, TURN_CTES))
 def q_latest_interim(spark, d):
-    return turns.latest_interim(agent_events(spark, d), P)
+    return turns.latest_interim(agent_events(spark, d, [AGENT_START, AGENT_END, USER_END]), P)

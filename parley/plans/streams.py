@@ -25,12 +25,12 @@ WHERE e.kind = 'event' AND (m.mx IS NULL OR e.t_us >= m.mx - {P.us(P.telemetry_r
 
 @query("stream_speech_segments", ORACLES["speech_segments"])
 def q_stream_speech_segments(spark, d):
-    return twins.run_segments(spark, agent_events(spark, d))
+    return twins.run_segments(spark, agent_events(spark, d, qs.SPEECH_EDGES))
 
 
 @query("stream_debounce", ORACLES["endpoint_debounce"])
 def q_stream_debounce(spark, d):
-    return twins.run_debounce(spark, agent_events(spark, d), P)
+    return twins.run_debounce(spark, agent_events(spark, d, qs.USER_EDGES), P)
 
 
 @query("stream_agent_state", ORACLES["agent_state_timeline"])
@@ -50,7 +50,7 @@ def q_stream_telemetry_tail(spark, d):
 
 @query("stream_usage", ORACLES["usage_summary"])
 def q_stream_usage(spark, d):
-    return twins.run_usage(spark, turns.metrics(agent_events(spark, d), P))
+    return twins.run_usage(spark, turns.metrics(agent_events(spark, d, qs.AGENT_VAD), P))
 
 
 @query("stream_asset_dedupe", ORACLES["asset_sink"])

@@ -9,6 +9,7 @@ from parley.params import DAY_US, EVENTS as P
 from parley.plans.oracle_base import H, sql
 from parley.plans.registry import query
 from parley.sources import agent_events
+from parley.operators.segments import USER_END, USER_START
 
 TEL = """
 tel AS (
@@ -48,7 +49,7 @@ FROM tel t JOIN (SELECT session_id, min(t_us) AS st FROM agent_events WHERE even
 WHERE t.t_us >= s.st AND t.t_us < s.st + {20 * DAY_US}
 """, TEL))
 def q_session_gate(spark, d):
-    return tm.session_gate(agent_events(spark, d), tel(spark, d))
+    return tm.session_gate(agent_events(spark, d, [USER_START]), tel(spark, d))
 
 
 @query("series_tail", sql(f"""
@@ -84,7 +85,7 @@ SELECT session_id % 10 AS room, session_id AS participant, event_id AS track_id,
 FROM agent_events WHERE event_type = 'user_stopped_speaking'
 """))
 def q_track_filter(spark, d):
-    return tm.track_filter(agent_events(spark, d))
+    return tm.track_filter(agent_events(spark, d, [USER_END]))
 
 
 @query("first_track", sql("""
@@ -94,7 +95,7 @@ FROM (SELECT session_id AS participant, event_id AS track_id, t_us FROM agent_ev
 WINDOW w AS (PARTITION BY participant ORDER BY t_us, track_id)
 """))
 def q_first_track(spark, d):
-    return tm.first_track(agent_events(spark, d), P)
+    return tm.first_track(agent_events(spark, d, [USER_END]), P)
 
 
 @query("first_participant_link", sql("""

@@ -320,4 +320,6 @@ FROM (
   WHERE e.event_type = 'agent_stopped_speaking' AND s.start_event_id % 4 <> 0)
 """, TURN_CTES))
 def q_conversation_commit(spark, d):
-    return turns.conversation_commit(agent_events(spark, d), EVENTS)
+    return turns.conversation_commit(
+        agent_events(spark, d, ["user_stopped_speaking", "agent_started_speaking", "agent_stopped_speaking",
+                                "vad_inference_done"]), EVENTS)

@@ -43,9 +43,16 @@ def _map_type(col: str) -> Column:
     return F.create_map(*pairs)[F.col(col)]
 
 
-def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EV: session_id, event_id, t_us, event_type, value, probability, speech_duration."""
+def agent_events(spark: SparkSession, sf_dir: str, types: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """EV: session_id, event_id, t_us, event_type, value, probability, speech_duration.
+
+    ``types`` keeps only those agent event types; the filter is stated on the source
+    column, so it reaches the parquet scan (``PushedFilters``).
+    """
     ev = read(spark, sf_dir, "events")
+    if types is not None:
+        inverse = {v: k for k, v in EV_TYPE_MAP.items()}
+        ev = ev.where(F.col("event_type").isin(*[inverse[t] for t in types]))
     return ev.select(
         F.col("user_id").alias("session_id"),
         F.col("event_id"),
