@@ -67,10 +67,23 @@ def single_turn(chat: DataFrame) -> DataFrame:
 
 
 def chat_context_snapshot(chat: DataFrame, p: Params) -> DataFrame:
-    """Context visible at each turn: the last ``context_last_n`` messages up to this one."""
-    w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(-(p.context_last_n - 1), 0)
-    return chat.select("session_id", "turn",
-                       F.collect_list(F.struct("turn", "role", "text")).over(w).alias("context"))
+    """Context visible at each turn: the last ``context_last_n`` messages up to this one.
+
+    Skew-safe and exact: messages get a dense rank per session (bucketed scan); ranks
+    are cut into blocks of ``n`` and every message is also copied into the next block as
+    look-back, so each window (partitioned by session and block) sees the n - 1 messages
+    before any of its own rows.
+    """
+    n = p.context_last_n
+    r = scan(chat.select("session_id", "turn", "role", "text"), ["session_id"], ["turn"],
+             {"_rank": run_sum(F.lit(1).cast("bigint"))}, 1 << 20)
+    r = r.withColumn("_blk", F.expr(f"(_rank - 1) div {n}"))
+    halo = r.select("*", F.explode(F.array(F.struct(F.col("_blk").alias("b"), F.lit(True).alias("own")),
+                                           F.struct((F.col("_blk") + 1).alias("b"), F.lit(False).alias("own")))).alias("_h"))
+    w = Window.partitionBy("session_id", "_h.b").orderBy("_rank").rowsBetween(-(n - 1), 0)
+    out = halo.select("session_id", "turn", F.col("_h.own").alias("_own"),
+                      F.collect_list(F.struct("turn", "role", "text")).over(w).alias("context"))
+    return out.where("_own").drop("_own")
 
 
 def system_prompt_union(chat: DataFrame) -> DataFrame:

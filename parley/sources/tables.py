@@ -119,23 +119,25 @@ def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FR: speech_id, frame_idx, samples_per_channel, sample_rate (+ flag, status, days).
+    """FR: speech_id, frame_idx, samples_per_channel, sample_rate (+ flag, status).
 
-    frame_idx needs tie-breakers because (l_orderkey, l_linenumber) is not unique.
-    One order holds a handful of lines, so the window per speech is small.
+    frame_idx needs tie-breakers because (l_orderkey, l_linenumber) is not unique. It is
+    a running count (bucketed scan), so even a speech with a huge number of frames is
+    numbered by many tasks.
     """
-    li = read(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
-    )
-    return li.select(
-        F.col("l_orderkey").alias("speech_id"),
-        F.row_number().over(w).cast("int").alias("frame_idx"),
-        F.round(F.col("l_quantity")).cast("bigint").alias("samples_per_channel"),
-        F.lit(16000).cast("int").alias("sample_rate"),
-        F.col("l_returnflag").alias("flag"),
-        F.col("l_linestatus").alias("status"),
-    )
+    from parley.operators.scan import run_sum, scan
+
+    li = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("speech_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        "l_shipdate", F.round(F.col("l_quantity")).cast("bigint").alias("samples_per_channel"),
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    s = scan(li, ["speech_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"],
+             {"frame_idx": run_sum(F.lit(1))}, FRAME_BUCKET)
+    return s.select("speech_id", F.col("frame_idx").cast("int"), "samples_per_channel",
+                    F.lit(16000).cast("int").alias("sample_rate"), "flag", "status")
+
+
+FRAME_BUCKET = 1024  # line numbers per scan bucket
 
 
 def audio_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,27 @@ def test_delta_roundtrip(spark):
     ck = spark.createDataFrame(rows, CK)
     back = sorted((r.stream_id, r.seq, r.delta) for r in tx.response_delta(tx.cumulative_response(ck)).collect())
     assert back == sorted((a, b, d) for a, b, _, d in rows)
+
+
+def test_context_snapshot_halo_exact(spark):
+    rnd = random.Random(6)
+    rows = []
+    for s in range(3):
+        turns = sorted(rnd.sample(range(200), 40 + 10 * s))  # sparse, unordered turn numbers
+        rows += [(s, t, "user" if k % 2 else "assistant", f"m{t}", None) for k, t in enumerate(turns)]
+    ch = spark.createDataFrame(rows, CH)
+    got = {(r.session_id, r.turn): [x.turn for x in r.context]
+           for r in tx.chat_context_snapshot(ch, P.with_(context_last_n=4)).collect()}
+    for s in range(3):
+        ts = sorted(t for sid, t, *_ in rows if sid == s)
+        for k, t in enumerate(ts):
+            assert got[(s, t)] == ts[max(0, k - 3):k + 1]
+    assert len(got) == len(rows)
+
+
+def test_frames_numbering_with_ties(spark):
+    from parley.sources import frames
+
+    fr = frames(spark, "/root/testdata/sf0.001")
+    assert fr.groupBy("speech_id").agg(F.max("frame_idx").alias("m"), F.count("*").alias("n")) \
+        .where("m <> n").count() == 0
