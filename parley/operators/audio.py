@@ -7,8 +7,7 @@ map-side) and an anti join against the existing store.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +48,13 @@ def asset_rows(vectors: DataFrame) -> DataFrame:
 
 
 def existing_assets(spark: SparkSession, store: str | None) -> DataFrame:
-    """Fingerprints already in the store (empty when there is none yet)."""
-    if store and os.path.exists(store):
-        return spark.read.parquet(store).select("fp")
+    """Fingerprints already in the store (empty when there is none yet). Works on any
+    file system Spark can read (the check is Spark's own path resolution)."""
+    if store:
+        try:
+            return spark.read.parquet(store).select("fp")
+        except AnalysisException:  # no store yet
+            pass
     return spark.createDataFrame([], "fp string")
 
 

@@ -35,10 +35,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only when unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests) without one gets a scratch folder; on a cluster a
+    machine-local folder would break state and staged tables, so it is an error.
+    """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="parley-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

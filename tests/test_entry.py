@@ -56,7 +56,7 @@ def test_query_matches_oracle(spark, duck, key):
     assert got == want
 
 
-@pytest.mark.parametrize("key", ["stream_debounce", "stream_throttle"])
+@pytest.mark.parametrize("key", sorted(k for k in E.queries() if k.startswith("stream_")))
 def test_stream_twin_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF_SMALL)
     cols = sorted(df.columns)
