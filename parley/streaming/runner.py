@@ -11,15 +11,36 @@ lost executor or driver.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from parley.session import state_path
 
 
+def stage_in_order(data: DataFrame, src: str, slices: int, order_col: str | None) -> None:
+    """Write ``data`` to ``src`` as ``slices`` files in ``order_col`` order, one write per
+    slice, so a file source (ordered by modification time) delivers them in order.
+    Slice boundaries are approximate quantiles (a distributed aggregate, a few numbers)."""
+    if slices <= 1 or order_col is None:
+        data.write.mode("overwrite").parquet(src)
+        return
+    qs = data.approxQuantile(order_col, [k / slices for k in range(1, slices)], 0.001)
+    bounds = [None, *sorted(set(qs)), None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col(order_col) >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (F.col(order_col) < F.lit(hi))
+        data.where(cond).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.01)  # distinct modification times
+
+
 def run_available_now(
     spark: SparkSession,
     name: str,
@@ -27,19 +48,22 @@ def run_available_now(
     start: Callable[[DataFrame, str], DataStreamWriter],
     sentinel: DataFrame | None = None,
     read_result: Callable[[str], DataFrame] | None = None,
+    slices: int = 1,
+    order_col: str | None = None,
 ) -> DataFrame:
     """Stage ``data``, stream it through ``start(stream_df, out_path)`` and return the result.
 
     ``start`` returns a configured ``DataStreamWriter`` (sink + output mode); checkpoint
-    location and trigger are set here.
+    location and trigger are set here. With ``slices`` > 1 the input arrives as that many
+    time-ordered files, one per micro-batch, so state is carried across batches.
     """
     base = state_path(spark, f"streams/{name}/{uuid.uuid4().hex}")
     src, out, ckpt = f"{base}/src", f"{base}/out", f"{base}/ckpt"
-    data.write.mode("overwrite").parquet(src)
+    stage_in_order(data, src, slices, order_col)
     schema = spark.read.parquet(src).schema
 
     def run() -> None:
-        stream = spark.readStream.schema(schema).parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
         q = start(stream, out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
         q.awaitTermination()
         if q.exception() is not None:  # pragma: no cover

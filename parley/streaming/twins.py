@@ -23,6 +23,7 @@ from parley.streaming.runner import run_available_now
 FAR_US = 4_102_444_800_000_000  # 2100-01-01: sentinel time, beyond any real event
 SENTINEL_SESSION = -1
 WATERMARK = "0 seconds"
+SLICES = 4  # time-ordered input files, one per micro-batch
 
 
 def _ts(df: DataFrame) -> DataFrame:
@@ -270,14 +271,15 @@ def run_segments(spark: SparkSession, events: DataFrame) -> DataFrame:
     def start(stream, out):
         return stream_speech_segments(stream).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    return run_available_now(spark, "speech_segments", events, start)
+    return run_available_now(spark, "speech_segments", events, start, slices=SLICES, order_col="t_us")
 
 
 def run_debounce(spark: SparkSession, events: DataFrame, p: Params) -> DataFrame:
     def start(stream, out):
         return stream_debounce(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    r = run_available_now(spark, "debounce", events, start, sentinel=_event_sentinel(spark, events))
+    r = run_available_now(spark, "debounce", events, start, sentinel=_event_sentinel(spark, events),
+                          slices=SLICES, order_col="t_us")
     return r.where(F.col("session_id") != SENTINEL_SESSION)
 
 
@@ -285,7 +287,8 @@ def run_agent_state(spark: SparkSession, events: DataFrame, p: Params) -> DataFr
     def start(stream, out):
         return stream_agent_state(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    r = run_available_now(spark, "agent_state", events, start, sentinel=_event_sentinel(spark, events))
+    r = run_available_now(spark, "agent_state", events, start, sentinel=_event_sentinel(spark, events),
+                          slices=SLICES, order_col="t_us")
     return r.where(F.col("session_id") != SENTINEL_SESSION)
 
 
@@ -295,7 +298,7 @@ def run_throttle(spark: SparkSession, chunks: DataFrame, p: Params) -> DataFrame
     def start(stream, out):
         return stream_throttle(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    r = run_available_now(spark, "throttle", chunks, start, sentinel=sent)
+    r = run_available_now(spark, "throttle", chunks, start, sentinel=sent, slices=SLICES, order_col="t_us")
     return r.where(F.col("stream_id") != "__sentinel__")
 
 
@@ -305,7 +308,8 @@ def run_telemetry_tail(spark: SparkSession, telemetry: DataFrame, p: Params) ->
     def start(stream, out):
         return stream_telemetry_tail(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    r = run_available_now(spark, "telemetry_tail", telemetry, start, sentinel=sent)
+    r = run_available_now(spark, "telemetry_tail", telemetry, start, sentinel=sent, slices=SLICES,
+                          order_col="t_us")
     return r.where(F.col("session_id") != SENTINEL_SESSION)
 
 
@@ -319,7 +323,7 @@ def run_usage(spark: SparkSession, metrics_df: DataFrame) -> DataFrame:
 
         return turns.usage_summary(stream).writeStream.outputMode("complete").foreachBatch(write)
 
-    return run_available_now(spark, "usage", metrics_df, start)
+    return run_available_now(spark, "usage", metrics_df, start, slices=SLICES, order_col="t_us")
 
 
 def run_asset_dedupe(spark: SparkSession, vectors: DataFrame) -> DataFrame:
@@ -333,5 +337,5 @@ def run_asset_dedupe(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 
         return stream.writeStream.foreachBatch(write)
 
-    r = run_available_now(spark, "assets", vectors, start)
+    r = run_available_now(spark, "assets", vectors, start, slices=SLICES, order_col="vec_id")
     return r.select("fp", "vec_id", "path", F.substring("fp", 1, 2).alias("prefix"), F.md5("wav").alias("wav_md5"))
