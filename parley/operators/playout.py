@@ -236,11 +236,18 @@ def nonempty_utterance(frames: DataFrame) -> DataFrame:
         .where(F.col("n_samples") > 0)
 
 
-def structured_log(speeches: DataFrame, frames: DataFrame) -> DataFrame:
-    """Playout log records with JSON extra fields."""
+def structured_log(speeches: DataFrame, frames: DataFrame, p: Params) -> DataFrame:
+    """Log records (level, msg, speech_id, JSON extra): playout finished (interrupted),
+    committed agent speech (agent_response, interrupted) and the warning for a playout
+    that starts while audio is still queued (queued_duration in microseconds)."""
     o = playout_outcome(speeches, frames)
-    return o.select(
-        F.lit("DEBUG").alias("level"), F.lit("speech playout finished").alias("msg"), "speech_id",
-        F.to_json(F.struct(F.col("speech_id"), F.col("interrupted"))).alias("extra"))
-
-
+    finished = o.select(F.lit("DEBUG").alias("level"), F.lit("speech playout finished").alias("msg"), "speech_id",
+                        F.to_json(F.struct("speech_id", "interrupted")).alias("extra"))
+    c = interrupted_suffix(speeches, frames).join(o.select("speech_id", "interrupted"), "speech_id")
+    committed = c.select(F.lit("DEBUG").alias("level"), F.lit("committed agent speech").alias("msg"), "speech_id",
+                         F.to_json(F.struct(F.col("committed_text").alias("agent_response"), "interrupted",
+                                            "speech_id")).alias("extra"))
+    w = playout_overlap_warning(speeches, frames, p)
+    warn = w.select(F.lit("WARNING").alias("level"), F.lit("new playout while the source is still playing").alias("msg"),
+                    "speech_id", F.to_json(F.struct("speech_id", F.col("queued_us").alias("queued_duration_us"))).alias("extra"))
+    return finished.unionByName(committed).unionByName(warn)

@@ -233,11 +233,22 @@ def q_nonempty_utterance(spark, d):
 
 @query("structured_log", q("""
 SELECT 'DEBUG' AS level, 'speech playout finished' AS msg, speech_id,
-       to_json(struct_pack(speech_id := speech_id, interrupted := interrupted))::VARCHAR AS extra
+       CAST(to_json(struct_pack(speech_id := speech_id, interrupted := interrupted)) AS VARCHAR) AS extra
 FROM outcome
+UNION ALL
+SELECT 'DEBUG', 'committed agent speech', s.speech_id,
+       CAST(to_json(struct_pack(agent_response := CASE WHEN o.interrupted THEN s.text || '...' ELSE s.text END,
+                                interrupted := o.interrupted, speech_id := s.speech_id)) AS VARCHAR)
+FROM speeches s JOIN outcome o USING (speech_id)
+WHERE o.started AND s.add_to_chat_ctx AND length(s.text) > 0
+UNION ALL
+SELECT 'WARNING', 'new playout while the source is still playing', speech_id,
+       CAST(to_json(struct_pack(speech_id := speech_id, queued_duration_us := prev_end - start_us)) AS VARCHAR)
+FROM (SELECT *, lag(full_end_us) OVER (PARTITION BY session_id ORDER BY start_us, speech_id) AS prev_end FROM sched)
+WHERE prev_end > start_us
 """))
 def q_structured_log(spark, d):
-    return po.structured_log(speeches(spark, d), frames(spark, d))
+    return po.structured_log(speeches(spark, d), frames(spark, d), P)
 
 
 @query("say_routing", sql("""
