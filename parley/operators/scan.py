@@ -69,6 +69,7 @@ def scan(
     specs: dict[str, Scan],
     bucket_width: int,
     keep_bucket: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add one column per spec, computed in (key, order) order across the whole session.
 
@@ -76,6 +77,8 @@ def scan(
     If ``df`` still carries the bucket column of an earlier scan with the same key and
     order (``keep_bucket=True`` there), it is reused: the rows are then already
     partitioned by (key, bucket) and the window needs no new exchange.
+    ``bucket`` overrides the bucket expression; it must be non-decreasing in the
+    (key, order) order (e.g. a lexicographic combination of the first order columns).
     """
     if not specs:
         return df
@@ -96,7 +99,8 @@ def scan(
             return F.coalesce(F.col(k), zero)
 
         bexpr = [nn(k).alias(c) for k, c in zip(key, kn)] + [F.isnull(k).alias(c) for k, c in zip(key, kz)]
-        bexpr.append(F.coalesce(F.expr(f"`{order[0]}` div {int(bucket_width)}"), F.lit(0)).cast("bigint").alias(_B))
+        b = F.expr(f"`{order[0]}` div {int(bucket_width)}") if bucket is None else bucket
+        bexpr.append(F.coalesce(b, F.lit(0)).cast("bigint").alias(_B))
     ocols = [F.col(c) for c in order]
     w_in = Window.partitionBy(*part, _B).orderBy(*ocols)
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)

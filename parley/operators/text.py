@@ -54,7 +54,7 @@ def nonempty_chat(chat: DataFrame) -> DataFrame:
 def nonempty_history(chat: DataFrame, p: Params) -> DataFrame:
     """At each user message the model gets the history before it; an empty one is an error row."""
     s = scan(chat.select("session_id", "turn", "role"), ["session_id"], ["turn"],
-             {"n_incl": run_sum(F.lit(1).cast("bigint"))}, 1 << 20)
+             {"n_incl": run_sum(F.lit(1).cast("bigint"))}, p.turn_bucket)
     s = s.where(F.col("role") == "user").withColumn("n_history", (F.col("n_incl") - 1).cast("bigint"))
     return s.select("session_id", "turn", "n_history",
                     F.when(F.col("n_history") > 0, "ok").otherwise("empty_history").alias("status"))
@@ -76,7 +76,7 @@ def chat_context_snapshot(chat: DataFrame, p: Params) -> DataFrame:
     """
     n = p.context_last_n
     r = scan(chat.select("session_id", "turn", "role", "text"), ["session_id"], ["turn"],
-             {"_rank": run_sum(F.lit(1).cast("bigint"))}, 1 << 20)
+             {"_rank": run_sum(F.lit(1).cast("bigint"))}, p.turn_bucket)
     r = r.withColumn("_blk", F.expr(f"(_rank - 1) div {n}"))
     halo = r.select("*", F.explode(F.array(F.struct(F.col("_blk").alias("b"), F.lit(True).alias("own")),
                                            F.struct((F.col("_blk") + 1).alias("b"), F.lit(False).alias("own")))).alias("_h"))

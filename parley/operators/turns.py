@@ -17,6 +17,7 @@ from parley.params import Params
 
 K = ["session_id"]
 O = ["t_us", "event_id"]
+TURN_BUCKET = 1024  # turns per scan bucket for message-ordered scans
 
 
 # --- derived fields of the test tables (FIXTURES.md "Derivations") -------------
@@ -108,7 +109,7 @@ def _user_ends(events: DataFrame, p: Params) -> DataFrame:
 def _with_transcripts(ends: DataFrame, chat: DataFrame) -> DataFrame:
     """k-th user END of session s takes the k-th user message of conversation s mod n_conv."""
     users = chat.where(F.col("role") == "user").select("session_id", "turn", "text")
-    users = scan(users, K, ["turn"], {"k": run_sum(F.lit(1).cast("bigint"))}, 1 << 20)
+    users = scan(users, K, ["turn"], {"k": run_sum(F.lit(1).cast("bigint"))}, TURN_BUCKET)
     n_conv = chat.agg(F.countDistinct("session_id").alias("n_conv"))
     ends = ends.crossJoin(F.broadcast(n_conv))  # one-row constant: the number of conversations
     ends = ends.withColumn("conv_id", F.pmod(F.col("session_id"), F.col("n_conv")))

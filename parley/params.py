@@ -47,6 +47,8 @@ class Params:
     # Ordered scans are split into time buckets of this width so one hot session
     # spreads over many tasks (see operators/scan.py).
     bucket_us: int = DAY_US
+    # Same for scans ordered by message turn number.
+    turn_bucket: int = 1024
     # Chat-context snapshots keep at most this many messages (windowed collect_list
     # is quadratic in the window length).
     context_last_n: int = 64

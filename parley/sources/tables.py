@@ -131,13 +131,16 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("speech_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         "l_shipdate", F.round(F.col("l_quantity")).cast("bigint").alias("samples_per_channel"),
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    # Buckets follow the sort order lexicographically: (line number, block of part keys),
+    # so the lines of even a huge order spread over many buckets.
+    bucket = F.col("l_linenumber").cast("bigint") * F.lit(1 << 32) + F.expr(f"l_partkey div {FRAME_BUCKET}")
     s = scan(li, ["speech_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"],
-             {"frame_idx": run_sum(F.lit(1))}, FRAME_BUCKET)
+             {"frame_idx": run_sum(F.lit(1))}, FRAME_BUCKET, bucket=bucket)
     return s.select("speech_id", F.col("frame_idx").cast("int"), "samples_per_channel",
                     F.lit(16000).cast("int").alias("sample_rate"), "flag", "status")
 
 
-FRAME_BUCKET = 1024  # line numbers per scan bucket
+FRAME_BUCKET = 1024  # part keys per scan bucket (within a line number)
 
 
 def audio_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
