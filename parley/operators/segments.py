@@ -62,47 +62,32 @@ def barge_in_overlap(segments: DataFrame, p: Params) -> DataFrame:
 
     Segments of one party are disjoint, so every overlapping pair is found by an as-of
     look-up: (1) the user segment open at an agent start (u.start <= a.start < u.end),
-    (2) the agent segment open at a user start (a.start < u.start < a.end). Both are
-    last-non-null scans over the merged start times; no range join.
+    (2) the agent segment open at a user start (a.start < u.start < a.end). With user
+    rows ordered before agent rows at equal start times, both are last-non-null specs
+    of one scan over the merged starts; no range join.
     """
-    seg = segments.select("session_id", "party", "start_event_id", "start_us", "end_us")
-    seg_struct = F.struct(
-        F.col("start_event_id").alias("id"), F.col("start_us").alias("st"), F.col("end_us").alias("en")
+    seg = segments.select(
+        "session_id", "party", "start_event_id", "start_us",
+        F.when(F.col("party") == "user", F.lit(0)).otherwise(F.lit(1)).alias("prio"),
+        F.struct(F.col("start_event_id").alias("id"), F.col("start_us").alias("st"),
+                 F.col("end_us").alias("en")).alias("me"),
+    )
+    s = scan(seg, ["session_id"], ["start_us", "prio", "start_event_id"], {
+        "open_user": run_last(F.when(F.col("party") == "user", F.col("me"))),
+        "open_agent": run_last(F.when(F.col("party") == "agent", F.col("me"))),
+    }, p.bucket_us)
+    is_agent = F.col("party") == "agent"
+    other = F.when(is_agent, F.col("open_user")).otherwise(F.col("open_agent"))
+    hit = s.withColumn("_o", other).where(F.col("_o.en") > F.col("me.st"))
+    u = F.when(is_agent, F.col("_o")).otherwise(F.col("me"))
+    a = F.when(is_agent, F.col("me")).otherwise(F.col("_o"))
+    pairs = hit.select(
+        "session_id",
+        u["id"].alias("user_start_event_id"),
+        a["id"].alias("agent_start_event_id"),
+        F.greatest(u["st"], a["st"]).alias("overlap_start_us"),
+        F.least(u["en"], a["en"]).alias("overlap_end_us"),
     )
-
-    def lookup(probe_party: str, open_party: str, open_first: int) -> DataFrame:
-        # open_first = 0: an open segment starting at the probe time counts (<=);
-        # open_first = 1: it must start strictly before the probe.
-        rows = seg.select(
-            "session_id",
-            "start_us",
-            F.when(F.col("party") == open_party, F.lit(open_first)).otherwise(F.lit(1 - open_first)).alias("prio"),
-            "start_event_id",
-            F.col("party"),
-            seg_struct.alias("me"),
-        )
-        s = scan(
-            rows,
-            ["session_id"],
-            ["start_us", "prio", "start_event_id"],
-            {"open": run_last(F.when(F.col("party") == open_party, F.col("me")))},
-            p.bucket_us,
-        ).where(F.col("party") == probe_party)
-        hit = s.where(F.col("open.en") > F.col("me.st"))
-        if probe_party == "agent":
-            u, a = F.col("open"), F.col("me")
-        else:
-            u, a = F.col("me"), F.col("open")
-        return hit.select(
-            "session_id",
-            u["id"].alias("user_start_event_id"),
-            a["id"].alias("agent_start_event_id"),
-            F.greatest(u["st"], a["st"]).alias("overlap_start_us"),
-            F.least(u["en"], a["en"]).alias("overlap_end_us"),
-        )
-
-    # agent starts inside an open user segment (ties count), user starts inside an open agent segment
-    pairs = lookup("agent", "user", 0).unionByName(lookup("user", "agent", 1))
     return pairs.withColumn("overlap_us", F.col("overlap_end_us") - F.col("overlap_start_us"))
 
 
