@@ -139,11 +139,11 @@ def speech_lifecycle(speeches: DataFrame, frames: DataFrame) -> DataFrame:
 
 def playout_outcome(speeches: DataFrame, frames: DataFrame) -> DataFrame:
     """started (>=1 frame played), stopped emitted only when started, interrupted,
-    transcript segment finished only when started and not interrupted."""
-    pf = played_frames(frames).groupBy("speech_id").agg(F.count(F.lit(1)).alias("n_played"))
-    ip = frame_stats(frames).select("speech_id", "interrupt_pos")
-    s = speeches.select("speech_id", "session_id").join(pf, "speech_id", "left").join(ip, "speech_id", "left")
-    n = F.coalesce(F.col("n_played"), F.lit(0)).cast("bigint")
+    transcript segment finished only when started and not interrupted. Frame indexes are
+    dense (1..n), so the frames played are interrupt position - 1, else all of them."""
+    st = frame_stats(frames).select("speech_id", "n_frames", "interrupt_pos")
+    s = speeches.select("speech_id", "session_id").join(st, "speech_id", "left")
+    n = F.coalesce(F.col("interrupt_pos") - 1, F.col("n_frames"), F.lit(0)).cast("bigint")
     started = n >= 1
     interrupted = F.col("interrupt_pos").isNotNull()
     return s.select("speech_id", "session_id", n.alias("n_played"), started.alias("started"),
