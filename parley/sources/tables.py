@@ -33,9 +33,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def t_us(col: str | Column) -> Column:
-    """timestamp_ntz -> microseconds since epoch, independent of the session time zone."""
+    """timestamp_ntz -> microseconds since epoch, independent of the session time zone
+    (built from the wall-clock fields; a diff would cast through the session zone)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return (F.unix_date(F.to_date(c)).cast("bigint") * F.lit(86_400_000_000)
+            + F.hour(c).cast("bigint") * F.lit(3_600_000_000)
+            + F.minute(c).cast("bigint") * F.lit(60_000_000)
+            + (F.extract(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint"))
 
 
 def _map_type(col: str) -> Column:
