@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import ends_with_punct, strip, word_count
-from parley.operators.scan import asof_many, first_after, next_, prev, run_last, run_sum, scan
+from parley.operators.scan import asof_many, first_after, next_, run_last, run_sum, scan
 from parley.operators.segments import AGENT_END, AGENT_START, USER_END, USER_START, VAD_DONE
 from parley.params import Params
 
@@ -117,11 +117,6 @@ def _with_transcripts(ends: DataFrame, chat: DataFrame) -> DataFrame:
     return ends.join(u, ["conv_id", "k"], "left").drop("conv_id", "n_conv")
 
 
-def user_transcripts(events: DataFrame, chat: DataFrame, p: Params) -> DataFrame:
-    ends = _user_ends(events, p).select("session_id", "event_id", "t_us", "k")
-    return _with_transcripts(ends, chat)
-
-
 def _piece(transcript: Column) -> Column:
     return F.when(transcript.isNotNull(), F.concat(F.lit(" "), strip(transcript)))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from parley.operators import hooks as hk
 from parley.operators import text as tx

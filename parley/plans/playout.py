@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from parley.operators import playout as po
 from parley.operators import turns

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from parley.operators import segments as seg
+from parley.operators import turns
+from parley.operators.segments import AGENT_END, AGENT_START, SPEECH_EDGES, USER_END, USER_START, VAD_DONE
 from parley.params import EVENTS as P
-from parley.plans.oracle_base import sql
+from parley.plans.oracle_base import H, TURN_CTES, sql
 from parley.plans.registry import query
-from parley.sources import agent_events
-from parley.operators.segments import AGENT_END, AGENT_START, SPEECH_EDGES, USER_END, USER_START, VAD_DONE
+from parley.sources import agent_events, chat_messages
 
 # Event types each query reads (filtered at the parquet scan).
 USER_EDGES = [USER_START, USER_END]
@@ -53,9 +52,6 @@ def q_barge_in_summary(spark, d):
 
 
 # --- slice 1: turn-taking --------------------------------------------------------
-from parley.operators import turns  # noqa: E402
-from parley.plans.oracle_base import H, TURN_CTES, strip  # noqa: E402
-from parley.sources import chat_messages  # noqa: E402
 
 W_RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 

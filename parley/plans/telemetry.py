@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from parley.operators import telemetry as tm
 from parley.params import DAY_US, EVENTS as P

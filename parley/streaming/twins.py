@@ -16,7 +16,7 @@ from parley.operators import audio as au
 from parley.operators import segments as seg
 from parley.operators import text as tx
 from parley.operators import turns
-from parley.operators.segments import AGENT_END, AGENT_START, USER_END, USER_START, VAD_DONE
+from parley.operators.segments import AGENT_END, AGENT_START, USER_END, USER_START
 from parley.params import DAY_US, Params
 from parley.streaming.runner import run_available_now
 
