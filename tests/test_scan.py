@@ -70,3 +70,21 @@ def test_asof_many(spark):
     out = {r.pt: (r.a.id if r.a else None, r.b.id if r.b else None)
            for r in asof_many(probes, ["k"], "pt", {"a": (a, "t", "id"), "b": (b, "t", "id")}, 7).collect()}
     assert out == {10: (1, None), 20: (2, 7)}
+
+
+def test_hot_session_is_spread_over_tasks(spark):
+    """One session holds 60% of the rows: the scan's windows run on many partitions,
+    and the result still equals the single-partition window."""
+    rnd = random.Random(12)
+    rows = [(0 if rnd.random() < 0.6 else rnd.randint(1, 50), i, rnd.randint(0, 100_000)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "s long, id long, t long")
+    out = scan(df, ["s"], ["t", "id"], {"n": run_sum(F.lit(1))}, 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny test data
+    try:
+        parts = out.where("s = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts > 1
+    w = Window.partitionBy("s").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("*", F.sum(F.lit(1)).over(w).alias("n"))
+    assert sorted(out.collect()) == sorted(ref.select("s", "id", "t", "n").collect())
