@@ -60,20 +60,25 @@ def time_played(frames: DataFrame) -> DataFrame:
     return out.withColumn("time_played", F.col("played_samples") / F.col("sample_rate"))
 
 
-def speech_durations(speeches: DataFrame, frames: DataFrame) -> DataFrame:
-    """Speeches with playout duration = sum(samples) units x 1 day (0 without frames)."""
-    d = frames.groupBy("speech_id").agg(F.sum("samples_per_channel").cast("bigint").alias("units"))
+def speech_durations(speeches: DataFrame, frames: DataFrame, played_only: bool = False) -> DataFrame:
+    """Speeches with playout duration = sum(samples) units x 1 day (0 without frames).
+    With ``played_only`` only frames before the interrupt count (an interrupted speech
+    leaves the queue early)."""
+    src = played_frames(frames) if played_only else frames
+    d = src.groupBy("speech_id").agg(F.sum("samples_per_channel").cast("bigint").alias("units"))
     return speeches.join(d, "speech_id", "left").withColumn(
         "dur_us", (F.coalesce(F.col("units"), F.lit(0)) * F.lit(DAY_US)).cast("bigint"))
 
 
-def playout_queue(speeches: DataFrame, frames: DataFrame, p: Params) -> DataFrame:
+def playout_queue(speeches: DataFrame, frames: DataFrame, p: Params, interrupted: bool = False) -> DataFrame:
     """FIFO per session, one speech at a time: start = max(arrival, previous end).
 
     Lindley closed form with S = durations before the row:
     start = S + max over earlier-or-equal rows of (arrival - S). Two exact scans.
+    ``interrupted=True`` uses played durations: the interrupt positions come from the
+    frames (recorded), not from the schedule, so the closed form still holds.
     """
-    s = speech_durations(speeches, frames).select("speech_id", "session_id", "t_us", "dur_us")
+    s = speech_durations(speeches, frames, played_only=interrupted).select("speech_id", "session_id", "t_us", "dur_us")
     s = scan(s, ["session_id"], ["t_us", "speech_id"], {"c_incl": run_sum(F.col("dur_us"))}, p.bucket_us,
              keep_bucket=True)  # the second scan reuses the partitioning
     s = s.withColumn("s_excl", F.col("c_incl") - F.col("dur_us"))

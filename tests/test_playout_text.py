@@ -135,3 +135,12 @@ def test_frames_numbering_with_ties(spark):
     fr = frames(spark, "/root/testdata/sf0.001")
     assert fr.groupBy("speech_id").agg(F.max("frame_idx").alias("m"), F.count("*").alias("n")) \
         .where("m <> n").count() == 0
+
+
+def test_interrupted_queue_uses_played_durations(spark):
+    sp = spark.createDataFrame([(1, 1, 0, "reply", True, True, "a"), (2, 1, DAY_US, "reply", True, True, "b")], SP)
+    fr = spark.createDataFrame([(1, 1, 2, 16000, "N", "O"), (1, 2, 3, 16000, "R", "F"), (1, 3, 4, 16000, "N", "O"),
+                                (2, 1, 1, 16000, "N", "O")], FR)
+    full = {r.speech_id: r.start_us for r in po.playout_queue(sp, fr, P).collect()}
+    cut = {r.speech_id: r.start_us for r in po.playout_queue(sp, fr, P, interrupted=True).collect()}
+    assert full[2] == 9 * DAY_US and cut[2] == 2 * DAY_US  # speech 1 stops before frame 2
