@@ -256,3 +256,16 @@ def structured_log(speeches: DataFrame, frames: DataFrame, p: Params) -> DataFra
     warn = w.select(F.lit("WARNING").alias("level"), F.lit("new playout while the source is still playing").alias("msg"),
                     "speech_id", F.to_json(F.struct("speech_id", F.col("queued_us").alias("queued_duration_us"))).alias("extra"))
     return finished.unionByName(committed).unionByName(warn)
+
+
+def playout_events(speeches: DataFrame, frames: DataFrame) -> DataFrame:
+    """The outcome as emitted events: playout_started and playout_stopped (with the
+    interrupted flag) when a frame played, segment_playout_finished when not interrupted."""
+    o = playout_outcome(speeches, frames)
+    ev = F.array(
+        F.when(F.col("started"), F.lit("playout_started")),
+        F.when(F.col("stopped_emitted"), F.lit("playout_stopped")),
+        F.when(F.col("segment_finished"), F.lit("segment_playout_finished")),
+    )
+    return o.select("speech_id", "session_id", "interrupted",
+                    F.explode(F.filter(ev, lambda x: x.isNotNull())).alias("event"))

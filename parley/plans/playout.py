@@ -139,6 +139,17 @@ def q_playout_outcome(spark, d):
     return po.playout_outcome(speeches(spark, d), frames(spark, d))
 
 
+@query("playout_events", q("""
+SELECT speech_id, session_id, interrupted, event FROM (
+  SELECT speech_id, session_id, interrupted,
+         unnest([CASE WHEN started THEN 'playout_started' END, CASE WHEN stopped_emitted THEN 'playout_stopped' END,
+                 CASE WHEN segment_finished THEN 'segment_playout_finished' END]) AS event
+  FROM outcome) WHERE event IS NOT NULL
+"""))
+def q_playout_events(spark, d):
+    return po.playout_events(speeches(spark, d), frames(spark, d))
+
+
 @query("speech_kind", sql("""
 SELECT speech_id, kind, kind = 'reply' AS is_reply, CASE WHEN kind = 'reply' THEN text ELSE '' END AS user_question,
        CASE WHEN kind = 'tool' THEN 1 ELSE 0 END AS fnc_nested_depth
