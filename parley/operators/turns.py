@@ -325,6 +325,17 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id", "event_type").agg(F.count(F.lit(1)).alias("n_events"))
 
 
+# The agent event types published by the reference's pipeline on EV data.
+EVENT_TYPES = [USER_START, USER_END, AGENT_START, AGENT_END, VAD_DONE]
+
+
+def event_counts_wide(events: DataFrame) -> DataFrame:
+    """Pivot form: one row per session, one count column per event type (explicit pivot
+    values, so no extra job to discover them)."""
+    w = events.groupBy("session_id").pivot("event_type", EVENT_TYPES).agg(F.count(F.lit(1)))
+    return w.select("session_id", *[F.coalesce(F.col(t), F.lit(0)).cast("bigint").alias(t) for t in EVENT_TYPES])
+
+
 def latest_interim(events: DataFrame, p: Params) -> DataFrame:
     """Interim reply at each user END (the model's lazy reply) overwrites the previous one;
     with preemptive synthesis it starts a reply at once when nothing plays or the playing

@@ -252,6 +252,19 @@ def q_event_counts(spark, d):
     return turns.event_counts(agent_events(spark, d))
 
 
+@query("event_counts_wide", sql("""
+SELECT session_id,
+       count(*) FILTER (WHERE event_type = 'user_started_speaking') AS user_started_speaking,
+       count(*) FILTER (WHERE event_type = 'user_stopped_speaking') AS user_stopped_speaking,
+       count(*) FILTER (WHERE event_type = 'agent_started_speaking') AS agent_started_speaking,
+       count(*) FILTER (WHERE event_type = 'agent_stopped_speaking') AS agent_stopped_speaking,
+       count(*) FILTER (WHERE event_type = 'vad_inference_done') AS vad_inference_done
+FROM agent_events GROUP BY session_id
+"""))
+def q_event_counts_wide(spark, d):
+    return turns.event_counts_wide(agent_events(spark, d))
+
+
 @query("latest_interim", sql("""
 SELECT session_id, event_id, t_us, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'a b c' END AS response_text,
        playing_id AS playing_speech_id, (playing_id IS NULL OR playing_id % 3 <> 0) AS starts_reply
