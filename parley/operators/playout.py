@@ -164,6 +164,11 @@ def speech_kind(speeches: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "tool", F.lit(1)).otherwise(F.lit(0)).alias("fnc_nested_depth"))
 
 
+def speech_kind_counts(speeches: DataFrame) -> DataFrame:
+    """Number of speeches per kind (reply / speech / tool)."""
+    return speeches.groupBy("kind").agg(F.count(F.lit(1)).alias("n_speeches"))
+
+
 def pending_supersede(speeches: DataFrame, p: Params) -> DataFrame:
     """Among pending replies of a turn (floor(t / 365 days)), the newest by (t, id) survives.
 

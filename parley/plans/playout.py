@@ -159,6 +159,11 @@ def q_speech_kind(spark, d):
     return po.speech_kind(speeches(spark, d))
 
 
+@query("speech_kind_counts", sql("SELECT kind, count(*) AS n_speeches FROM speeches GROUP BY kind"))
+def q_speech_kind_counts(spark, d):
+    return po.speech_kind_counts(speeches(spark, d))
+
+
 @query("pending_supersede", sql("""
 SELECT speech_id, session_id, turn,
        CASE WHEN row_number() OVER (PARTITION BY session_id, turn ORDER BY t_us DESC, speech_id DESC) = 1
