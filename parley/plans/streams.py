@@ -58,4 +58,9 @@ def q_stream_asset_dedupe(spark, d):
     return twins.run_asset_dedupe(spark, audio_vectors(spark, d))
 
 
+@query("stream_event_log", ORACLES["event_log"])
+def q_stream_event_log(spark, d):
+    return twins.run_event_log(spark, agent_events(spark, d))
+
+
 _ = (qs, qa, qx)  # the twins reuse oracles registered by these modules

@@ -339,3 +339,18 @@ def run_asset_dedupe(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 
     r = run_available_now(spark, "assets", vectors, start, slices=SLICES, order_col="vec_id")
     return r.select("fp", "vec_id", "path", F.substring("fp", 1, 2).alias("prefix"), F.md5("wav").alias("wav_md5"))
+
+
+def run_event_log(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Fan-out of the live event log: every micro-batch is written once, partitioned by
+    event name, so each subscriber reads its own directory (foreachBatch)."""
+    from parley.operators.telemetry import event_log
+
+    def start(stream, out):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            event_log(batch).write.mode("append").partitionBy("event").parquet(out)
+
+        return stream.writeStream.foreachBatch(write)
+
+    r = run_available_now(spark, "event_log", events, start, slices=SLICES, order_col="t_us")
+    return r.select("session_id", "event_id", "t_us", F.col("event").cast("string").alias("event"))
