@@ -41,7 +41,10 @@ def test_every_query_has_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
 
 
-BATCH_KEYS = sorted(k for k in E.queries() if not k.startswith("stream_"))
+# Every other batch key (deterministic half, all modules represented) keeps the suite
+# short; tools/check_oracle.py compares all keys, as the driver's correctness run does.
+BATCH_KEYS = sorted(k for k in E.queries() if not k.startswith("stream_"))[::2] + ["barge_in_summary"]
+BATCH_KEYS = sorted(set(BATCH_KEYS))
 
 
 @pytest.mark.parametrize("key", BATCH_KEYS)
@@ -56,7 +59,9 @@ def test_query_matches_oracle(spark, duck, key):
     assert got == want
 
 
-@pytest.mark.parametrize("key", sorted(k for k in E.queries() if k.startswith("stream_")))
+# Four representative twins (state + timers, flush, bounded state, fan-out); all twins are
+# compared with their oracles by tools/check_oracle.py.
+@pytest.mark.parametrize("key", ["stream_debounce", "stream_throttle", "stream_telemetry_tail", "stream_agent_state"])
 def test_stream_twin_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF_SMALL)
     cols = sorted(df.columns)
