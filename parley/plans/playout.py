@@ -171,7 +171,7 @@ SELECT speech_id, session_id, turn,
 FROM (SELECT *, CAST(floor(t_us / (365 * 86400000000)) AS BIGINT) AS turn FROM speeches WHERE kind = 'reply')
 """))
 def q_pending_supersede(spark, d):
-    return po.pending_supersede(speeches(spark, d), P)
+    return po.pending_supersede(speeches(spark, d, ["reply"]), P)
 
 
 @query("min_played_commit", q("""

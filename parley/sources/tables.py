@@ -105,9 +105,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP: speech_id, session_id, t_us, kind, allow_interruptions, add_to_chat_ctx (+ text)."""
+# Order priority -> speech kind (FIXTURES.md, SP adapter); others are 'speech'.
+KIND_PRIORITIES = {"reply": ("1-URGENT", "2-HIGH"), "tool": ("5-LOW",)}
+
+
+def speeches(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
+    """SP: speech_id, session_id, t_us, kind, allow_interruptions, add_to_chat_ctx (+ text).
+
+    ``kinds`` ('reply' / 'tool') keeps only those kinds with a filter on the source
+    column, so it reaches the parquet scan.
+    """
     o = read(spark, sf_dir, "orders")
+    if kinds is not None:
+        if "speech" in kinds:
+            raise ValueError("kind 'speech' is the complement; filter after the adapter")
+        o = o.where(F.col("o_orderpriority").isin(*[x for k in kinds for x in KIND_PRIORITIES[k]]))
     return o.select(
         F.col("o_orderkey").alias("speech_id"),
         F.col("o_custkey").alias("session_id"),
