@@ -87,3 +87,23 @@ def test_sentences_keep_whole_text(spark):
     docs = spark.createDataFrame([(1, "One. Two!? three", "en", 0)], "doc_id long, text string, lang string, n_chars long")
     got = [r.sentence for r in tx.sentence_split(docs).orderBy("idx").collect()]
     assert got == ["One.", " Two!?", " three"]
+
+
+def test_event_counts_wide_zero_fill(spark):
+    ev = ev_rows(spark, [(1, 1, 0, US), (1, 2, 1, US), (1, 3, 2, VD), (2, 4, 0, AE)])
+    got = {r.session_id: (r[US], r[UE], r[AS], r[AE], r[VD]) for r in turns.event_counts_wide(ev).collect()}
+    assert got == {1: (2, 0, 0, 0, 1), 2: (0, 0, 0, 1, 0)}
+
+
+def test_playout_events_and_kind_counts(spark):
+    sp = spark.createDataFrame([(1, 1, 0, "reply", True, True, "a"), (2, 1, 0, "tool", True, True, "b"),
+                                (3, 1, 0, "reply", True, True, "c")],
+                               "speech_id long, session_id long, t_us long, kind string, allow_interruptions boolean, "
+                               "add_to_chat_ctx boolean, text string")
+    fr = spark.createDataFrame([(1, 1, 1, 16000, "N", "O"), (2, 1, 1, 16000, "R", "F")],
+                               "speech_id long, frame_idx int, samples_per_channel long, sample_rate int, flag string, "
+                               "status string")
+    ev = sorted((r.speech_id, r.event) for r in po.playout_events(sp, fr).collect())
+    # speech 1 played fully; speech 2 was interrupted before its first frame; speech 3 has no frames
+    assert ev == [(1, "playout_started"), (1, "playout_stopped"), (1, "segment_playout_finished")]
+    assert {r.kind: r.n_speeches for r in po.speech_kind_counts(sp).collect()} == {"reply": 2, "tool": 1}
