@@ -144,3 +144,17 @@ def test_interrupted_queue_uses_played_durations(spark):
     full = {r.speech_id: r.start_us for r in po.playout_queue(sp, fr, P).collect()}
     cut = {r.speech_id: r.start_us for r in po.playout_queue(sp, fr, P, interrupted=True).collect()}
     assert full[2] == 9 * DAY_US and cut[2] == 2 * DAY_US  # speech 1 stops before frame 2
+
+
+def test_request_json_escaping_matches_duckdb(spark):
+    import duckdb
+
+    texts = ['say "hi"', "back\\slash", "line\nbreak\ttab", "ctl\x01char", "é ü ß 中文", "emoji 😀", "</x> & /"]
+    rows = [(1, i, "user", t, None) for i, t in enumerate(texts)]
+    got = tx.chat_request_json(spark.createDataFrame(rows, CH)).collect()[0].request_json
+    con = duckdb.connect()
+    con.execute("CREATE TABLE m(turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO m VALUES (?, ?, ?)", [(r[1], r[2], r[3]) for r in rows])
+    want = con.sql("SELECT CAST(to_json(list(struct_pack(role := role, content := [struct_pack(type := 'text', "
+                   "text := text)]) ORDER BY turn)) AS VARCHAR) FROM m").fetchall()[0][0]
+    assert got == want
