@@ -57,10 +57,7 @@ def ascii_lower(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of runs of non-space characters; 0 for null."""
-    parts = F.split(text, SPACES)
-    n = F.size(parts).cast("long") - F.when(F.element_at(parts, 1) == "", 1).otherwise(0) - F.when(
-        (F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.coalesce(n, F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.filter(F.split(text, SPACES), lambda w: w != "")), F.lit(0)).cast("long")
 
 
 def held_out(doc_id: Column) -> Column:
