@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import decontaminate, langid, mixing, sharding
+from parley.llm import decontaminate, jaccard, langid, mixing, sharding
 from parley.llm.common import materialize, table
 
 
@@ -13,6 +13,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, langid.fit(docs))
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -28,7 +33,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_records(docs)
 
 
-STAGES = [("language", language), ("benchmark", clean), ("mix", mix), ("shards", shard)]
+STAGES = [("language", language), ("near duplicates", distinct), ("benchmark", clean), ("mix", mix), ("shards", shard)]
 
 # Trained models and hash-seeded choices have no SQL form; tests/llm holds run() against plain Python.
 ORACLE_SQL = None
@@ -39,5 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
+            docs = materialize(docs, f"pipeline-{k}")
     return docs

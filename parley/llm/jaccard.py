@@ -39,7 +39,7 @@ class Join:
     range_shingles: int = 2_000_000   # shingles of one range, in one task's memory
     bucket: int = 16                  # sets in a bucket that lists all its pairs
     rounds: int = 4                   # leader rounds at most, then stragglers are listed
-    listed: float = 4.0               # pairs that may be listed, times the prefix entries
+    listed: float = 1.0               # pairs that may be listed, times the prefix entries
 
 
 class _Words(dict):
@@ -290,6 +290,7 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
     # each entry meets the leaders of its own and the neighbouring size classes
     around = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
     wide = materialize(large.select("token", around, F.col("class").alias("own"), "unit", "n", "pos"), "jaccard-wide")
+    before = float("inf")
     for r in range(p.rounds):
         labels = components(links)
         label_of = labels.select(F.col("ent").alias("unit"), "label")
@@ -303,8 +304,9 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
         wide_now = now(wide)
         open_ = wide_now.alias("x").join(main.alias("y"), ["token", "class"]).where("x.label <> y.label")
         left = open_.agg(F.sum("all")).first()[0] or 0
-        if left <= p.listed * n_large:
+        if left <= p.listed * n_large or left > before / 2:   # few pairs are left, or leaders no longer help
             break
+        before = left
         pairs = open_.select(F.col("unit").alias("a"), F.col("leader.unit").alias("b"))
         links = materialize(links.union(_verify(pairs, sets, p.percent)), "jaccard-links")
     else:

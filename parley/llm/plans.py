@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, jaccard, langid, mixing, sharding, toxicity
-from parley.llm.common import held_out, table
+from parley.llm import decontaminate, jaccard, langid, linededup, mixing, secrets, sharding, toxicity, warc
+from parley.llm.common import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,49 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.a = w.doc_id GROUP BY
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
+l AS (SELECT doc_id, text, i, line FROM (SELECT doc_id, text, unnest(range(len(x))) AS i, unnest(x) AS line
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM d)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+t AS (SELECT doc_id, text, i, string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS t FROM l),
+k AS (SELECT doc_id, text, i, len(t) || ' ' || array_to_string(list_transform(t[1:6], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS k FROM t),
+r AS (SELECT k FROM (SELECT DISTINCT k, doc_id, text FROM k) GROUP BY k HAVING count(*) >= 3),
+x AS (SELECT doc_id, text, list(i) AS i FROM k SEMI JOIN r USING (k) GROUP BY doc_id, text),
+n AS (SELECT doc_id, text, count(*) AS n FROM l GROUP BY doc_id, text)
+SELECT o.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(len(x.i), 0)::BIGINT AS n_dropped,
+  CASE WHEN x.i IS NULL THEN o.text ELSE coalesce((SELECT string_agg(line, chr(10) ORDER BY j) FROM
+    (SELECT unnest(range(len(y))) AS j, unnest(y) AS line FROM (SELECT string_split(o.text, chr(10)) AS y)) WHERE NOT list_contains(x.i, j)), '') END AS clean_text
+FROM documents o LEFT JOIN x ON x.doc_id = o.doc_id AND x.text = o.text LEFT JOIN n ON n.doc_id = o.doc_id AND n.text = o.text
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", *linededup.OUT)
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS s FROM p),
+g AS (SELECT page_id, n, s, min(page_id) OVER (PARTITION BY s) AS first FROM h)
+SELECT page_id, n AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (j // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31)::INT + 1, 1), '' ORDER BY j)
+   FROM (SELECT unnest(range(32)) AS j)) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read(spark, path, payloads=False).drop("url")
