@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, jaccard, langid, linededup, mixing, secrets, sharding, toxicity, warc
+from parley.llm import decontaminate, jaccard, langid, linededup, mixing, search, secrets, sharding, toxicity, warc
 from parley.llm.common import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return warc.read(spark, path, payloads=False).drop("url")
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT rid, doc_id, len, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS len, unnest(w) AS term FROM w) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+g AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+q AS (SELECT DISTINCT doc_id AS query_id, term FROM t WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, rid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM q JOIN t USING (term) JOIN df USING (term), g GROUP BY query_id, rid, doc_id)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op9_topk_search", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries)
