@@ -9,9 +9,9 @@
 4. Sets with identical prefix and size collapse into a group. Members linked to their group's leader stay
    collapsed as one unit; the others stand alone.
 5. Units that share a prefix shingle, with fitting sizes and positions, are candidate pairs. Small buckets list all
-   pairs. Large ones are compared with one leader per size class and round; members that end up in the
-   bucket's largest component need no further pair with it, so only stragglers are compared with
-   the whole bucket in the end. No pair between different components is left out.
+   pairs. Large ones are compared with a few leaders per size class and round, as long as that
+   helps; members that end up in the bucket's largest component need no further pair with it, so only
+   stragglers are compared with the whole bucket in the end. No pair between different components is left out.
 6. Candidate units are expanded to members and verified on the whole shared sets.
 
 Shingles are told apart by 40 bits beside the bits of the range number (46 bits at least), sets by 64 bits.
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,7 +38,7 @@ class Join:
     percent: int = 75
     range_shingles: int = 2_000_000   # shingles of one range, in one task's memory
     bucket: int = 16                  # sets in a bucket that lists all its pairs
-    rounds: int = 4                   # leader rounds at most, then stragglers are listed
+    leaders: int = 3                  # of a large bucket in each round
     listed: float = 1.0               # pairs that may be listed, times the prefix entries
 
 
@@ -242,9 +242,8 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
 
 
-def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFrame | None:
-    """(ent, label) of the sets with a link; None without candidates."""
-    spark = docs.sparkSession
+def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFrame:
+    """(ent, label) of the sets with candidates."""
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(6, int(total // p.range_shingles).bit_length()))
     shared = _shared(_deal(docs, bits, p).repartition(1 << bits, "part"), bits, 1 << bits)
@@ -283,45 +282,42 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
     near = expanded(small.alias("x").join(small.alias("y"), F.col("x.token") == F.col("y.token"))
                     .where((F.col("x.unit") < F.col("y.unit")) & fits("x", "y")).select(F.col("x.unit").alias("u"), F.col("y.unit").alias("v")))
     links = materialize(first.union(_verify(near, sets, p.percent)), "jaccard-links")
+    labels = materialize(grouped.select("ent").join(components(links), "ent", "left").select("ent", F.coalesce("label", "ent").alias("label")), "jaccard-labels")
     n_large = large.count()
     if not n_large:
-        return components(links)
+        return labels
+
+    def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """Labels after new links; of links between the same two components one is as good as all."""
+        of = lambda x: labels.select(F.col("ent").alias(x), F.col("label").alias(f"l_{x}"))
+        between = materialize(found.join(of("a"), "a").join(of("b"), "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct(), "jaccard-merges")
+        to = components(between).select(F.col("ent").alias("label"), F.col("label").alias("to"))
+        return materialize(labels.join(to, "label", "left").select("ent", F.coalesce("to", "label").alias("label")), "jaccard-labels")
 
     # each entry meets the leaders of its own and the neighbouring size classes
     around = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
-    wide = materialize(large.select("token", around, F.col("class").alias("own"), "unit", "n", "pos"), "jaccard-wide")
-    before = float("inf")
-    for r in range(p.rounds):
-        labels = components(links)
-        label_of = labels.select(F.col("ent").alias("unit"), "label")
-        now = lambda df: df.join(label_of, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-        large_now = materialize(now(large), "jaccard-large")
-        # the largest component of each bucket and class, and its leader (another one each round)
-        by_label = large_now.groupBy("token", "class", "label").agg(
-            F.count("*").alias("k"), F.min_by(F.struct("unit", "n", "pos"), F.xxhash64(F.lit(r), "unit")).alias("leader"))
-        main = materialize(by_label.groupBy("token", "class").agg(F.max(F.struct("k", "label", "leader")).alias("m"), F.sum("k").alias("all"))
-                           .select("token", "class", "all", "m.*"), "jaccard-main")
-        wide_now = now(wide)
-        open_ = wide_now.alias("x").join(main.alias("y"), ["token", "class"]).where("x.label <> y.label")
-        left = open_.agg(F.sum("all")).first()[0] or 0
-        if left <= p.listed * n_large or left > before / 2:   # few pairs are left, or leaders no longer help
+    wide = materialize(large.select("token", around, "unit", "n", "pos"), "jaccard-wide")
+    before, r = float("inf"), 0
+    while True:
+        now = lambda df: df.join(labels.withColumnRenamed("ent", "unit"), "unit")
+        large_now, wide_now = materialize(now(large), "jaccard-large"), now(wide)
+        # the largest component of each bucket and class, with other leaders each round
+        leaders = F.array(*[F.min_by("unit", F.xxhash64(F.lit(r * p.leaders + i), "unit")) for i in range(p.leaders)])
+        by_label = large_now.groupBy("token", "class", "label").agg(F.count("*").alias("k"), leaders.alias("leaders"))
+        main = materialize(by_label.groupBy("token", "class").agg(F.max(F.struct("k", "label", "leaders")).alias("m"), F.sum("k").alias("all"))
+                           .select("token", "class", "all", "m.leaders", F.col("m.label").alias("main")), "jaccard-main")
+        stray = materialize(wide_now.join(main, ["token", "class"]).where("label <> main"), "jaccard-strays")
+        left = stray.agg(F.sum("all")).first()[0] or 0
+        if left <= p.listed * n_large or left > 0.9 * before:   # few pairs are left, or leaders no longer help
             break
-        before = left
-        pairs = open_.select(F.col("unit").alias("a"), F.col("leader.unit").alias("b"))
-        links = materialize(links.union(_verify(pairs, sets, p.percent)), "jaccard-links")
-    else:
-        labels = components(links)
-        label_of = labels.select(F.col("ent").alias("unit"), "label")
-        large_now = materialize(now(large), "jaccard-large")
-        by_label = large_now.groupBy("token", "class", "label").agg(F.count("*").alias("k"))
-        main = materialize(by_label.groupBy("token", "class").agg(F.max(F.struct("k", "label")).alias("m")).select("token", "class", "m.label"), "jaccard-main")
-        wide_now = now(wide)
+        before, r = left, r + 1
+        pairs = stray.select(F.col("unit").alias("a"), F.explode("leaders").alias("b"))
+        labels = merged(labels, _verify(pairs, sets, p.percent))
     # whoever is outside the largest component of a bucket meets all of the bucket
-    stray = wide_now.join(main.select("token", "class", F.col("label").alias("main")), ["token", "class"]).where("label <> main")
     rest = (stray.alias("x").join(large_now.alias("y"), ["token", "class"])
             .where((F.col("x.label") != F.col("y.label")) & fits("x", "y"))
             .select(F.least("x.unit", "y.unit").alias("u"), F.greatest("x.unit", "y.unit").alias("v")))
-    return components(materialize(links.union(_verify(expanded(rest), sets, p.percent)), "jaccard-links"))
+    return merged(labels, _verify(expanded(rest), sets, p.percent))
 
 
 def near_duplicates(docs: DataFrame, p: Join = Join()) -> DataFrame:
