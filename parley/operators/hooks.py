@@ -69,6 +69,38 @@ def batch_reply(requests: DataFrame, factory: ModelFactory = echo_model) -> Data
     return requests.select("session_id", "turn", "history").mapInPandas(run, REPLY_SCHEMA)
 
 
+def reply_in_order(chat: DataFrame, factory: ModelFactory = echo_model) -> DataFrame:
+    """One model call at every user message, with the whole history up to it.
+
+    A conversation's messages (session_id, turn, role, text) come in order to one task, which appends
+    them to the running history across Arrow batches: each message is shipped once. The
+    model gets the history as a list of dicts (turn, role, text); errors go to the ``error`` column.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = factory()  # once per partition
+        session, history = None, []
+        for pdf in batches:
+            rows = []
+            for sid, turn, role, text in zip(pdf["session_id"], pdf["turn"], pdf["role"], pdf["text"]):
+                if sid != session:
+                    session, history = sid, []
+                history.append({"turn": turn, "role": role, "text": text})
+                if role != "user":
+                    continue
+                try:
+                    before = ""
+                    for k, cum in enumerate(fn(None, history), start=1):
+                        rows.append((sid, turn, k, cum[len(before):], None))
+                        before = cum
+                except Exception as ex:  # noqa: BLE001 - the error is data
+                    rows.append((sid, turn, 0, None, f"{type(ex).__name__}: {ex}"))
+            yield pd.DataFrame(rows, columns=["session_id", "turn", "seq", "delta", "error"])
+
+    ordered = chat.select("session_id", "turn", "role", "text").repartition("session_id").sortWithinPartitions("session_id", "turn")
+    return ordered.mapInPandas(run, REPLY_SCHEMA)
+
+
 def text_hook(texts: DataFrame, hook: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """before-TTS hook as a Column -> Column function (default identity); a null result is
     a violation row instead of the reference's error."""

@@ -47,22 +47,12 @@ def session_gate(events: DataFrame, telemetry: DataFrame, close_after_us: int =
         .select("session_id", "event_id", "which", "kind", (F.col("t_us") - F.col("_start")).alias("x_us"), "y")
 
 
-def series_tail(values: DataFrame, n: int, bucket_width: int) -> DataFrame:
-    """Newest ``n`` points per (session, series), exact and skew-safe.
-
-    Buckets whose later buckets already hold >= n points cannot contribute; the rest are
-    ranked within their bucket and offset by the count of later points.
-    """
-    key = ["session_id", "which"]
-    v = values.withColumn("_b", F.expr(f"t_us div {int(bucket_width)}"))
-    counts = v.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(*key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = counts.select(*key, "_b", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_later")) \
-        .where(F.col("_later") < n)
-    c = v.join(later, [*key, "_b"])
-    w = Window.partitionBy(*key, "_b").orderBy(F.col("t_us").desc(), F.col("event_id").desc())
-    r = c.withColumn("rank", (F.col("_later") + F.row_number().over(w)).cast("bigint"))
-    return r.where(F.col("rank") <= n).drop("_b", "_later")
+def series_tail(values: DataFrame, n: int) -> DataFrame:
+    """Newest ``n`` points per (session, series). Spark limits each map task to n rows per key before
+    the exchange (WindowGroupLimit), so a hot series is no skew."""
+    w = Window.partitionBy("session_id", "which").orderBy(F.col("t_us").desc(), F.col("event_id").desc())
+    return values.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n) \
+        .withColumn("rank", F.col("_rank").cast("bigint")).drop("_rank")
 
 
 def event_retention(telemetry: DataFrame, retention_us: int) -> DataFrame:

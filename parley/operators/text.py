@@ -67,14 +67,17 @@ def single_turn(chat: DataFrame) -> DataFrame:
 
 
 def chat_context_snapshot(chat: DataFrame, p: Params) -> DataFrame:
-    """Context visible at each turn: the last ``context_last_n`` messages up to this one.
+    """Context visible at each turn, cut by the caller to the last ``context_last_n`` messages.
 
-    Skew-safe and exact: messages get a dense rank per session (bucketed scan); ranks
+    The whole history of every turn is quadratic, so it has no such table: ``context_sizes`` measures
+    it, and ``hooks.reply_in_order`` hands it to a model message by message. Skew-safe and exact: messages get a dense rank per session (bucketed scan); ranks
     are cut into blocks of ``n`` and every message is also copied into the next block as
     look-back, so each window (partitioned by session and block) sees the n - 1 messages
     before any of its own rows.
     """
     n = p.context_last_n
+    if n is None:
+        raise ValueError("a table of contexts needs context_last_n")
     r = scan(chat.select("session_id", "turn", "role", "text"), ["session_id"], ["turn"],
              {"_rank": run_sum(F.lit(1).cast("bigint"))}, p.turn_bucket)
     r = r.withColumn("_blk", F.expr(f"(_rank - 1) div {n}"))
@@ -86,6 +89,14 @@ def chat_context_snapshot(chat: DataFrame, p: Params) -> DataFrame:
     return out.where("_own").drop("_own")
 
 
+def context_sizes(chat: DataFrame, p: Params) -> DataFrame:
+    """Size of the whole context visible at each turn: messages and characters up to this one
+    (null text counts as a message without characters). Two running sums, nothing is collected."""
+    r = scan(chat.select("session_id", "turn", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("_chars")), ["session_id"], ["turn"],
+             {"n_messages": run_sum(F.lit(1).cast("bigint")), "context_chars": run_sum(F.col("_chars"))}, p.turn_bucket)
+    return r.select("session_id", "turn", F.col("n_messages").cast("int").alias("n_messages"), "context_chars")
+
+
 def system_prompt_union(chat: DataFrame) -> DataFrame:
     """Every conversation starts with a system message: add one at turn -1 where missing."""
     has = chat.where(F.col("role") == "system").select("session_id").distinct()

@@ -49,9 +49,8 @@ class Params:
     bucket_us: int = DAY_US
     # Same for scans ordered by message turn number.
     turn_bucket: int = 1024
-    # Chat-context snapshots keep at most this many messages (windowed collect_list
-    # is quadratic in the window length).
-    context_last_n: int = 64
+    # Tables of contexts need a cut (windowed collect_list is quadratic); sizes and model calls don't.
+    context_last_n: int | None = None   # a caller's cut of the context; None = whole history
 
     def us(self, seconds: float) -> int:
         """Reference seconds -> engine microseconds (rounded, so both engines agree)."""

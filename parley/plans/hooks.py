@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 from parley.operators import hooks as hk
-from parley.operators import text as tx
 from parley.params import DEFAULT
 from parley.plans.oracle_base import sql, strip
 from parley.plans.registry import query
@@ -20,10 +19,8 @@ SELECT session_id, turn, CAST(generate_subscripts(ws, 1) AS INTEGER) AS seq,
 FROM (SELECT session_id, turn, regexp_extract_all(text, {WORD}) AS ws FROM chat_messages WHERE role = 'user')
 """))
 def q_batch_reply(spark, d):
-    """A model call at every user message with the context up to it."""
-    ctx = tx.chat_context_snapshot(chat_messages(spark, d), DEFAULT)
-    req = ctx.join(chat_messages(spark, d).where("role = 'user'").select("session_id", "turn"), ["session_id", "turn"])
-    return hk.batch_reply(req.withColumnRenamed("context", "history"))
+    """A model call at every user message with the whole history up to it."""
+    return hk.reply_in_order(chat_messages(spark, d))
 
 
 @query("text_hook", sql(f"""

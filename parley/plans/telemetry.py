@@ -57,7 +57,7 @@ SELECT * FROM (
   FROM tel WHERE kind = 'value') WHERE rank <= {P.telemetry_points}
 """, TEL))
 def q_series_tail(spark, d):
-    return tm.series_tail(tel(spark, d).where("kind = 'value'"), P.telemetry_points, P.bucket_us)
+    return tm.series_tail(tel(spark, d).where("kind = 'value'"), P.telemetry_points)
 
 
 @query("event_retention", sql(f"""

@@ -70,19 +70,14 @@ def q_single_turn(spark, d):
     return tx.single_turn(chat_messages(spark, d))
 
 
-@query("chat_context_snapshot", sql(f"""
-SELECT session_id, turn, CAST(len(ctx) AS INTEGER) AS n_messages,
-       array_to_string(list_transform(ctx, lambda x: CAST(x.turn AS VARCHAR)), ',') AS context_turns,
-       CAST(list_sum(list_transform(ctx, lambda x: length(x.text))) AS BIGINT) AS context_chars
-FROM (SELECT session_id, turn, list(struct_pack(turn := turn, text := text)) OVER (PARTITION BY session_id
-             ORDER BY turn ROWS BETWEEN {DEFAULT.context_last_n - 1} PRECEDING AND CURRENT ROW) AS ctx
-      FROM chat_messages)
+@query("chat_context_snapshot", sql("""
+SELECT session_id, turn, CAST(count(*) OVER w AS INTEGER) AS n_messages,
+       CAST(sum(coalesce(length(text), 0)) OVER w AS BIGINT) AS context_chars
+FROM chat_messages WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING)
 """))
 def q_chat_context_snapshot(spark, d):
-    s = tx.chat_context_snapshot(chat_messages(spark, d), DEFAULT)
-    return s.select("session_id", "turn", F.size("context").alias("n_messages"),
-                    F.array_join(F.transform("context", lambda x: x["turn"].cast("string")), ",").alias("context_turns"),
-                    F.aggregate("context", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["text"])).alias("context_chars"))
+    """The whole history visible at each turn, by its size."""
+    return tx.context_sizes(chat_messages(spark, d), DEFAULT)
 
 
 @query("system_prompt_union", sql(f"""

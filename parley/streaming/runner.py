@@ -11,7 +11,6 @@ lost executor or driver.
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable
 
@@ -22,23 +21,24 @@ from pyspark.sql.streaming import DataStreamWriter
 from parley.session import state_path
 
 
-def stage_in_order(data: DataFrame, src: str, slices: int, order_col: str | None) -> None:
-    """Write ``data`` to ``src`` as ``slices`` files in ``order_col`` order, one write per
-    slice, so a file source (ordered by modification time) delivers them in order.
-    Slice boundaries are approximate quantiles (a distributed aggregate, a few numbers)."""
+SLICE_ROWS = 5_000_000  # rows of a slice; more data means more slices, not larger ones
+
+
+def slices_in_order(data: DataFrame, slices: int, order_col: str | None) -> list[DataFrame]:
+    """``data`` cut at approximate quantiles of ``order_col`` (a distributed aggregate, a few numbers)
+    into ``slices`` parts or more; rows without an order value come with the first part."""
     if slices <= 1 or order_col is None:
-        data.write.mode("overwrite").parquet(src)
-        return
+        return [data]
+    slices = max(slices, data.count() // SLICE_ROWS)
     qs = data.approxQuantile(order_col, [k / slices for k in range(1, slices)], 0.001)
     bounds = [None, *sorted(set(qs)), None]
+    out = []
     for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(order_col) >= F.lit(lo))
+        cond = F.lit(True) if lo is None else F.col(order_col) >= F.lit(lo)
         if hi is not None:
             cond = cond & (F.col(order_col) < F.lit(hi))
-        data.where(cond).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(0.01)  # distinct modification times
+        out.append(data.where(cond | F.col(order_col).isNull() if lo is None else cond))
+    return out
 
 
 def run_available_now(
@@ -54,22 +54,27 @@ def run_available_now(
     """Stage ``data``, stream it through ``start(stream_df, out_path)`` and return the result.
 
     ``start`` returns a configured ``DataStreamWriter`` (sink + output mode); checkpoint
-    location and trigger are set here. With ``slices`` > 1 the input arrives as that many
-    time-ordered files, one per micro-batch, so state is carried across batches.
+    location and trigger are set here. With ``slices`` > 1 the input arrives in that many
+    time-ordered steps (many files each); the stream runs after every step, so state is carried
+    across runs and no order of files is relied on.
     """
     base = state_path(spark, f"streams/{name}/{uuid.uuid4().hex}")
     src, out, ckpt = f"{base}/src", f"{base}/out", f"{base}/ckpt"
-    stage_in_order(data, src, slices, order_col)
-    schema = spark.read.parquet(src).schema
+    schema = data.schema
+    if slices > 1:   # the input's plan runs once
+        data.write.parquet(f"{base}/input")
+        data = spark.read.schema(schema).parquet(f"{base}/input")
 
     def run() -> None:
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
         q = start(stream, out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
         q.awaitTermination()
         if q.exception() is not None:  # pragma: no cover
             raise RuntimeError(str(q.exception()))
 
-    run()
+    for part in slices_in_order(data, slices, order_col):
+        part.write.mode("append").parquet(src)
+        run()
     if sentinel is not None:
         for _ in range(2):
             sentinel.write.mode("append").parquet(src)

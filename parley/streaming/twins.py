@@ -280,7 +280,7 @@ def run_debounce(spark: SparkSession, events: DataFrame, p: Params) -> DataFrame
 
     r = run_available_now(spark, "debounce", events, start, sentinel=_event_sentinel(spark, events),
                           slices=SLICES, order_col="t_us")
-    return r.where(F.col("session_id") != SENTINEL_SESSION)
+    return r.where(~F.col("session_id").eqNullSafe(F.lit(SENTINEL_SESSION)))
 
 
 def run_agent_state(spark: SparkSession, events: DataFrame, p: Params) -> DataFrame:
@@ -289,7 +289,7 @@ def run_agent_state(spark: SparkSession, events: DataFrame, p: Params) -> DataFr
 
     r = run_available_now(spark, "agent_state", events, start, sentinel=_event_sentinel(spark, events),
                           slices=SLICES, order_col="t_us")
-    return r.where(F.col("session_id") != SENTINEL_SESSION)
+    return r.where(~F.col("session_id").eqNullSafe(F.lit(SENTINEL_SESSION)))
 
 
 def run_throttle(spark: SparkSession, chunks: DataFrame, p: Params) -> DataFrame:
@@ -299,7 +299,7 @@ def run_throttle(spark: SparkSession, chunks: DataFrame, p: Params) -> DataFrame
         return stream_throttle(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
 
     r = run_available_now(spark, "throttle", chunks, start, sentinel=sent, slices=SLICES, order_col="t_us")
-    return r.where(F.col("stream_id") != "__sentinel__")
+    return r.where(~F.col("stream_id").eqNullSafe(F.lit("__sentinel__")))
 
 
 def run_telemetry_tail(spark: SparkSession, telemetry: DataFrame, p: Params) -> DataFrame:
@@ -310,7 +310,7 @@ def run_telemetry_tail(spark: SparkSession, telemetry: DataFrame, p: Params) ->
 
     r = run_available_now(spark, "telemetry_tail", telemetry, start, sentinel=sent, slices=SLICES,
                           order_col="t_us")
-    return r.where(F.col("session_id") != SENTINEL_SESSION)
+    return r.where(~F.col("session_id").eqNullSafe(F.lit(SENTINEL_SESSION)))
 
 
 def run_usage(spark: SparkSession, metrics_df: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def test_series_tail_brute_force(spark):
     rows = [(rnd.randrange(3), i, rnd.randint(0, 5000), rnd.choice(["raw_vol", "vad_probability"]), 0.5, "value")
             for i in range(900)]
     got = sorted((r.session_id, r.which, r.event_id, r.rank)
-                 for r in tm.series_tail(_tel(spark, rows), 25, bucket_width=97).collect())
+                 for r in tm.series_tail(_tel(spark, rows), 25).collect())
     want = []
     for s in range(3):
         for w in ["raw_vol", "vad_probability"]:

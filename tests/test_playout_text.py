@@ -158,3 +158,21 @@ def test_request_json_escaping_matches_duckdb(spark):
     want = con.sql("SELECT CAST(to_json(list(struct_pack(role := role, content := [struct_pack(type := 'text', "
                    "text := text)]) ORDER BY turn)) AS VARCHAR) FROM m").fetchall()[0][0]
     assert got == want
+
+
+def test_whole_history_reaches_sizes_and_model(spark):
+    from parley.operators import hooks as hk
+
+    rows = [(7, t, "user" if t % 2 else "assistant", "x" * (t % 3), None) for t in range(100)]
+    ch = spark.createDataFrame(rows, CH)
+    got = {r.turn: (r.n_messages, r.context_chars) for r in tx.context_sizes(ch, P).collect()}
+    assert got == {t: (t + 1, sum(k % 3 for k in range(t + 1))) for t in range(100)}
+    seen = hk.reply_in_order(ch.repartition(5), lambda: lambda audio, history: [str(len(history))])
+    assert sorted((r.turn, r.delta) for r in seen.collect()) == [(t, str(t + 1)) for t in range(1, 100, 2)]
+
+
+def test_slices_keep_rows_without_order(spark):
+    from parley.streaming.runner import slices_in_order
+
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 9), (4, 1)], "id long, t long")
+    assert sorted(r.id for part in slices_in_order(df, 3, "t") for r in part.collect()) == [1, 2, 3, 4]
