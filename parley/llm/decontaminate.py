@@ -61,8 +61,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamina
     lengths = sorted(lengths)
     by_len = lambda words, pos, size: F.coalesce(F.lit(None).cast("long"), *[F.when(size == x, _key(words, pos, x)) for x in lengths])
     windows = windows.select(by_len(F.col("words"), F.lit(1), F.col("len")).alias("_b_key"), F.col("words").alias("_b_words"), "items")
-    if n * 200 + (chars or 0) * 4 <= p.broadcast_mb << 20:
-        windows = F.broadcast(windows)
+    small = n * 200 + (chars or 0) * 4 <= p.broadcast_mb << 20
 
     # Position 0 stands for the document itself, so that documents without hits stay. explode_outer: the
     # filter that explode adds below itself would compute the words a second time.
@@ -76,11 +75,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamina
         rows = rows.withColumn("_dc_len", F.explode_outer(F.when(pos > 0, every).otherwise(F.slice(every, 1, 1))))
     inside = (pos > 0) & (pos + size - 1 <= F.size(words))
     rows = rows.withColumn("_dc_key", F.when(inside, by_len(words, pos, size)))
-    found = rows.join(windows, F.col("_dc_key") == F.col("_b_key"), "left")
     is_doc = pos == 0
     # the words are compared behind the join: as a join condition they would become a second hash key
-    same = F.col("_b_key").isNotNull() & (F.slice(words, F.greatest(pos, F.lit(1)), size) == F.col("_b_words"))
-    return (found.where(is_doc | same)
+    window = F.slice(words, F.greatest(pos, F.lit(1)), size)
+    if small:
+        found = rows.join(F.broadcast(windows), F.col("_dc_key") == F.col("_b_key"), "left").where(
+            is_doc | (F.col("_b_key").isNotNull() & (window == F.col("_b_words"))))
+    else:
+        # a shuffled row takes its own window along, not the text; rows that stand for documents stay out of the join
+        each = rows.where(inside).select("doc_id", "_dc_text", "_dc_pos", "_dc_len", "_dc_key", window.alias("_dc_words"))
+        each = each.join(windows, F.col("_dc_key") == F.col("_b_key")).where(F.col("_dc_words") == F.col("_b_words"))
+        found = rows.where(is_doc).withColumn("items", F.lit(None).cast("array<string>")).unionByName(each.select("doc_id", "_dc_text", "_dc_words", "_dc_pos", "_dc_len", "_dc_key", "items"))
+    return (found
                  .select("doc_id", "_dc_text", is_doc.alias("doc"), F.when(is_doc, F.size(words)).alias("n"),
                          F.when(~is_doc, F.struct(pos.alias("first"), (pos + size).alias("end"), "items")).alias("span"))
                  .groupBy("doc_id", "_dc_text")
