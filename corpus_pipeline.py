@@ -35,7 +35,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near duplicates", distinct), ("benchmark", clean), ("mix", mix), ("shards", shard)]
 
-# Trained models and hash-seeded choices have no SQL form; tests/llm holds run() against plain Python.
+# Trained models and hash-seeded choices have no SQL form; tests/llm holds the operators against plain Python.
 ORACLE_SQL = None
 
 
