@@ -50,6 +50,14 @@ def _remove_written() -> None:
             remove(spark, path)
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Lowers the session's Arrow batch size in bytes: a batch of whole texts is held several times over
+    (JVM, Arrow buffers, Python). It changes memory only, no result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= megabytes << 20:
+        spark.conf.set(key, f"{megabytes}m")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that by itself on pure ASCII and is much faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

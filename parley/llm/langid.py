@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import learnable
+from parley.llm.common import bounded_batches, learnable
 from parley.llm.textbytes import pieces, words
 
 UNKNOWN = "und"
@@ -110,7 +110,7 @@ def predictor(model: Model):
 
     def f(texts: pa.Array) -> pa.Array:
         lang, score, rejected = [], [], []
-        for some in pieces(texts):
+        for some in pieces(texts, 1 << 19):
             c = np.stack([counts(t, model.dims) for t in some])
             known = np.array([has_letter(t, words(t)) for t in some])
             if not model.langs:
@@ -135,10 +135,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null text or text without a letter: ``und``, 0, rejected. With nothing learned: all ``und``.
     Repeated rows: each predicted. Empty table: no rows.
     """
+    bounded_batches(docs.sparkSession)
     out = docs.drop("lang_pred", "score", "rejected").withColumn("_li", predictor(model)(F.col("text")))
     return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_li"], "_li.lang_pred", "_li.score", "_li.rejected")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, unchanged."""
+    bounded_batches(docs.sparkSession)
     return docs.where(~predictor(model)(F.col("text"))["rejected"])
