@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 PCM16_MAX = 32767  # full scale of 16-bit PCM
 DATA_URL_PREFIX = "data:audio/wav;base64,"
+# Fixed value: "WAVE", "fmt " chunk of 16 bytes: PCM, 1 channel, 16000 Hz, 32000 bytes/s, 2 bytes a frame, 16 bits.
+WAV_FORMAT_HEX = "57415645666D7420" "10000000" "0100" "0100" "803E0000" "007D0000" "0200" "1000"
 
 
 def peak(samples: Column) -> Column:
@@ -45,6 +47,19 @@ def pcm16_bytes(pcm: Column) -> Column:
     return F.unhex(F.array_join(F.transform(pcm, le), ""))
 
 
+def _le32(n: Column) -> Column:
+    h = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*[F.substring(h, at, 2) for at in (7, 5, 3, 1)])
+
+
+def wav_bytes(pcm: Column) -> Column:
+    """A WAV file of the samples: RIFF header (PCM, mono, 16 kHz, 16 bit), then the little-endian samples."""
+    data = pcm16_bytes(pcm)
+    n = F.length(data).cast("bigint")
+    header = F.concat(F.lit("52494646"), _le32(n + 36), F.lit(WAV_FORMAT_HEX), F.lit("64617461"), _le32(n))
+    return F.concat(F.unhex(header), data)
+
+
 def data_url(b: Column) -> Column:
     """data:audio/wav;base64,<payload> without the line breaks Spark's base64 may insert."""
     return F.concat(F.lit(DATA_URL_PREFIX), F.translate(F.base64(b), "\r\n", ""))

@@ -44,7 +44,7 @@ def asset_rows(vectors: DataFrame) -> DataFrame:
     f = fingerprints(vectors).where(F.col("fp").isNotNull())
     g = f.groupBy("fp").agg(F.min_by("pcm16", "vec_id").alias("pcm16"), F.min("vec_id").alias("vec_id"))
     return g.select("fp", "vec_id", F.concat(F.lit("tmp_"), F.col("fp"), F.lit(".wav")).alias("path"),
-                    F.substring("fp", 1, 2).alias("prefix"), fa.pcm16_bytes(F.col("pcm16")).alias("wav"))
+                    F.substring("fp", 1, 2).alias("prefix"), fa.wav_bytes(F.col("pcm16")).alias("wav"))
 
 
 def existing_assets(spark: SparkSession, store: str | None) -> DataFrame:
@@ -53,8 +53,9 @@ def existing_assets(spark: SparkSession, store: str | None) -> DataFrame:
     if store:
         try:
             return spark.read.parquet(store).select("fp")
-        except AnalysisException:  # no store yet
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":   # only a missing store is an empty one
+                raise
     return spark.createDataFrame([], "fp string")
 
 

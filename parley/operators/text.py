@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions import audio as fa
 from parley.functions.text import SENTENCE_RE, WORD_RE, ends_with_punct, word_count
 from parley.operators.scan import run_sum, scan
 from parley.params import Params
@@ -128,9 +129,13 @@ def response_event_struct(chat: DataFrame) -> DataFrame:
 
 def chat_request_json(chat: DataFrame) -> DataFrame:
     """Request body over a conversation's whole history: [{role, content: [{type, text}]}]
-    (text preferred; audio -> audio_url). Quarantined (both null) messages are left out."""
+    (text preferred; audio -> [{type, audio_url}], a WAV data URL; silence stays silence). Quarantined
+    (both null or both set) messages are left out."""
     ok = chat.where(message_status(F.col("text"), F.col("audio"), F.col("role")) == "ok")
-    content = F.when(F.col("text").isNotNull(), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    url = fa.data_url(fa.wav_bytes(fa.pcm16(F.coalesce(fa.normalize(F.col("audio")), F.col("audio")))))
+    # to_json leaves null fields out, so a part has its own field only
+    content = F.array(F.struct(F.when(F.col("text").isNotNull(), "text").otherwise("audio").alias("type"),
+                               F.col("text"), F.when(F.col("text").isNull(), url).alias("audio_url")))
     msg = F.struct(F.col("turn"), F.struct(F.col("role").alias("role"), content.alias("content")).alias("m"))
     g = ok.groupBy("session_id").agg(F.sort_array(F.collect_list(msg)).alias("ms"))
     return g.select("session_id", F.size("ms").cast("bigint").alias("n_messages"),
@@ -183,16 +188,18 @@ def source_routing(chat: DataFrame, chunks: DataFrame) -> DataFrame:
 def stream_interrupts(chunks: DataFrame) -> DataFrame:
     """Test derivation: a stream is interrupted when (conv_id + turn) % 3 = 0, at 3/5 of its
     last chunk time."""
-    g = chunks.groupBy("stream_id").agg(F.max("t_us").alias("_max_t"))
+    g = chunks.groupBy("stream_id").agg(F.max("t_us").alias("_max_t"), F.count(F.lit(1)).alias("n_chunks"))
     parts = F.split(F.col("stream_id"), "-")
     hit = (parts[0].cast("bigint") + parts[1].cast("bigint")) % 3 == 0
-    return g.select("stream_id", F.when(hit, F.expr("(_max_t * 3) div 5")).alias("interrupt_us"))
+    return g.select("stream_id", "n_chunks", F.when(hit, F.expr("(_max_t * 3) div 5")).alias("interrupt_us"))
 
 
 def played_text_asof(chunks: DataFrame) -> DataFrame:
-    """Text pushed before the interrupt is what was played; later chunks are discarded."""
+    """Text pushed before the interrupt is what was played; later chunks are discarded. A reply of
+    one chunk is a complete string (``source_routing``): it counts as played whole, interrupted or not."""
     it = stream_interrupts(chunks)
-    c = chunks.join(it, "stream_id").where(F.col("interrupt_us").isNull() | (F.col("t_us") < F.col("interrupt_us")))
+    played = F.col("interrupt_us").isNull() | (F.col("t_us") < F.col("interrupt_us")) | (F.col("n_chunks") == 1)
+    c = chunks.join(it, "stream_id").where(played)
     g = c.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("parts"))
     return it.join(g, "stream_id", "left").select(
         "stream_id", F.col("interrupt_us").isNotNull().alias("interrupted"),

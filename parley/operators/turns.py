@@ -227,11 +227,18 @@ def should_interrupt_col(playing_id: Column, allow: Column, interrupted: Column,
     return c.otherwise(F.lit(True))
 
 
+def _left_by_speech(rows: DataFrame, speech: str, row_id: str, right: DataFrame) -> DataFrame:
+    """Left join on the speech. Rows with none (nothing playing: about half of them) match nothing, so
+    they are dealt by their own id (below any speech id) and not to the one partition of null."""
+    key = F.coalesce(F.col(speech), -1 - F.col(row_id))
+    return rows.withColumn("_speech", key).join(right.withColumnRenamed(speech, "_speech"), "_speech", "left").drop("_speech")
+
+
 def should_interrupt(events: DataFrame, p: Params) -> DataFrame:
     """Decision at each VAD inference row."""
     s = playing_at_events(events, p).where(F.col("event_type") == VAD_DONE)
     im = interrupt_match(events, p).select(F.col("speech_id").alias("playing_id"), "interrupt_us")
-    s = s.join(im, ["playing_id"], "left")
+    s = _left_by_speech(s, "playing_id", "event_id", im)
     interrupted = F.coalesce(F.col("interrupt_us") < F.col("t_us"), F.lit(False))
     return s.select("session_id", "event_id", "t_us", F.col("playing_id").alias("playing_speech_id"),
                     should_interrupt_col(F.col("playing_id"), segment_allows_interruptions(F.col("playing_id")),
@@ -257,7 +264,7 @@ def _validations(events: DataFrame, p: Params, with_metrics: bool = False) -> Da
 
 def _decide(v: DataFrame, events: DataFrame, p: Params) -> DataFrame:
     im = interrupt_match(events, p).select(F.col("speech_id").alias("playing_speech_id"), "interrupt_us")
-    v = v.join(im, ["playing_speech_id"], "left")
+    v = _left_by_speech(v, "playing_speech_id", "end_event_id", im)
     playing = F.col("playing_speech_id").isNotNull()
     allow = segment_allows_interruptions(F.col("playing_speech_id"))
     interrupted = F.coalesce(F.col("interrupt_us") <= F.col("fire_us"), F.lit(False))

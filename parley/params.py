@@ -39,9 +39,10 @@ class Params:
     telemetry_retention: float = 7.5
     tts_sample_rate: int = 24000
     allow_interruptions: bool = True
-    preemptive_synthesis: bool = True
     transcription: bool = True
     transcription_speed: float = 1.0
+    # A caller's choice (the default of a live agent is off): replies are synthesized before validation.
+    preemptive_synthesis: bool = True
     # --- engine parameters ------------------------------------------------------
     unit_us: int = 1_000_000  # microseconds per reference second
     # Ordered scans are split into time buckets of this width so one hot session

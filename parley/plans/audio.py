@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parley.operators import audio as au
@@ -14,17 +16,31 @@ PEAK = "list_max(list_transform(samples, lambda x: abs(CAST(x AS DOUBLE))))"
 NORM = f"CASE WHEN {PEAK} <> 0 THEN list_transform(samples, lambda x: CAST(CAST(x AS DOUBLE) / {PEAK} AS FLOAT)) END"
 PCM = f"list_transform({NORM}, lambda x: CAST(round(CAST(x AS DOUBLE) * 32767.0) AS INTEGER))"
 FP = f"md5(array_to_string(list_transform({PCM}, lambda v: CAST(v AS VARCHAR)), ','))"
+
+
+def _le32(n: str) -> str:
+    """Hex of a number's 4 bytes, lowest first."""
+    h = f"lpad(hex({n}), 8, '0')"
+    return " || ".join(f"substring({h}, {at}, 2)" for at in (7, 5, 3, 1))
+
+
+N_BYTES = "2 * len(arg_min(pcm16, vec_id))"
 ASSETS = f"""
 fps AS (SELECT vec_id, session_id, {PCM} AS pcm16, {FP} AS fp FROM audio_vectors),
 assets AS (
   SELECT fp, min(vec_id) AS vec_id, 'tmp_' || fp || '.wav' AS path, substring(fp, 1, 2) AS prefix,
-         unhex(array_to_string(list_transform(arg_min(pcm16, vec_id), lambda v:
+         unhex('52494646' || {_le32('36 + ' + N_BYTES)} || '57415645666D74201000000001000100803E0000007D00000200100064617461' ||
+               {_le32(N_BYTES)} || array_to_string(list_transform(arg_min(pcm16, vec_id), lambda v:
                substring(lpad(hex(((v % 65536) + 65536) % 65536), 4, '0'), 3, 2) ||
                substring(lpad(hex(((v % 65536) + 65536) % 65536), 4, '0'), 1, 2)), '')) AS wav
   FROM fps WHERE fp IS NOT NULL GROUP BY fp)
 """
 
 
+def _new_store(spark) -> str:
+    return state_path(spark, f"assets-{uuid.uuid4().hex}")
+
+
 @query("audio_peak", sql(f"SELECT vec_id, session_id, {PEAK} AS peak FROM audio_vectors"))
 def q_audio_peak(spark, d):
     return au.audio_peak(audio_vectors(spark, d))
@@ -47,10 +63,11 @@ def q_audio_fingerprint(spark, d):
 
 @query("asset_sink", sql("SELECT fp, vec_id, path, prefix, md5(wav) AS wav_md5 FROM assets", ASSETS))
 def q_asset_sink(spark, d):
-    """Assets that a write would append now (store = <checkpoint dir>/assets)."""
-    stored = au.existing_assets(spark, state_path(spark, "assets"))
-    return au.assets_to_write(audio_vectors(spark, d), stored).select(
-        "fp", "vec_id", "path", "prefix", F.md5("wav").alias("wav_md5"))
+    """Assets appended to a new store below the checkpoint folder, as it holds them afterwards."""
+    store = _new_store(spark)
+    au.write_assets(au.assets_to_write(audio_vectors(spark, d), au.existing_assets(spark, store)), store)
+    return spark.read.parquet(store).select(
+        "fp", "vec_id", "path", F.substring("fp", 1, 2).alias("prefix"), F.md5("wav").alias("wav_md5"))
 
 
 @query("asset_cache_anti", sql("""
@@ -75,9 +92,7 @@ SELECT fp, path, octet_length(wav) AS n_bytes, md5(wav) AS wav_md5 FROM assets
 """, ASSETS))
 def q_asset_source(spark, d):
     """Assets written once to a fresh store below the checkpoint folder, read back."""
-    import uuid
-
-    store = state_path(spark, f"assets-{uuid.uuid4().hex}")
+    store = _new_store(spark)
     v = audio_vectors(spark, d)
     au.write_assets(au.assets_to_write(v, au.existing_assets(spark, store)), store)
     b = au.asset_source(spark, store)

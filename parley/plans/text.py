@@ -204,9 +204,9 @@ def q_source_routing(spark, d):
 
 @query("played_text_asof", sql("""
 SELECT i.stream_id, i.interrupt_us IS NOT NULL AS interrupted,
-       coalesce(string_agg(c.delta, '' ORDER BY c.seq) FILTER (WHERE i.interrupt_us IS NULL OR c.t_us < i.interrupt_us), '')
+       coalesce(string_agg(c.delta, '' ORDER BY c.seq) FILTER (WHERE i.interrupt_us IS NULL OR c.t_us < i.interrupt_us OR i.n_chunks = 1), '')
          AS played_text
-FROM (SELECT stream_id,
+FROM (SELECT stream_id, count(*) AS n_chunks,
              CASE WHEN (CAST(split_part(stream_id, '-', 1) AS BIGINT) + CAST(split_part(stream_id, '-', 2) AS BIGINT)) % 3 = 0
                   THEN (max(t_us) * 3) // 5 END AS interrupt_us
       FROM chunks GROUP BY stream_id) i

@@ -176,3 +176,35 @@ def test_slices_keep_rows_without_order(spark):
 
     df = spark.createDataFrame([(1, 5), (2, None), (3, 9), (4, 1)], "id long, t long")
     assert sorted(r.id for part in slices_in_order(df, 3, "t") for r in part.collect()) == [1, 2, 3, 4]
+
+
+def test_one_chunk_reply_is_played_whole(spark):
+    ck = spark.createDataFrame([("1-2", 1, 100, "hello"), ("2-1", 1, 100, "a"), ("2-1", 2, 200, " b")], "stream_id string, seq int, t_us long, delta string")
+    got = {r.stream_id: (r.interrupted, r.played_text) for r in tx.played_text_asof(ck).collect()}
+    assert got == {"1-2": (True, "hello"), "2-1": (True, "a")}
+
+
+def test_request_json_carries_audio(spark):
+    import base64
+    import io
+    import json
+    import wave
+
+    rows = [(1, 0, "system", "s", None), (1, 1, "user", None, [0.25, -0.5]), (1, 2, "user", None, [0.0, 0.0]), (1, 3, "user", "t", [0.1])]
+    got = json.loads(tx.chat_request_json(spark.createDataFrame(rows, CH)).collect()[0].request_json)
+    assert got[0] == {"role": "system", "content": [{"type": "text", "text": "s"}]} and len(got) == 3   # both set: quarantined
+    for m, want in zip(got[1:], [(16384, -32767), (0, 0)]):
+        part, = m["content"]
+        head, data = part["audio_url"].split(",")
+        assert set(part) == {"type", "audio_url"} and part["type"] == "audio" and head == "data:audio/wav;base64"
+        with wave.open(io.BytesIO(base64.b64decode(data))) as w:
+            assert w.readframes(9) == b"".join(x.to_bytes(2, "little", signed=True) for x in want)
+
+
+def test_rows_without_playing_speech_keep_their_rows(spark):
+    from parley.operators import turns
+
+    rows = spark.createDataFrame([(1, None), (2, None), (3, 3), (4, 9)], "event_id long, speech long")
+    im = spark.createDataFrame([(3, 50)], "speech long, interrupt_us long")
+    got = turns._left_by_speech(rows, "speech", "event_id", im)
+    assert sorted((r.event_id, r.interrupt_us) for r in got.collect()) == [(1, None), (2, None), (3, 50), (4, None)]
