@@ -29,14 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import materialize
+from parley.llm.common import bounded_batches, materialize
 
 
 @dataclass(frozen=True)
 class Join:
     words: int = 5
     percent: int = 75
-    range_shingles: int = 2_000_000   # shingles of one range, in one task's memory
+    range_shingles: int = 1_000_000   # shingles of one range, in one task's memory
+    flush_shingles: int = 500_000     # a task deals its shingles after so many
     bucket: int = 16                  # sets in a bucket that lists all its pairs
     leaders: int = 3                  # of a large bucket in each round
     listed: float = 1.0               # pairs that may be listed, times the prefix entries
@@ -46,7 +47,7 @@ class _Words(dict):
     """word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -103,8 +104,8 @@ PACKED = "part int, ents binary, lens binary, sizes binary, low binary, high bin
 
 
 def _deal(docs: DataFrame, bits: int, p: Join) -> DataFrame:
-    """The shingles of the task's distinct sets, one row per range (and about 2 million shingles)."""
-    k = p.words
+    """The shingles of the task's distinct sets, one row per range (and ``flush_shingles``)."""
+    k, flush_at = p.words, p.flush_shingles
     schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("ents", "lens", "sizes", "low", "high")]])
 
     def flush(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -134,7 +135,7 @@ def _deal(docs: DataFrame, bits: int, p: Join) -> DataFrame:
                 seen.add(e)
                 sets.append((e, s))
                 size += len(s)
-                if size >= 2_000_000:
+                if size >= flush_at:
                     yield flush(sets)
                     sets, size = [], 0
         if sets:
@@ -326,6 +327,7 @@ def near_duplicates(docs: DataFrame, p: Join = Join()) -> DataFrame:
     Null text and text without words: empty set, linked with nothing, its own component. Repeated rows are
     copies of each other. A component of null ids only has a null id. Empty table: no rows.
     """
+    bounded_batches(docs.sparkSession)
     members = materialize(sets_of(docs, p), "jaccard-members")
     labels = linked_sets(docs, members, p)
     labelled = members.join(labels, "ent", "left").withColumn("label", F.coalesce("label", "ent"))
