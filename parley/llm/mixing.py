@@ -175,9 +175,11 @@ def mixed_documents(docs: DataFrame, p: Mixing = Mixing()) -> DataFrame:
     mine = F.filter("_mx_pieces", lambda x: x["times"] >= F.col("_mx_pass"))
     out = out.withColumn("_mx_mine", mine).where(F.size("_mx_mine") > 0)
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("_mx_mine", lambda x: F.slice(F.col("_mx_words"), x["first"] + 1, x["n"]))), " ")
+    # the lambda's argument holds the words: a column would be inlined and the text split again for every block
+    cut = F.element_at(F.transform(F.array(words), lambda ws: F.array_join(
+        F.flatten(F.transform("_mx_mine", lambda x: F.slice(ws, x["first"] + 1, x["n"]))), " ")), 1)
     whole = F.size("_mx_mine") == F.size("_mx_pieces")
-    out = out.withColumn("_mx_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
