@@ -9,9 +9,10 @@
 4. Sets with identical prefix and size collapse into a group. Members linked to their group's leader stay
    collapsed as one unit; the others stand alone.
 5. Units that share a prefix shingle, with fitting sizes and positions, are candidate pairs. Small buckets list all
-   pairs. Large ones are compared with a few leaders per size class and round, as long as that
-   helps; members that end up in the bucket's largest component need no further pair with it, so only
-   stragglers are compared with the whole bucket in the end. No pair between different components is left out.
+   pairs. Large ones are compared with a few leaders per window and round, as long as that
+   helps; a window of two neighbouring size classes holds every pair that can be linked. Members in the window's
+   largest component need no further pair with it, so only stragglers are compared with the whole window in the end.
+   No pair between different components is left out.
 6. Candidate units are expanded to members and verified on the whole shared sets.
 
 Shingles are told apart by 40 bits beside the bits of the range number (46 bits at least), sets by 64 bits.
@@ -295,28 +296,29 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
         to = components(between).select(F.col("ent").alias("label"), F.col("label").alias("to"))
         return materialize(labels.join(to, "label", "left").select("ent", F.coalesce("to", "label").alias("label")), "jaccard-labels")
 
-    # each entry meets the leaders of its own and the neighbouring size classes
-    around = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
-    wide = materialize(large.select("token", around, "unit", "n", "pos"), "jaccard-wide")
+    # window w of a bucket holds the size classes w and w + 1 and compares the pairs whose smaller class is w
+    windows = F.explode(F.array(F.col("class") - 1, F.col("class"))).alias("w")
     before, r = float("inf"), 0
     while True:
-        now = lambda df: df.join(labels.withColumnRenamed("ent", "unit"), "unit")
-        large_now, wide_now = materialize(now(large), "jaccard-large"), now(wide)
-        # the largest component of each bucket and class, with other leaders each round
+        large_now = materialize(large.join(labels.withColumnRenamed("ent", "unit"), "unit"), "jaccard-large")
+        wide = large_now.select("token", windows, "class", "unit", "n", "pos", "label")
+        # the largest component of each window, with other leaders each round
         leaders = F.array(*[F.min_by("unit", F.xxhash64(F.lit(r * p.leaders + i), "unit")) for i in range(p.leaders)])
-        by_label = large_now.groupBy("token", "class", "label").agg(F.count("*").alias("k"), leaders.alias("leaders"))
-        main = materialize(by_label.groupBy("token", "class").agg(F.max(F.struct("k", "label", "leaders")).alias("m"), F.sum("k").alias("all"))
-                           .select("token", "class", "all", "m.leaders", F.col("m.label").alias("main")), "jaccard-main")
-        stray = materialize(wide_now.join(main, ["token", "class"]).where("label <> main"), "jaccard-strays")
-        left = stray.agg(F.sum("all")).first()[0] or 0
+        by_label = wide.groupBy("token", "w", "label").agg(F.count("*").alias("k"), F.count_if(F.col("class") == F.col("w")).alias("k_low"), leaders.alias("leaders"))
+        main = materialize(by_label.groupBy("token", "w").agg(F.max(F.struct("k", "label", "leaders")).alias("m"), F.sum("k").alias("all"), F.sum("k_low").alias("low"))
+                           .where("low > 0").select("token", "w", "all", "low", "m.leaders", F.col("m.label").alias("main")), "jaccard-main")
+        # of two units of different components at least one is outside the window's largest
+        stray = materialize(wide.join(main, ["token", "w"]).where("label <> main")
+                            .withColumn("meets", F.when(F.col("class") == F.col("w"), F.col("all")).otherwise(F.col("low"))), "jaccard-strays")
+        left = stray.agg(F.sum("meets")).first()[0] or 0
         if left <= p.listed * n_large or left > 0.9 * before:   # few pairs are left, or leaders no longer help
             break
         before, r = left, r + 1
         pairs = stray.select(F.col("unit").alias("a"), F.explode("leaders").alias("b"))
         labels = merged(labels, _verify(pairs, sets, p.percent))
-    # whoever is outside the largest component of a bucket meets all of the bucket
-    rest = (stray.alias("x").join(large_now.alias("y"), ["token", "class"])
-            .where((F.col("x.label") != F.col("y.label")) & fits("x", "y"))
+    # whoever is outside the largest component of a window meets all of the window
+    rest = (stray.alias("x").join(wide.alias("y"), ["token", "w"])
+            .where((F.col("x.label") != F.col("y.label")) & (F.least("x.class", "y.class") == F.col("w")) & fits("x", "y"))
             .select(F.least("x.unit", "y.unit").alias("u"), F.greatest("x.unit", "y.unit").alias("v")))
     return merged(labels, _verify(expanded(rest), sets, p.percent))
 

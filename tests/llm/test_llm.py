@@ -127,6 +127,23 @@ def test_jaccard(spark, empty, p):
     assert got == brute_components(rows)
 
 
+def test_jaccard_only_link_across_size_classes(spark):
+    """In the large buckets of a passage, A leads one size class and B the next lower one. A's only unit of the
+    lower class and B's only unit of the upper one are the only link between the two."""
+    word = (f"v{k}" for k in range(100_000))
+    some = lambda n: [next(word) for _ in range(n)]
+    passage, stream, mark_a, mark_b = some(29), some(118), some(6), some(6)
+    rows, tails = [], []
+    for at, mark, extra, copies in [(0, mark_a, 3, 10), (6, mark_a, 1, 1), (12, mark_b, 3, 1), (18, mark_b, 1, 10)]:   # 134, 132, 134, 132 shingles
+        for _ in range(copies):
+            tails.append(mark[-4:] + some(extra))
+            rows.append((len(rows), " ".join(passage + stream[at:at + 100] + mark + tails[-1][4:]), "", ""))
+    # other texts make the stream's shingles more frequent than the passage's, and each tail no longer its text's own
+    rows += [(100 + k, " ".join(stream + some(90) + tails[k % len(tails)]), "", "") for k in range(40)]
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == brute_components(rows) and str((21, 132, 0)) in got
+
+
 def test_jaccard_keeps_one(spark, empty):
     rows = edge_rows() + [(9, "Same Text", "", ""), (8, "same\ttext", "", "")]
     df = docs_of(spark, rows)
