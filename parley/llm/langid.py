@@ -3,8 +3,8 @@
 Fit: a bounded sample of rows per language (``per_lang``, smallest seeded hashes of the id) becomes
 hashed byte-n-gram counts on the executors; the driver gets these fixed-size vectors, computes
 idf and clusters each language's vectors by spherical k-means. Predict: every whole text, in Arrow
-batches, goes to the centroid of the largest cosine. A text whose cosine is below ``reject_share`` of the
-lowest one seen inside the cluster while fitting is rejected.
+batches, goes to the centroid of the largest cosine. A text whose cosine is below ``reject_share`` of a low
+quantile of those seen inside the cluster while fitting is rejected.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ class LanguageId:
     per_lang: int = 400       # rows to fit on, of each language
     max_fit: int = 8000       # and of all languages
     reject_share: float = 0.25
+    floor_quantile: float = 0.05   # of the cosines inside a cluster: a few odd texts don't lower its floor
     seed: int = 7
 
 
@@ -69,8 +70,9 @@ def has_letter(text: bytes | None, ws: list[bytes]) -> bool:
 
 
 def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
-    """Learns from rows with text and lang whose id isn't held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id"))).select("doc_id", "lang")
+    """Learns from rows with lang and a letter in the text whose id isn't held out."""
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learnable(F.col("doc_id")))
+    known = docs.select("doc_id", "lang")
     n_langs = known.agg(F.count_distinct("lang")).first()[0]
     if not n_langs:
         return Model(p.dims, [], np.zeros(p.dims, np.float32), np.zeros((p.dims, 0), np.float32), np.zeros(0, np.float32))
@@ -97,10 +99,10 @@ def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
             m = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         cos = xs @ m.T
         near = cos.argmax(1)
-        for k in range(len(m)):
+        for k in np.unique(near):   # a centroid of no text would reject nothing
             names.append(name)
             centroids.append(m[k])
-            floors.append(cos[near == k, k].min() * p.reject_share if (near == k).any() else 0.0)
+            floors.append(np.quantile(cos[near == k, k], p.floor_quantile) * p.reject_share)
     return Model(dims, names, idf, np.stack(centroids, 1).astype(np.float32), np.array(floors, np.float32))
 
 

@@ -197,6 +197,20 @@ def test_language(spark, empty):
     assert langid.identify(docs_of(spark, rows[:1]), langid.fit(empty)).collect()[0].lang_pred == "und"
 
 
+def test_language_fit_on_odd_rows(spark):
+    rows, _ = labelled()
+    rnd = random.Random(8)
+    noise = docs_of(spark, [(k, " ".join("".join(rnd.choice("jkqxyz") for _ in range(rnd.randint(4, 8))) for _ in range(8)), "", "") for k in range(100)])
+    learnt = [k for k in range(5000, 5100) if zlib.crc32(str(k).encode()) % 3 != 1]
+    blank = [(k, ["", "  ", "12 34 - 5", "٣٤ €"][k % 4], lang, "s") for k, lang in zip(learnt[:16], ["en", "de"] * 8)]
+    plain, model = langid.fit(docs_of(spark, rows)), langid.fit(docs_of(spark, rows + blank))
+    assert plain.langs == model.langs and np.array_equal(plain.floor, model.floor) and (model.floor > 0).all()
+    odd = langid.fit(docs_of(spark, rows + [(learnt[20], "qx zj", "en", "s"), (learnt[21], "kqy", "de", "s")]))
+    for m in (plain, model, odd):
+        assert langid.accepted(noise, m).count() == 0
+        assert langid.accepted(docs_of(spark, rows), m).count() == len(rows)
+
+
 def test_mixing(spark, empty):
     rnd = random.Random(2)
     rows = [(k, "w " * rnd.randint(0, 300), "", rnd.choice(["a", "a", "a", "b", "c", "D", None])) for k in range(300)] + [(k, None, "", "null only") for k in range(3)]
