@@ -4,7 +4,8 @@
    the draw is a hash of seed, id and key, so reruns agree).
 2. Quantiles of the drawn keys are the splitters of many fine key ranges. A key that fills
    two neighbouring quantiles gets a range of its own.
-3. Every range is measured exactly. An overfull range is subdivided by a hash of the id.
+3. Every range is measured exactly. An overfull range is subdivided by a hash of the key, and of the row for
+   a key whose group is above ``keep_share``.
 4. A range's exact offsets and a running sum inside it give every record its position on the
    line of all bytes; shard = position * n_shards // total, so shard sizes differ by about one
    record, whatever the draw was.
@@ -69,16 +70,21 @@ def _range_id(bounds: np.ndarray, heavy: np.ndarray):
     return f
 
 
-def _with_ranges(keyed: DataFrame, range_of, cuts: list[tuple[int, int]]) -> DataFrame:
-    """Adds range and subdivision; ``cuts`` holds (range, parts) of the overfull ranges."""
+def _with_ranges(keyed: DataFrame, range_of, cuts: list[tuple[int, int]], cut_keys: list[int]) -> DataFrame:
+    """Adds range and subdivision; ``cuts`` holds (range, parts) of the overfull ranges, ``cut_keys`` the keys
+    in them whose group is too large to stay together."""
     df = keyed.withColumn("_sh_range", range_of(F.col("_sh_key")))
     if not cuts:
         return df.withColumn("_sh_sub", F.lit(0))
     spark = keyed.sparkSession
     parts = spark.createDataFrame(cuts, "_sh_range int, _sh_parts int")
-    sub = F.pmod(F.xxhash64(F.lit("sub"), "_sh_tie"), F.coalesce(F.col("_sh_parts"), F.lit(1)))
+    by_row = spark.createDataFrame([(k, True) for k in cut_keys], "_sh_key long, _sh_cut boolean")
+    # at most n_shards / keep_share rows
+    df = df.join(F.broadcast(by_row), "_sh_key", "left")
+    by = F.when(F.col("_sh_cut"), F.col("_sh_tie")).otherwise(F.col("_sh_key"))
+    sub = F.pmod(F.xxhash64(F.lit("sub"), by), F.coalesce(F.col("_sh_parts"), F.lit(1)))
     # one row for each overfull range: at most a few times max_ranges / overfull
-    return df.join(F.broadcast(parts), "_sh_range", "left").withColumn("_sh_sub", sub.cast("int")).drop("_sh_parts")
+    return df.join(F.broadcast(parts), "_sh_range", "left").withColumn("_sh_sub", sub.cast("int")).drop("_sh_parts", "_sh_cut")
 
 
 def _positions(df: DataFrame, p: Sharding, total: int, starts: list[tuple]) -> DataFrame:
@@ -122,10 +128,15 @@ def shard_records(docs: DataFrame, p: Sharding = Sharding()) -> DataFrame:
         keys = ["_sh_range", "_sh_sub", *more]
         return sorted(tuple(r) for r in df.groupBy(*keys).agg(F.sum("_sh_size"), F.count("*")).toLocalIterator())
 
-    ranges = measured(_with_ranges(slim, range_of, []))
+    ranges = measured(_with_ranges(slim, range_of, [], []))
     mean = total / max(1, n_ranges)
     overfull = [(r, int(-(-b // mean))) for r, _, b, _ in ranges if b > p.overfull * mean]
-    slim = _with_ranges(slim, range_of, overfull)
+    cut_keys = []
+    if overfull:
+        inside = _with_ranges(slim, range_of, [], []).where(F.col("_sh_range").isin([r for r, _ in overfull]))
+        groups = inside.groupBy("_sh_key").agg(F.sum("_sh_size").alias("bytes")).where(F.col("bytes") > p.keep_share * total / p.n_shards)
+        cut_keys = [r[0] for r in groups.select("_sh_key").toLocalIterator()]
+    slim = _with_ranges(slim, range_of, overfull, cut_keys)
     if overfull:
         ranges = measured(slim)
     before = np.cumsum([0, *(b for _, _, b, _ in ranges)]).tolist()
@@ -140,7 +151,7 @@ def shard_records(docs: DataFrame, p: Sharding = Sharding()) -> DataFrame:
     spark = docs.sparkSession
     slot_at = F.broadcast(spark.createDataFrame(slots, "_sh_range int, _sh_sub int, shard int, _sh_slot long"))
 
-    out = _positions(_with_ranges(_keyed(docs), range_of, overfull), p, total, starts)
+    out = _positions(_with_ranges(_keyed(docs), range_of, overfull, cut_keys), p, total, starts)
     here = Window.partitionBy("_sh_range", "_sh_sub", "shard").orderBy("_sh_key", "doc_id", "_sh_tie")
     return (out.withColumn("_sh_row", F.row_number().over(here) - 1)
                .join(slot_at, ["_sh_range", "_sh_sub", "shard"])

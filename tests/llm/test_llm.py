@@ -259,6 +259,18 @@ def test_sharding(spark, empty):
     assert sharding.shard_records(empty).count() == 0
 
 
+def test_sharding_keeps_copies_together(spark):
+    # groups of four copies a little larger than a range: few draws make many ranges overfull
+    rows = [(4 * g + c, f"{g:05d}" + "x" * 95, "", "s") for g in range(2100) for c in range(4)]
+    got = sharding.shard_records(docs_of(spark, rows), sharding.Sharding(ranges_per_shard=60, draws_per_range=2)).collect()
+    at, sizes = {}, {}
+    for r in got:
+        at.setdefault(r.text, set()).add(r.shard)
+        sizes[r.shard] = sizes.get(r.shard, 0) + r["size"]
+    assert len(got) == len(rows) and all(len(shards) == 1 for shards in at.values())
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 2 * 4 * 116
+
+
 def test_search(spark, empty):
     rnd = random.Random(6)
     vocab = ["w" + "abcdefghij"[k % 10] + "abcdefghij"[k // 10 % 10] + "abcdefghij"[k // 100] for k in range(300)]
