@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, jaccard, langid, linededup, mixing, search, secrets, sharding, toxicity, warc
+from parley.llm import (align, decontaminate, jaccard, langid, linededup, mixing, phrases, search, secrets, sharding, substring, toxicity,
+                        warc)
 from parley.llm.common import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +162,51 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     queries = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return search.top_k(docs, queries)
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, w[i:i + k - 1] AS g FROM
+    (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))) GROUP BY lang, g HAVING count(*) >= 30),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+cut AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f AS y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+s AS (SELECT lang, g, a, l, r, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, g[i:i + k - 1] AS g, max(a) AS longer FROM (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS i
+  FROM c, (SELECT unnest([2, 3]) AS k) WHERE k < len(g)) GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(array_to_string(s.g, ' '))) AS rank,
+    array_to_string(s.g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+  FROM s JOIN n USING (lang) LEFT JOIN inner_ AS i ON i.lang = s.lang AND i.g = s.g WHERE i.longer IS NULL OR 100 * i.longer < 80 * a)
+WHERE rank <= 2000
+"""
+
+
+@query("op11_phrases", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS i FROM win JOIN f USING (g) WHERE first < doc_id),
+kept AS (SELECT rid, count(g.i) AS n, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY w.i) AS t
+  FROM (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d) AS w LEFT JOIN gone AS g USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op12_substring_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.parsed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("factors")
+
+
+@query("op13_align_tokens")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *align.OUT)
