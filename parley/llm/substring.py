@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import bounded_batches, materialize
-from parley.llm.wordhash import U, Words, byte_classes, chunks, rolling
+from parley.llm.wordhash import U, Words, byte_classes, chunks, mix, rolling
 
 _CLASSES = byte_classes(b" \t\n\x0b\x0c\r")
 OUT = ["n_words", "n_removed", "kept_sha256", "factors"]
@@ -79,8 +79,8 @@ def _firsts(anchor: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 
 def _split(anchor: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by range of the anchor and the bounds of each range."""
-    at = (anchor >> U(32)) * U(ranges) >> U(32)
+    """Order by range of the anchor and the bounds of each range. Anchors are smallest values, so they are scrambled first."""
+    at = (mix(anchor) >> U(32)) * U(ranges) >> U(32)
     order = np.argsort(at, kind="stable")
     return order, np.searchsorted(at[order], np.arange(ranges + 1, dtype=U))
 
