@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_KEEP = 6 << 20
+_KEEP = 2 << 20
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +50,15 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def _slices(start: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words that begin within ``size`` bytes of each other."""
+    lo = 0
+    while lo < len(start):
+        hi = int(np.searchsorted(start, start[lo] + size))
+        yield lo, hi
+        lo = hi
+
+
 class Words:
     """The words of some texts: ``doc`` (index of the text), ``start`` and ``end`` in ``data``, ``hash``."""
 
@@ -65,7 +74,11 @@ class Words:
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
         self.doc = np.searchsorted(first, self.start, "right") - 1
-        self.hash = mix(rolling(self.data.astype(U) + U(1), self.start, self.end, _BASE) + (self.end - self.start).astype(U))
+        self.hash = np.empty(len(self.start), U)
+        for lo, hi in _slices(self.start, 1 << 19):             # 64-bit work arrays only as long as a slice of the bytes
+            s, e = self.start[lo:hi], self.end[lo:hi]
+            some = self.data[s[0]:e[-1]].astype(U) + U(1)
+            self.hash[lo:hi] = mix(rolling(some, s - s[0], e - s[0], _BASE) + (e - s).astype(U))
         self.breaks = np.flatnonzero(kind == 2)
 
     def __len__(self) -> int:
