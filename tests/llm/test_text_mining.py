@@ -210,3 +210,15 @@ def test_gallop_equals_search():
             long = np.unique(rnd.integers(0, 5000, rnd.integers(1, 900)))
             short = np.unique(np.r_[rnd.choice(long, rnd.integers(0, 20)), rnd.integers(0, long[-1] + 1, rnd.integers(0, 300))])
             assert (align.gallop(short, long, lane) == np.searchsorted(long, short)).all()
+
+
+def test_both_engines_of_the_byte_level_vocabulary_agree():
+    v = align.Vocabularies(align.Alignment())
+    assert v.fast is not None
+    rnd = random.Random(4)
+    alphabet = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xC0, 0x180)]]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(1, 60))) for _ in range(3000)]
+    texts += ["".join(rnd.choices(" abcs'tllre\n1é", k=rnd.randint(1, 40))) for _ in range(3000)]
+    for t in texts:
+        assert not t.encode().translate(None, align.PLAIN)
+        assert v.fast.encode_ordinary(" " + t) == v.a.encode(" " + t, add_special_tokens=False).ids
