@@ -50,7 +50,7 @@ _SUFFIXES = pa.schema([("part", pa.int32()), ("w1", _B), ("w2", _B), ("w3", _B),
                        ("id", _LONGS), ("lang", _STRINGS), ("word", _STRINGS), ("f", _LONGS)])
 _SUFFIXES_DDL = ("part int, w1 binary, w2 binary, w3 binary, w4 binary, times binary, split binary, "
                  "id array<long>, lang array<string>, word array<string>, f array<long>")
-_COUNTS = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "w3", "w4", "a")])
+_COUNTS = pa.schema([*[(c, pa.int64()) for c in ("w1", "w2", "w3", "w4", "a")], ("lang", pa.string()), ("word", pa.string())])
 
 
 def _range_of(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def _suffixes(p: Phrases, ranges: int):
         told = np.flatnonzero(speaks)
         out = []
         if len(told):
-            out.append({"part": -1, "id": ident[told + 1], "lang": [row["langs"][lang_of[i]] for i in told],
+            out.append({"part": row["block"] % ranges, "id": ident[told + 1], "lang": [row["langs"][lang_of[i]] for i in told],
                         "word": [names[i].decode("utf-8", "replace") for i in told], "f": f[told + 1]})
         seq = np.r_[unsqueezed(row["seq"]), np.zeros(p.longest, np.int64)]
         g = ident[seq]
@@ -199,14 +199,23 @@ def quicksort_counts(words: np.ndarray, times: np.ndarray, split: np.ndarray, le
 
 
 def _count_range(least: int):
+    """One range: the counts of its phrases, and as rows of one id the words that blocks named to it."""
     def run(rows: pa.Table) -> pa.Table:
         got = rows.to_pylist()
-        words = np.stack([np.concatenate([unsqueezed(r[f"w{k}"]) for r in got]) for k in range(1, 5)], 1)
-        times, split = (np.concatenate([unsqueezed(r[c]) for r in got]) for c in ("times", "split"))
-        found = quicksort_counts(words, times, split, least)
-        at, length, count = (np.concatenate([x[k] for x in found]) for k in range(3))
-        cols = [np.where(length > k, words[at, k], 0) for k in range(4)]
-        return pa.table([*cols, count], schema=_COUNTS)
+        named = [r for r in got if r["id"] is not None]
+        told = [np.array([x for r in named for x in r["id"]], np.int64), *[np.zeros(sum(len(r["id"]) for r in named), np.int64)] * 3,
+                np.array([x for r in named for x in r["f"]], np.int64)]
+        texts = [pa.array([x for r in named for x in r[c]], pa.string()) for c in ("lang", "word")]
+        out = [pa.table([*told, *texts], schema=_COUNTS)]
+        got = [r for r in got if r["id"] is None]
+        if got:
+            words = np.stack([np.concatenate([unsqueezed(r[f"w{k}"]) for r in got]) for k in range(1, 5)], 1)
+            times, split = (np.concatenate([unsqueezed(r[c]) for r in got]) for c in ("times", "split"))
+            found = quicksort_counts(words, times, split, least)
+            at, length, count = (np.concatenate([x[k] for x in found]) for k in range(3))
+            cols = [np.where(length > k, words[at, k], 0) for k in range(4)]
+            out.append(pa.table([*cols, count, *[pa.nulls(len(at), pa.string())] * 2], schema=_COUNTS))
+        return pa.concat_tables(out)
     return run
 
 
@@ -220,14 +229,14 @@ def counted(docs: DataFrame, p: Phrases = Phrases()) -> tuple[DataFrame, DataFra
     blocks = table.where(F.col("part") == -1)
     entries = table.where(F.col("part") >= 0).select("block", "part", "hash", "times")
     ids = entries.groupBy("part").applyInArrow(_frequent(p.least), _IDS_DDL)
-    suffixes = materialize(blocks.select("block", "langs", "words", "lang_of", "seq", F.col("hash").alias("place")).groupBy("block")
-                           .cogroup(ids.groupBy("block")).applyInArrow(_suffixes(p, ranges), _SUFFIXES_DDL), "phrases-suffixes")
-    names = suffixes.where(F.col("part") == -1).select(F.explode(F.arrays_zip("id", "lang", "word", "f")).alias("x")).select("x.*")
-    packed = suffixes.where(F.col("part") >= 0).select("part", "w1", "w2", "w3", "w4", "times", "split")
-    partial = packed.groupBy("part").applyInArrow(_count_range(p.least), "w1 long, w2 long, w3 long, w4 long, a long")
-    found = partial.groupBy("w1", "w2", "w3", "w4").agg(F.sum("a").alias("a")).where(F.col("a") >= p.least)
+    suffixes = (blocks.select("block", "langs", "words", "lang_of", "seq", F.col("hash").alias("place")).groupBy("block")
+                .cogroup(ids.groupBy("block")).applyInArrow(_suffixes(p, ranges), _SUFFIXES_DDL))
+    counts = materialize(suffixes.groupBy("part").applyInArrow(
+        _count_range(p.least), "w1 long, w2 long, w3 long, w4 long, a long, lang string, word string"), "phrases-counts")
+    names = counts.where(F.col("w2") == 0).select(F.col("w1").alias("id"), "lang", "word", F.col("a").alias("f"))
+    found = (counts.where(F.col("w2") > 0).groupBy("w1", "w2", "w3", "w4").agg(F.sum("a").alias("a")).where(F.col("a") >= p.least))
     total = blocks.select(F.explode(F.arrays_zip("langs", "n")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n").alias("n"))
-    return names, materialize(found, "phrases-counts"), total
+    return names, materialize(found, "phrases-found"), total
 
 
 def _key(words: list[Column], n: int) -> list[Column]:
