@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from parley.operators import telemetry as tm
+from parley.operators import telemetry as tm, throttle
 from parley.params import DAY_US, EVENTS as P
 from parley.plans.oracle_base import H, sql
 from parley.plans.registry import query
@@ -106,3 +106,37 @@ FROM (SELECT room, arg_min(participant, (joined_us, participant)) AS first_p,
 """))
 def q_first_participant_link(spark, d):
     return tm.first_participant_link(agent_events(spark, d))
+
+
+EVENT_THROTTLE_CTES = """
+c AS (SELECT session_id, event_id, t_us, row_number() OVER (PARTITION BY session_id ORDER BY t_us, event_id) AS rn FROM agent_events),
+r AS (SELECT session_id, rn, t_us AS last_emit, true AS keep FROM c WHERE rn = 1
+      UNION ALL
+      SELECT c.session_id, c.rn, CASE WHEN c.t_us - r.last_emit >= {iv} THEN c.t_us ELSE r.last_emit END, c.t_us - r.last_emit >= {iv}
+      FROM r JOIN c ON c.session_id = r.session_id AND c.rn = r.rn + 1),
+k AS (SELECT c.*, row_number() OVER (PARTITION BY c.session_id ORDER BY c.rn) AS i,
+             c.rn - lag(c.rn, 1, 0) OVER (PARTITION BY c.session_id ORDER BY c.rn) AS n
+      FROM c JOIN r ON r.session_id = c.session_id AND r.rn = c.rn WHERE r.keep),
+z AS (SELECT session_id, max(i) AS i, max(rn) AS rn FROM k GROUP BY session_id)
+"""
+EVENT_THROTTLE = """
+SELECT session_id, i AS emit_idx, event_id, t_us, false AS is_tail, n AS n_rows FROM k
+UNION ALL
+SELECT c.session_id, z.i + 1, c.event_id, c.t_us, true, c.rn - z.rn
+FROM c JOIN z USING (session_id) WHERE c.rn = (SELECT max(rn) FROM c AS x WHERE x.session_id = c.session_id)
+"""
+
+
+def _throttled(seconds: float) -> str:
+    return sql(EVENT_THROTTLE, EVENT_THROTTLE_CTES.format(iv=P.us(seconds)), recursive=True)
+
+
+@query("throttle_events", _throttled(P.throttle_interval))
+def q_throttle_events(spark, d):
+    return throttle.throttle_events(agent_events(spark, d), P.us(P.throttle_interval), P.bucket_us)
+
+
+# An interval above the usual gap between events (the test tables are slow), longer than a bucket of the scan.
+@query("throttle_events_coarse", _throttled(30.0))
+def q_throttle_events_coarse(spark, d):
+    return throttle.throttle_events(agent_events(spark, d), P.us(30.0), P.bucket_us)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on: UTC session time, AQE (coalescing, skew join),
 # Arrow for the few Pandas steps.
@@ -43,7 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="parley-ckpt-")
     if not sc.getCheckpointDir():
@@ -54,3 +56,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def state_path(spark: SparkSession, name: str) -> str:
     """Path of a named table or stream checkpoint below the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, so that what lies before it runs once and
+    survives lost executors. The table is removed when the driver's Python ends."""
+    spark = df.sparkSession
+    path = state_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _written:
+        if spark.sparkContext._jsc is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
