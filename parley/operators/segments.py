@@ -18,14 +18,15 @@ VAD_DONE = "vad_inference_done"
 SPEECH_EDGES = [USER_START, USER_END, AGENT_START, AGENT_END]
 
 
-def edges(events: DataFrame) -> DataFrame:
-    """START/END rows with party (user/agent) and edge (start/end)."""
+def edges(events: DataFrame, *more: str) -> DataFrame:
+    """START/END rows with party (user/agent) and edge (start/end), and the columns ``more``."""
     return events.where(F.col("event_type").isin(*SPEECH_EDGES)).select(
         "session_id",
         "event_id",
         "t_us",
         F.when(F.col("event_type").startswith("user"), "user").otherwise("agent").alias("party"),
         F.when(F.col("event_type").endswith("started_speaking"), "start").otherwise("end").alias("edge"),
+        *more,
     )
 
 

@@ -1,9 +1,9 @@
 """Streaming forms of the order-dependent operators (``applyInPandasWithState``).
 
 Each keeps the smallest state the rule needs per key, fires pending work with
-event-time timeouts and emits final rows in append mode; each equals its batch twin
-when run by ``runner.run_available_now``. Rows of a key are sorted inside every
-micro-batch; across micro-batches data must arrive in event-time order (watermark 0).
+event-time timeouts and emits final rows in append mode (the telemetry tail and usage: the changed keys of every trigger, in
+update mode, to a table of newest versions); each equals its batch twin when run by ``runner.run_available_now``. Rows may come
+out of order by up to the watermark's delay, where the rule has one; see ``ordered``.
 """
 
 from __future__ import annotations
@@ -16,158 +16,48 @@ from parley.operators import audio as au
 from parley.operators import segments as seg
 from parley.operators import text as tx
 from parley.operators import turns
-from parley.operators.segments import AGENT_END, AGENT_START, USER_END, USER_START
-from parley.params import DAY_US, Params
-from parley.streaming.runner import run_available_now
+from parley.operators.segments import USER_END, USER_START
+from parley.params import Params
+from parley.streaming.ordered import END_US, SHIFT_US, AgentState, Debounce, Segments, apply_rule, watermarked
+from parley.streaming.runner import Progress, run_available_now
+from parley.streaming.sinks import BatchSink, UpsertSink
 
-FAR_US = 4_102_444_800_000_000  # 2100-01-01: sentinel time, beyond any real event
-SENTINEL_SESSION = -1
-WATERMARK = "0 seconds"
 SLICES = 4  # time-ordered input files, one per micro-batch
 
 
-def _ts(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", F.timestamp_micros("t_us"))
-
-
 def _concat(pdfs) -> pd.DataFrame:
     parts = list(pdfs)
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
 
 
-def _event_sentinel(spark: SparkSession, events: DataFrame) -> DataFrame:
-    row = [(SENTINEL_SESSION, -1, FAR_US, USER_START, 0.0, 0.0, 0.0)]
-    return spark.createDataFrame(row, events.schema)
-
-
-# --- speech segments -----------------------------------------------------------------
+# --- rules over events in time order ----------------------------------------------------
 SEG_SCHEMA = "session_id long, party string, start_event_id long, end_event_id long, start_us long, end_us long"
-
-
-def _segments_fn(key, pdfs, state):
-    pdf = _concat(pdfs)
-    last = state.get if state.exists else (None, None, None)
-    rows = []
-    if len(pdf):
-        pdf = pdf.sort_values(["t_us", "event_id"], kind="stable")
-        for edge, t, i in zip(pdf["edge"], pdf["t_us"], pdf["event_id"]):
-            if edge == "end" and last[0] == "start":
-                rows.append((key[0], key[1], int(last[2]), int(i), int(last[1]), int(t)))
-            last = (edge, int(t), int(i))
-        state.update(last)
-    yield pd.DataFrame(rows, columns=["session_id", "party", "start_event_id", "end_event_id", "start_us", "end_us"])
-
-
-def stream_speech_segments(stream: DataFrame) -> DataFrame:
-    """State per (session, party): the last edge. Emits a segment at the END after a START."""
-    return seg.edges(stream).groupBy("session_id", "party").applyInPandasWithState(
-        _segments_fn, SEG_SCHEMA, "edge string, t long, id long", "append", "NoTimeout")
-
-
-# --- endpoint debounce ---------------------------------------------------------------
 DEB_SCHEMA = "session_id long, end_event_id long, end_us long, fire_us long"
-
-
-def _debounce_fn(delay_us: int):
-    def fn(key, pdfs, state):
-        cols = ["session_id", "end_event_id", "end_us", "fire_us"]
-        if state.hasTimedOut:
-            pid, pt = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], pid, pt, pt + delay_us)], columns=cols)
-            return
-        pdf = _concat(pdfs)
-        pend = state.get if state.exists else None
-        rows = []
-        if len(pdf):
-            pdf = pdf.sort_values(["t_us", "event_id"], kind="stable")
-            for et, t, i in zip(pdf["event_type"], pdf["t_us"], pdf["event_id"]):
-                if pend is not None and t > pend[1] + delay_us:
-                    rows.append((key[0], pend[0], pend[1], pend[1] + delay_us))
-                pend = (int(i), int(t)) if et == USER_END else None
-        if pend is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(pend)
-            state.setTimeoutTimestamp((pend[1] + delay_us) // 1000)
-        yield pd.DataFrame(rows, columns=cols)
-
-    return fn
-
-
-def stream_debounce(stream: DataFrame, p: Params) -> DataFrame:
-    """State per session: the pending END. Any START/END cancels it; the event-time
-    timeout at END + delay emits the fire."""
-    d = p.us(p.final_transcript_timeout)
-    e = stream.where(F.col("event_type").isin(USER_START, USER_END)).withWatermark("ts", WATERMARK)
-    return e.groupBy("session_id").applyInPandasWithState(
-        _debounce_fn(d), DEB_SCHEMA, "id long, t long", "append", "EventTimeTimeout")
-
-
-# --- agent state timeline ---------------------------------------------------------------
 STATE_SCHEMA = "session_id long, event_id long, state string, t_us long, eff_us long, end_us long"
-STATE_STATE = ("seen boolean, c_state string, c_t long, c_id long, c_eff long, "
-               "o_state string, o_t long, o_id long, o_eff long")
-
-
-def _agent_state_fn(p: Params, gap_us: int):
-    think = p.us(p.thinking_delay)
-    names = {USER_END: ("thinking", think), AGENT_START: ("speaking", 0), AGENT_END: ("listening", 0)}
-    cols = ["session_id", "event_id", "state", "t_us", "eff_us", "end_us"]
 
-    def fn(key, pdfs, state):
-        s = list(state.get) if state.exists else [False, None, None, None, None, None, None, None, None]
-        out = []
 
-        def promote():  # the candidate is kept; it closes the open kept state
-            if s[5] is not None:
-                out.append((key[0], s[7], s[5], s[6], s[8], s[4]))
-            s[5:9] = s[1:5]
-            s[1:5] = [None] * 4
+def stream_speech_segments(stream: DataFrame, delay_us: int = 0) -> DataFrame:
+    """State per (session, party): the last edge. Emits a segment at the END after a START. ``stream`` is ``watermarked``."""
+    edges = seg.edges(stream, "ts").withColumnRenamed("edge", "kind")
+    return apply_rule(edges, ["session_id", "party"], Segments(), SEG_SCHEMA, delay_us)
 
-        if state.hasTimedOut:
-            if s[1] is not None:
-                promote()
-            if s[5] is not None:
-                out.append((key[0], s[7], s[5], s[6], s[8], None))
-            state.remove()
-            yield pd.DataFrame(out, columns=cols)
-            return
-        pdf = _concat(pdfs)
-        last_t = None
-        if len(pdf):
-            pdf = pdf.sort_values(["t_us", "event_id"], kind="stable")
-            for et, t, i in zip(pdf["event_type"], pdf["t_us"], pdf["event_id"]):
-                t, i = int(t), int(i)
-                reqs = []
-                if not s[0]:
-                    reqs.append(("initializing", t, -1, 0))
-                    s[0] = True
-                if et in names:
-                    reqs.append((names[et][0], t, i, names[et][1]))
-                for st, rt, rid, delay in reqs:
-                    if s[1] is not None and rt >= s[4]:
-                        promote()
-                    s[1:5] = [st, rt, rid, rt + delay]
-                last_t = t
-        state.update(tuple(s))
-        if last_t is not None:
-            state.setTimeoutTimestamp((last_t + gap_us) // 1000)
-        yield pd.DataFrame(out, columns=cols)
 
-    return fn
+def stream_debounce(stream: DataFrame, p: Params, delay_us: int = 0) -> DataFrame:
+    """State per session: the pending END. Any START/END cancels it; the event-time
+    timeout at END + delay emits the fire. ``stream`` is ``watermarked``."""
+    e = stream.where(F.col("event_type").isin(USER_START, USER_END)).withColumnRenamed("event_type", "kind")
+    return apply_rule(e, ["session_id"], Debounce(p.us(p.final_transcript_timeout)), DEB_SCHEMA, delay_us)
 
 
-def stream_agent_state(stream: DataFrame, p: Params, gap_us: int = 365 * DAY_US) -> DataFrame:
+def stream_agent_state(stream: DataFrame, p: Params, gap_us: int | None = None, delay_us: int = 0) -> DataFrame:
     """State per session: the newest request (not yet known to be kept) and the last kept
-    state (waiting for its end). A session idle for ``gap_us`` is closed."""
-    return stream.withWatermark("ts", WATERMARK).groupBy("session_id").applyInPandasWithState(
-        _agent_state_fn(p, gap_us), STATE_SCHEMA, STATE_STATE, "append", "EventTimeTimeout")
+    state (waiting for its end). With ``gap_us`` a session idle for so long is closed and starts anew; without, sessions close when the
+    stream ends. ``stream`` is ``watermarked``."""
+    return apply_rule(stream.withColumnRenamed("event_type", "kind"), ["session_id"], AgentState(p, gap_us), STATE_SCHEMA, delay_us)
 
 
 # --- throttle ----------------------------------------------------------------------------
-def _throttle_fn(interval: int, gap_us: int):
+def _throttle_fn(interval: int, gap_us: int | None):
     cols = ["stream_id", "emit_idx", "seq", "t_us", "is_tail", "delta"]
 
     def fn(key, pdfs, state):
@@ -189,17 +79,18 @@ def _throttle_fn(interval: int, gap_us: int):
                     s[0], s[2] = int(t), ""
                 s[3], s[4] = int(sq), int(t)
             state.update(tuple(s))
-            state.setTimeoutTimestamp((s[4] + gap_us) // 1000)
+            state.setTimeoutTimestamp(((END_US if gap_us is None else s[4] + gap_us) + SHIFT_US) // 1000)
         yield pd.DataFrame(out, columns=cols)
 
     return fn
 
 
-def stream_throttle(stream: DataFrame, p: Params, gap_us: int = 1_000_000) -> DataFrame:
-    """State per reply stream: last emit time, emitted count, text since the last emit;
-    the tail is flushed when the stream has been idle for ``gap_us``."""
+def stream_throttle(stream: DataFrame, p: Params, gap_us: int | None = None) -> DataFrame:
+    """State per reply stream: last emit time, emitted count, text since the last emit; the tail is flushed when the
+    stream has been idle for ``gap_us`` (a chunk after that starts the reply anew), without it at the end of all streams.
+    ``stream`` is ``watermarked``."""
     iv = p.us(p.throttle_interval)
-    return stream.withWatermark("ts", WATERMARK).groupBy("stream_id").applyInPandasWithState(
+    return stream.groupBy("stream_id").applyInPandasWithState(
         _throttle_fn(iv, gap_us), tx.THROTTLE_SCHEMA,
         "last_emit long, n int, buf string, last_seq int, last_t long", "append", "EventTimeTimeout")
 
@@ -207,123 +98,109 @@ def stream_throttle(stream: DataFrame, p: Params, gap_us: int = 1_000_000) -> Da
 # --- telemetry tail -----------------------------------------------------------------------
 TAIL_SCHEMA = "session_id long, event_id long, which string, t_us long, y double, kind string, rank long"
 TAIL_STATE = ("v_which array<string>, v_id array<long>, v_t array<long>, v_y array<double>, "
-              "m_which array<string>, m_id array<long>, m_t array<long>, max_vt long, last_t long")
+              "m_which array<string>, m_id array<long>, m_t array<long>, max_vt long")
 
 
-def _tail_fn(n: int, retention: int, gap_us: int):
+def _tail_fn(n: int, retention: int):
     def fn(key, pdfs, state):
         if state.exists:
             g = state.get
             vals = pd.DataFrame({"which": list(g[0]), "event_id": list(g[1]), "t_us": list(g[2]), "y": list(g[3])})
             marks = pd.DataFrame({"which": list(g[4]), "event_id": list(g[5]), "t_us": list(g[6])})
-            max_vt, last_t = g[7], g[8]
+            max_vt = g[7]
         else:
             vals = pd.DataFrame(columns=["which", "event_id", "t_us", "y"])
             marks = pd.DataFrame(columns=["which", "event_id", "t_us"])
-            max_vt, last_t = None, None
-        if state.hasTimedOut:
-            v = vals.sort_values(["which", "t_us", "event_id"], ascending=[True, False, False])
-            v["rank"] = v.groupby("which").cumcount() + 1
-            v["kind"] = "value"
-            m = marks.assign(y=float("nan"), kind="event", rank=pd.NA)
-            out = pd.concat([x for x in (v, m) if len(x)], ignore_index=True) if len(v) or len(m) else v.assign(kind=[])
-            out.insert(0, "session_id", key[0])
-            state.remove()
-            yield out[["session_id", "event_id", "which", "t_us", "y", "kind", "rank"]]
-            return
+            max_vt = None
         pdf = _concat(pdfs)
-        if len(pdf):
-            nv = pdf[pdf["kind"] == "value"][["which", "event_id", "t_us", "y"]]
-            nm = pdf[pdf["kind"] == "event"][["which", "event_id", "t_us"]]
-            vals = pd.concat([vals, nv], ignore_index=True)
-            vals = vals.sort_values(["t_us", "event_id"]).groupby("which", group_keys=False).tail(n)  # bounded
-            if len(nv):
-                mv = int(nv["t_us"].max())
-                max_vt = mv if max_vt is None else max(max_vt, mv)
-            marks = pd.concat([marks, nm], ignore_index=True)
-            if max_vt is not None:
-                marks = marks[marks["t_us"] >= max_vt - retention]  # strict <: exactly `retention` stays
-            lt = int(pdf["t_us"].max())
-            last_t = lt if last_t is None else max(last_t, lt)
-            state.update((vals["which"].tolist(), [int(x) for x in vals["event_id"]], [int(x) for x in vals["t_us"]],
-                          [float(x) for x in vals["y"]], marks["which"].tolist(), [int(x) for x in marks["event_id"]],
-                          [int(x) for x in marks["t_us"]], max_vt, last_t))
-            state.setTimeoutTimestamp((last_t + gap_us) // 1000)
-        yield pd.DataFrame(columns=["session_id", "event_id", "which", "t_us", "y", "kind", "rank"])
+        nv = pdf[pdf["kind"] == "value"][["which", "event_id", "t_us", "y"]]
+        nm = pdf[pdf["kind"] == "event"][["which", "event_id", "t_us"]]
+        vals = pd.concat([x for x in (vals, nv) if len(x)], ignore_index=True) if len(vals) or len(nv) else vals
+        vals = vals.sort_values(["which", "t_us", "event_id"], ascending=[True, False, False])
+        vals["rank"] = vals.groupby("which").cumcount() + 1
+        vals = vals[vals["rank"] <= n]                                   # bounded
+        if len(nv):
+            mv = int(nv["t_us"].max())
+            max_vt = mv if max_vt is None else max(max_vt, mv)
+        marks = pd.concat([x for x in (marks, nm) if len(x)], ignore_index=True) if len(marks) or len(nm) else marks
+        if max_vt is not None:
+            marks = marks[marks["t_us"] >= max_vt - retention]  # strict <: exactly `retention` stays
+        state.update((vals["which"].tolist(), [int(x) for x in vals["event_id"]], [int(x) for x in vals["t_us"]],
+                      [float(x) for x in vals["y"]], marks["which"].tolist(), [int(x) for x in marks["event_id"]],
+                      [int(x) for x in marks["t_us"]], max_vt))
+        tail = [x for x in (vals.assign(kind="value"), marks.assign(y=float("nan"), kind="event", rank=pd.NA)) if len(x)]
+        out = pd.concat(tail, ignore_index=True) if tail else vals.assign(kind=[])
+        out.insert(0, "session_id", key[0])
+        yield out[["session_id", "event_id", "which", "t_us", "y", "kind", "rank"]]
 
     return fn
 
 
-def stream_telemetry_tail(stream: DataFrame, p: Params, gap_us: int = 365 * DAY_US) -> DataFrame:
-    """State per session: newest ``telemetry_points`` values per series and the markers
-    inside the retention window (both bounded); emitted when the session closes."""
-    return stream.withWatermark("ts", WATERMARK).groupBy("session_id").applyInPandasWithState(
-        _tail_fn(p.telemetry_points, p.us(p.telemetry_retention), gap_us), TAIL_SCHEMA, TAIL_STATE,
-        "append", "EventTimeTimeout")
+def stream_telemetry_tail(stream: DataFrame, p: Params) -> DataFrame:
+    """State per session: newest ``telemetry_points`` values per series and the markers inside the retention window (both
+    bounded). In update mode: every trigger gives the whole current tail of each session that got rows. Rows may come in any order."""
+    return stream.groupBy("session_id").applyInPandasWithState(
+        _tail_fn(p.telemetry_points, p.us(p.telemetry_retention)), TAIL_SCHEMA, TAIL_STATE, "update", "NoTimeout")
 
 
 # --- drivers: stage, stream, read back ----------------------------------------------------------
-def _file_sink(df: DataFrame):
-    return lambda stream, out: df.writeStream.format("parquet").option("path", out).outputMode("append")
-
-
-def run_segments(spark: SparkSession, events: DataFrame) -> DataFrame:
+def _run_rule(spark: SparkSession, name: str, events: DataFrame, rule, delay_us: int, order_col: str, at: list[int] | None,
+              progress: Progress | None) -> DataFrame:
     def start(stream, out):
-        return stream_speech_segments(stream).writeStream.format("parquet").option("path", out).outputMode("append")
+        return rule(watermarked(stream, delay_us)).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    return run_available_now(spark, "speech_segments", events, start, slices=SLICES, order_col="t_us")
+    return run_available_now(spark, name, events, start, sentinel={"event_type": USER_START}, slices=SLICES, order_col=order_col,
+                             at=at, progress=progress)
 
 
-def run_debounce(spark: SparkSession, events: DataFrame, p: Params) -> DataFrame:
-    def start(stream, out):
-        return stream_debounce(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
+def run_segments(spark: SparkSession, events: DataFrame, delay_us: int = 0, order_col: str = "t_us", at: list[int] | None = None,
+                 progress: Progress | None = None) -> DataFrame:
+    """``order_col``: the order in which rows arrive; with a delay it may differ from their times by that much."""
+    return _run_rule(spark, "speech_segments", events, lambda s: stream_speech_segments(s, delay_us), delay_us, order_col, at, progress)
 
-    r = run_available_now(spark, "debounce", events, start, sentinel=_event_sentinel(spark, events),
-                          slices=SLICES, order_col="t_us")
-    return r.where(~F.col("session_id").eqNullSafe(F.lit(SENTINEL_SESSION)))
 
+def run_debounce(spark: SparkSession, events: DataFrame, p: Params, delay_us: int = 0, order_col: str = "t_us",
+                 at: list[int] | None = None, progress: Progress | None = None) -> DataFrame:
+    return _run_rule(spark, "debounce", events, lambda s: stream_debounce(s, p, delay_us), delay_us, order_col, at, progress)
 
-def run_agent_state(spark: SparkSession, events: DataFrame, p: Params) -> DataFrame:
-    def start(stream, out):
-        return stream_agent_state(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    r = run_available_now(spark, "agent_state", events, start, sentinel=_event_sentinel(spark, events),
-                          slices=SLICES, order_col="t_us")
-    return r.where(~F.col("session_id").eqNullSafe(F.lit(SENTINEL_SESSION)))
+def run_agent_state(spark: SparkSession, events: DataFrame, p: Params, delay_us: int = 0, order_col: str = "t_us",
+                    at: list[int] | None = None, progress: Progress | None = None) -> DataFrame:
+    return _run_rule(spark, "agent_state", events, lambda s: stream_agent_state(s, p, None, delay_us), delay_us, order_col, at, progress)
 
 
 def run_throttle(spark: SparkSession, chunks: DataFrame, p: Params) -> DataFrame:
-    sent = spark.createDataFrame([("__sentinel__", 1, FAR_US, "")], chunks.schema)
-
     def start(stream, out):
-        return stream_throttle(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
+        return stream_throttle(watermarked(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
 
-    r = run_available_now(spark, "throttle", chunks, start, sentinel=sent, slices=SLICES, order_col="t_us")
-    return r.where(~F.col("stream_id").eqNullSafe(F.lit("__sentinel__")))
+    return run_available_now(spark, "throttle", chunks, start, sentinel={}, slices=SLICES, order_col="t_us")
 
 
-def run_telemetry_tail(spark: SparkSession, telemetry: DataFrame, p: Params) -> DataFrame:
-    sent = spark.createDataFrame([(SENTINEL_SESSION, -1, FAR_US, "raw_vol", 0.0, "value")], telemetry.schema)
+def run_telemetry_tail(spark: SparkSession, telemetry: DataFrame, p: Params, after_slice=None, at: list[int] | None = None) -> DataFrame:
+    """The tail table after the last slice; ``after_slice(k, table)`` sees it behind every one."""
+    def sink(out: str) -> UpsertSink:
+        return UpsertSink(spark, out, ["session_id"])
 
     def start(stream, out):
-        return stream_telemetry_tail(_ts(stream), p).writeStream.format("parquet").option("path", out).outputMode("append")
+        return stream_telemetry_tail(stream, p).writeStream.outputMode("update").foreachBatch(sink(out).foreach())
 
-    r = run_available_now(spark, "telemetry_tail", telemetry, start, sentinel=sent, slices=SLICES,
-                          order_col="t_us")
-    return r.where(~F.col("session_id").eqNullSafe(F.lit(SENTINEL_SESSION)))
+    seen = None if after_slice is None else lambda k, out: after_slice(k, sink(out).current(TAIL_SCHEMA))
+    return run_available_now(spark, "telemetry_tail", telemetry, start, slices=SLICES, order_col="t_us", at=at, after_slice=seen,
+                             read_result=lambda out: sink(out).current(TAIL_SCHEMA))
 
 
 def run_usage(spark: SparkSession, metrics_df: DataFrame) -> DataFrame:
-    """Running usage per session: a streaming aggregation in complete mode; every trigger
-    rewrites the summary table (foreachBatch), the last one is final."""
+    """Running usage per session: a streaming aggregation in update mode; every trigger brings the sessions that
+    changed, and their rows replace the older ones."""
+    schema = turns.usage_summary(metrics_df).schema
+    keys = ["session_id"]
 
     def start(stream, out):
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        return turns.usage_summary(stream).writeStream.outputMode("update").foreachBatch(UpsertSink(spark, out, keys).foreach())
 
-        return turns.usage_summary(stream).writeStream.outputMode("complete").foreachBatch(write)
-
-    return run_available_now(spark, "usage", metrics_df, start, slices=SLICES, order_col="t_us")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    return run_available_now(spark, "usage", metrics_df, start, slices=SLICES, order_col="t_us",
+                             read_result=lambda out: UpsertSink(spark, out, keys).current(ddl))
 
 
 def run_asset_dedupe(spark: SparkSession, vectors: DataFrame) -> DataFrame:
@@ -341,16 +218,19 @@ def run_asset_dedupe(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     return r.select("fp", "vec_id", "path", F.substring("fp", 1, 2).alias("prefix"), F.md5("wav").alias("wav_md5"))
 
 
+LOG_SCHEMA = "session_id long, event_id long, t_us long, event string"
+
+
 def run_event_log(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Fan-out of the live event log: every micro-batch is written once, partitioned by
-    event name, so each subscriber reads its own directory (foreachBatch)."""
+    """Fan-out of the live event log: every micro-batch is written exactly once, partitioned by
+    event name, so each subscriber reads its own directory (``BatchSink``)."""
     from parley.operators.telemetry import event_log
 
-    def start(stream, out):
-        def write(batch: DataFrame, batch_id: int) -> None:
-            event_log(batch).write.mode("append").partitionBy("event").parquet(out)
+    def sink(out: str) -> BatchSink:
+        return BatchSink(spark, out, ("event",))
 
-        return stream.writeStream.foreachBatch(write)
+    def start(stream, out):
+        return stream.writeStream.foreachBatch(sink(out).foreach(event_log))
 
-    r = run_available_now(spark, "event_log", events, start, slices=SLICES, order_col="t_us")
-    return r.select("session_id", "event_id", "t_us", F.col("event").cast("string").alias("event"))
+    return run_available_now(spark, "event_log", events, start, slices=SLICES, order_col="t_us",
+                             read_result=lambda out: sink(out).read(LOG_SCHEMA).drop("batch"))
