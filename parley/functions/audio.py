@@ -60,6 +60,14 @@ def wav_bytes(pcm: Column) -> Column:
     return F.concat(F.unhex(header), data)
 
 
+def wav_pcm(b: Column) -> Column:
+    """Samples of a WAV file with the header above (null for other bytes)."""
+    ok = (F.hex(F.substring(b, 9, 28)) == F.lit(WAV_FORMAT_HEX)) & (F.hex(F.substring(b, 37, 4)) == F.lit("64617461"))
+    pairs = F.regexp_extract_all(F.substring(F.hex(b), 89, 2**31 - 1), F.lit("...."), 0)
+    n = F.transform(pairs, lambda x: F.conv(F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)), 16, 10).cast("int"))
+    return F.when(ok, F.transform(n, lambda v: F.when(v > PCM16_MAX, v - 65536).otherwise(v)))
+
+
 def data_url(b: Column) -> Column:
     """data:audio/wav;base64,<payload> without the line breaks Spark's base64 may insert."""
     return F.concat(F.lit(DATA_URL_PREFIX), F.translate(F.base64(b), "\r\n", ""))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from parley.functions.audio import wav_pcm
 from parley.operators import audio as au
 from parley.plans.oracle_base import sql
 from parley.plans.registry import query
@@ -63,11 +64,10 @@ def q_audio_fingerprint(spark, d):
 
 @query("asset_sink", sql("SELECT fp, vec_id, path, prefix, md5(wav) AS wav_md5 FROM assets", ASSETS))
 def q_asset_sink(spark, d):
-    """Assets appended to a new store below the checkpoint folder, as it holds them afterwards."""
-    store = _new_store(spark)
-    au.write_assets(au.assets_to_write(audio_vectors(spark, d), au.existing_assets(spark, store)), store)
-    return spark.read.parquet(store).select(
-        "fp", "vec_id", "path", F.substring("fp", 1, 2).alias("prefix"), F.md5("wav").alias("wav_md5"))
+    """Audio files written to a new store below the checkpoint folder, as the folder holds them afterwards."""
+    store = au.AssetStore(spark, _new_store(spark))
+    store.add(audio_vectors(spark, d))
+    return au.asset_source(store).select("fp", "vec_id", "path", "prefix", F.md5("wav").alias("wav_md5"))
 
 
 @query("asset_cache_anti", sql("""
@@ -91,12 +91,20 @@ def q_audio_data_url(spark, d):
 SELECT fp, path, octet_length(wav) AS n_bytes, md5(wav) AS wav_md5 FROM assets
 """, ASSETS))
 def q_asset_source(spark, d):
-    """Assets written once to a fresh store below the checkpoint folder, read back."""
-    store = _new_store(spark)
+    """Files written to a fresh store below the checkpoint folder in two overlapping batches, read back."""
+    store = au.AssetStore(spark, _new_store(spark))
     v = audio_vectors(spark, d)
-    au.write_assets(au.assets_to_write(v, au.existing_assets(spark, store)), store)
-    b = au.asset_source(spark, store)
-    return b.select("fp", "path", F.length("wav").alias("n_bytes"), F.md5("wav").alias("wav_md5"))
+    store.add(v.where(F.col("vec_id") % 3 == 0))
+    store.add(v)
+    return au.asset_source(store).select("fp", "path", F.length("wav").alias("n_bytes"), F.md5("wav").alias("wav_md5"))
+
+
+@query("asset_pcm", sql("SELECT a.fp, p.pcm16 FROM assets a JOIN (SELECT vec_id, " + PCM + " AS pcm16 FROM audio_vectors) p USING (vec_id)", ASSETS))
+def q_asset_pcm(spark, d):
+    """Samples decoded from the stored files."""
+    store = au.AssetStore(spark, _new_store(spark))
+    store.add(audio_vectors(spark, d))
+    return store.files().select("fp", wav_pcm(F.col("wav")).alias("pcm16"))
 
 
 @query("utterance_concat", sql("""

@@ -58,22 +58,34 @@ def state_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that what lies before it runs once and
-    survives lost executors. The table is removed when the driver's Python ends."""
+    survives lost executors. The table goes with ``drop_written``, or when the driver's Python ends."""
     spark = df.sparkSession
     path = state_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._parley_path = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that no plan needs any more."""
+    for t in tables:
+        _remove(t._parley_path, _written.pop(t._parley_path))
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for path, spark in _written.items():
+        _remove(path, spark)

@@ -205,17 +205,14 @@ def run_usage(spark: SparkSession, metrics_df: DataFrame) -> DataFrame:
 
 def run_asset_dedupe(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     """Content-addressed store fed by a stream: each micro-batch writes only fingerprints
-    not already stored (idempotent on retry, the cache never expires)."""
+    not already stored (once, also when it is tried again; the store never expires)."""
 
     def start(stream, out):
-        def write(batch: DataFrame, batch_id: int) -> None:
-            stored = au.existing_assets(spark, out)
-            au.write_assets(au.assets_to_write(batch, stored), out)
+        return stream.writeStream.foreachBatch(lambda batch, batch_id: au.AssetStore(spark, out).add(batch, batch_id))
 
-        return stream.writeStream.foreachBatch(write)
-
-    r = run_available_now(spark, "assets", vectors, start, slices=SLICES, order_col="vec_id")
-    return r.select("fp", "vec_id", "path", F.substring("fp", 1, 2).alias("prefix"), F.md5("wav").alias("wav_md5"))
+    r = run_available_now(spark, "assets", vectors, start, slices=SLICES, order_col="vec_id",
+                          read_result=lambda out: au.asset_source(au.AssetStore(spark, out)))
+    return r.select("fp", "vec_id", "path", "prefix", F.md5("wav").alias("wav_md5"))
 
 
 LOG_SCHEMA = "session_id long, event_id long, t_us long, event string"

@@ -1,19 +1,19 @@
 """Audio fingerprints and asset store; telemetry tail and retention; config join."""
 
-import io
 import os
 import random
 import tempfile
 import wave
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from parley.functions.audio import wav_pcm
 from parley.operators import audio as au
 from parley.operators import config as cfg
 from parley.operators import telemetry as tm
 from parley.sources import model_config
+from parley.sources.wav import WavFiles
 
 AV = "vec_id long, session_id int, samples array<float>"
 
@@ -27,26 +27,61 @@ def test_scaled_copies_share_fingerprint_and_silent_is_null(spark):
     assert n[3] == (True, None) and n[1][1][1] == -1.0
 
 
-def test_asset_store_write_once(spark):
-    v = spark.createDataFrame([(1, 0, [0.1, 0.2]), (2, 0, [0.2, 0.4]), (3, 1, [0.3, -0.1])], AV)
-    store = os.path.join(tempfile.mkdtemp(prefix="parley-assets-"), "store")
-    first = au.assets_to_write(v, au.existing_assets(spark, store))
-    assert first.count() == 2
-    au.write_assets(first, store)
-    assert au.assets_to_write(v, au.existing_assets(spark, store)).count() == 0
-    back = au.asset_source(spark, store).collect()
-    for r in back:   # a real file: Python's own reader takes it
-        with wave.open(io.BytesIO(r.wav)) as w:
-            assert (w.getnchannels(), w.getframerate(), w.getsampwidth(), w.getnframes()) == (1, 16000, 2, 2)
-    au.write_assets(au.assets_to_write(v, au.existing_assets(spark, store)), store)   # a second run appends nothing
-    assert spark.read.parquet(store).count() == 2
+def on_disk(store):
+    return sorted(os.path.relpath(os.path.join(d, f), store) for d, _, names in os.walk(f"{store}/files") for f in names if not f.endswith(".crc"))
+
 
+def new_store(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="parley-assets-"), "store")
+    return au.AssetStore(spark, path), path
 
-def test_store_errors_other_than_missing_are_raised(spark):
-    store = os.path.join(tempfile.mkdtemp(prefix="parley-assets-"), "store")
-    spark.range(1).write.parquet(store)   # a store without the fingerprint column
-    with pytest.raises(AnalysisException):
-        au.existing_assets(spark, store)
+
+def test_asset_store_write_once(spark):
+    v = spark.createDataFrame([(1, 0, [0.1, 0.2]), (2, 0, [0.2, 0.4]), (3, 1, [0.3, -0.1]), (4, 1, [0.0, 0.0])], AV)
+    store, path = new_store(spark)
+    assert au.asset_source(store).count() == 0
+    store.add(v)
+    first = on_disk(path)
+    assert len(first) == 2 and all(f.startswith("files/0/") and f.endswith(".wav") for f in first)
+    for f in first:   # a real file: Python's own reader takes it
+        with wave.open(os.path.join(path, f)) as w:
+            assert (w.getnchannels(), w.getframerate(), w.getsampwidth(), w.getnframes()) == (1, 16000, 2, 2)
+    store.add(v)                                       # a second run writes no file
+    store.add(v, 0)                                    # nor does a batch that is there
+    assert on_disk(path) == first and store.index.ledger.committed() == [0, 1]
+    back = au.asset_source(store).collect()
+    assert sorted(r.vec_id for r in back) == [1, 3]
+    want = {r.fp: r.pcm16 for r in au.fingerprints(v).collect()}
+    assert {r.fp: r.pcm16 for r in store.files().select("fp", wav_pcm(F.col("wav")).alias("pcm16")).collect()} == {k: x for k, x in want.items() if k}
+    assert au.assets_to_write(v, store.stored()).count() == 0
+
+
+def test_failed_job_leaves_no_file(spark):
+    v = spark.range(200).select(F.col("id").alias("vec_id"), F.lit(0).alias("session_id"), F.array(F.lit(1.0), (F.col("id") / 999).cast("float")).cast("array<float>").alias("samples"))
+    store, path = new_store(spark)
+    bad = au.fresh_assets(v).select(F.concat(F.lit("x/tmp_"), "fp", F.lit(".wav")).alias("name"), F.when(F.col("vec_id") != 150, F.col("pcm16")).alias("pcm16"))
+    spark.dataSource.register(WavFiles)
+    with pytest.raises(Exception):
+        bad.write.format("parley_wav").option("path", f"{path}/files/0").mode("append").save()
+    assert on_disk(path) == [] and au.asset_source(store).count() == 0
+    # files are written, but the batch never got its entry: nobody sees it, and the retry replaces it
+    write, store.index.write = store.index.write, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        store.add(v.limit(50), 0)
+    assert len(on_disk(path)) == 50 and au.asset_source(store).count() == 0
+    store.index.write = write
+    store.add(v, 0)
+    assert len(on_disk(path)) == 200 and au.asset_source(store).count() == 200
+
+
+def test_twenty_batches_and_pruned_look_up(spark):
+    v = spark.range(60).select(F.col("id").alias("vec_id"), F.lit(0).alias("session_id"), F.array(F.lit(1.0), (F.col("id") % 40 / 99).cast("float")).cast("array<float>").alias("samples"))
+    store, _ = new_store(spark)
+    for k in range(20):
+        store.add(v.where(F.col("vec_id").between(3 * k, 3 * k + 2)), k)
+    assert sorted(r.vec_id for r in au.asset_source(store).collect()) == list(range(40))
+    plan = store.stored(["a"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan and "PushedFilters: []" in plan
 
 
 def _tel(spark, rows):
