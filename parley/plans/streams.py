@@ -13,7 +13,7 @@ from parley.params import DEFAULT, EVENTS as P
 from parley.plans import audio as qa, speech as qs, telemetry as qt, text as qx
 from parley.plans.oracle_base import sql
 from parley.plans.registry import ORACLES, query
-from parley.sources import agent_events, audio_vectors, chunks
+from parley.sources import agent_events, audio_vectors, chat_messages, chunks
 from parley.session import written
 from parley.streaming import twins
 from parley.streaming.runner import Progress
@@ -157,4 +157,17 @@ def q_stream_telemetry_steps(spark, d):
     return reduce(DataFrame.unionByName, seen)
 
 
+@query("chunk_source_live", sql("SELECT stream_id, seq, t_us, delta FROM chunks"))
+def q_chunk_source_live(spark, d):
+    """The reply chunks as a live stream: replayed through a log, at most 20,000 rows a trigger."""
+    return twins.replay(spark, chunks(spark, d), "stream_id", ["stream_id", "seq"], 20_000).read().drop("batch")
+
+
+@query("chat_source_live", sql("SELECT session_id, turn, role, text FROM chat_messages"))
+def q_chat_source_live(spark, d):
+    """The chat messages as a live stream, in the order of their sessions."""
+    rows = chat_messages(spark, d).drop("audio")
+    return twins.replay(spark, rows, "session_id", ["session_id", "turn"], 20_000).read().drop("batch")
+
+
 _ = (qs, qa, qx)  # the twins reuse oracles registered by these modules

@@ -8,6 +8,8 @@ out of order by up to the watermark's delay, where the rule has one; see ``order
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from parley.operators import text as tx
 from parley.operators import turns
 from parley.operators.segments import USER_END, USER_START
 from parley.params import Params
+from parley.session import state_path
 from parley.streaming.ordered import END_US, SHIFT_US, AgentState, Debounce, Segments, apply_rule, watermarked
 from parley.streaming.runner import Progress, run_available_now
 from parley.streaming.sinks import BatchSink, UpsertSink
@@ -231,3 +234,25 @@ def run_event_log(spark: SparkSession, events: DataFrame) -> DataFrame:
 
     return run_available_now(spark, "event_log", events, start, slices=SLICES, order_col="t_us",
                              read_result=lambda out: sink(out).read(LOG_SCHEMA).drop("batch"))
+
+
+def replay(spark: SparkSession, rows: DataFrame, key: str, order: list[str], rows_per_trigger: int, batches: int = 3) -> BatchSink:
+    """``rows`` appended to a live log in some batches, read from it as a stream with back pressure, as its sink holds
+    them (with the number of the micro-batch)."""
+    from parley.sources.live import Log, live_stream
+
+    base = state_path(spark, f"live/{uuid.uuid4().hex}")
+    log, sink = Log(spark, f"{base}/log", key, order), BatchSink(spark, f"{base}/out")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    query = None
+    try:
+        for k in range(batches):
+            log.append(rows.where(F.pmod(F.xxhash64(key), F.lit(batches)) == k))      # a stream's rows come in one batch
+            if query is None:
+                stream = live_stream(spark, log.path, columns, f"{base}/ckpt", rows_per_trigger)
+                query = stream.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(sink.foreach()).start()
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
+    return sink
