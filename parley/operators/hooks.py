@@ -15,11 +15,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import WORD_RE
-from parley.operators.scan import prev, scan
+from parley.operators.context import context_blocks, contexts_at, numbered
+from parley.operators.scan import prev, run_sum, scan
+from parley.operators.text import SUPPORTED_LANGUAGES
 from parley.params import Params
 
 # A model factory returns fn(audio, history) -> iterable of cumulative reply strings.
@@ -101,6 +104,62 @@ def reply_in_order(chat: DataFrame, factory: ModelFactory = echo_model) -> DataF
     return ordered.mapInPandas(run, REPLY_SCHEMA)
 
 
+def listening_model() -> Callable[[object, list], Iterable[str]]:
+    """Deterministic stub that reads the audio: number and sum of its 16-bit samples, then the number of messages."""
+
+    def fn(audio, history):
+        pcm = np.zeros(0) if audio is None else np.asarray(audio, np.float64) * 32767
+        pcm = np.sign(pcm) * np.floor(np.abs(pcm) + 0.5)
+        yield f"heard {len(pcm)}"
+        yield f"heard {len(pcm)} {int(pcm.sum())} of {len(history)}"
+
+    return fn
+
+
+def utterances_of_turns(chat: DataFrame, utterances: DataFrame, p: Params) -> DataFrame:
+    """session_id, turn, audio: the k-th user message of a session is its k-th utterance (session_id, utterance_id, audio)."""
+    count = {"k": run_sum(F.lit(1).cast("bigint"))}
+    user = scan(chat.where(F.col("role") == "user").select("session_id", "turn"), ["session_id"], ["turn"], count, p.turn_bucket)
+    said = scan(utterances.select("session_id", "utterance_id", "audio"), ["session_id"], ["utterance_id"], count, p.turn_bucket)
+    same = F.col("u.session_id").eqNullSafe(F.col("s.session_id")) & (F.col("u.k") == F.col("s.k"))
+    return user.alias("u").join(said.alias("s"), same, "left").select("u.session_id", "u.turn", "s.audio")
+
+
+def reply_with_audio(chat: DataFrame, audio: DataFrame, p: Params, factory: ModelFactory = listening_model, block: int = 256) -> DataFrame:
+    """One model call at every user message, with the audio of the turn and the whole history up to it.
+
+    The calls of a conversation are spread: those of ``block`` consecutive messages form a group, which gets the blocks before it
+    from the store of contexts (each message of a block once for all calls of the group, not once a call). ``audio`` has (session_id,
+    turn, audio); a turn without gets None. Errors go to the ``error`` column. Null sessions are one conversation.
+    """
+    places = numbered(chat, p).where(F.col("role") == "user").withColumn("block", F.expr(f"(idx - 1) div {block}"))
+    calls = (places.alias("c").join(audio.alias("a"), F.col("c.session_id").eqNullSafe(F.col("a.session_id")) & (F.col("c.turn") == F.col("a.turn")), "left")
+             .select(*[F.col(f"c.{x}").alias(x) for x in ("session_id", "block", "idx", "turn")], "a.audio"))
+    last = places.groupBy("session_id", "block").agg(F.max("idx").alias("at_idx"))
+    history = contexts_at(last, context_blocks(chat, p, block), block).withColumn("block", F.expr(f"(at_idx - 1) div {block}"))
+
+    def run(past: pa.Table, asked: pa.Table) -> pa.Table:
+        fn, rows = factory(), []
+        past = past.sort_by("idx").select(["idx", "turn", "role", "text"]).to_pylist()
+        messages = [{"turn": m["turn"], "role": m["role"], "text": m["text"]} for m in past]
+        asked = asked.sort_by("idx")
+        for i in range(asked.num_rows):           # one call's audio at a time
+            sid, idx, turn = (asked[c][i].as_py() for c in ("session_id", "idx", "turn"))
+            sound = asked["audio"][i]
+            try:
+                before = ""
+                for k, cum in enumerate(fn(sound.values.to_numpy(zero_copy_only=False) if sound.is_valid else None, messages[:idx]), start=1):
+                    rows.append((sid, turn, k, cum[len(before):], None))
+                    before = cum
+            except Exception as ex:  # noqa: BLE001 - the error is data
+                rows.append((sid, turn, 0, None, f"{type(ex).__name__}: {ex}"))
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))],
+                        names=["session_id", "turn", "seq", "delta", "error"])
+
+    return history.groupBy("session_id", "block").cogroup(calls.groupBy("session_id", "block")).applyInArrow(run, REPLY_SCHEMA)
+
+
 def text_hook(texts: DataFrame, hook: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """before-TTS hook as a Column -> Column function (default identity); a null result is
     a violation row instead of the reference's error."""
@@ -120,6 +179,36 @@ def score_turns(docs: DataFrame, scorer: Callable[[pd.Series], pd.Series] = stub
     return docs.select("doc_id", "lang", udf(F.col("n_chars")).alias("p_end_of_turn"))
 
 
+def context_scorer() -> Callable[[pd.Series], pd.Series]:
+    """Deterministic detector over contexts: (characters of the messages % 100) / 100. Loaded once per partition."""
+    return lambda contexts: contexts.map(lambda c: sum(len(m["text"] or "") for m in c) % 100 / 100.0)
+
+
+def score_contexts(chat: DataFrame, languages: DataFrame, p: Params, factory: Callable[[], Callable[[pd.Series], pd.Series]] = context_scorer,
+                   last_n: int = 4, threshold: float = 0.5) -> DataFrame:
+    """Turn detector at every user message: the scorer gets the last ``last_n`` messages of the context, oldest first.
+
+    ``languages`` has (session_id, lang). A message is eligible if its language is supported and it has text; others aren't scored.
+    ``unlikely``: the probability is below the threshold, so the end of the turn is waited for longer.
+    """
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = factory()                         # once per partition
+        for contexts in batches:
+            yield score(contexts).astype("float64")
+
+    udf = F.pandas_udf(run, "double")
+    user = numbered(chat, p).where(F.col("role") == "user").select("session_id", "turn", "text", F.col("idx").alias("at_idx"))
+    known = user.join(languages, "session_id", "left")
+    ok = F.coalesce((F.length("text") > 0) & F.col("lang").isin(*SUPPORTED_LANGUAGES), F.lit(False))
+    known = known.select("session_id", "turn", "at_idx", "lang", ok.alias("eligible"))
+    places = known.where("eligible")
+    rows = contexts_at(places, context_blocks(chat, p), last_n=last_n)
+    contexts = rows.groupBy("session_id", "at_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "role", "text"))).alias("context"))
+    scored = contexts.select("session_id", "at_idx", udf(F.col("context")).alias("p_end_of_turn"))
+    return known.join(scored, ["session_id", "at_idx"], "left").select(
+        "session_id", "turn", "lang", "eligible", "p_end_of_turn", (F.col("p_end_of_turn") < threshold).alias("unlikely"))
+
+
 TTS_SCHEMA = "session_id long, turn long, frame_idx int, samples_per_channel long, sample_rate int"
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from parley.operators import hooks as hk
+from parley.operators.audio import utterance_concat
 from parley.params import DEFAULT
 from parley.plans.oracle_base import sql, strip
 from parley.plans.registry import query
@@ -23,6 +26,48 @@ def q_batch_reply(spark, d):
     return hk.reply_in_order(chat_messages(spark, d))
 
 
+SOUND = """
+heard AS (SELECT session_id AS label, row_number() OVER (PARTITION BY session_id ORDER BY utterance_id) AS k, pcm FROM (
+  SELECT session_id, vec_id // 16 AS utterance_id,
+         flatten(list(list_transform(samples, lambda x: CAST(round(CAST(x AS DOUBLE) * 32767) AS BIGINT)) ORDER BY vec_id)) AS pcm
+  FROM audio_vectors GROUP BY ALL)),
+labels AS (SELECT count(DISTINCT session_id) AS n, list_sort(list(DISTINCT session_id)) AS l FROM audio_vectors),
+turns AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, role, text) AS idx FROM chat_messages),
+asked AS (SELECT session_id, turn, idx, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS k FROM turns WHERE role = 'user'),
+said AS (SELECT asked.session_id, turn, idx, coalesce(len(pcm), 0) AS n, coalesce(list_sum(pcm), 0)::BIGINT AS s
+  FROM asked CROSS JOIN labels LEFT JOIN heard ON heard.label = labels.l[1 + asked.session_id % labels.n] AND heard.k = asked.k)
+"""
+
+
+@query("batch_reply_audio", sql("""
+SELECT session_id, turn, 1 AS seq, 'heard ' || n AS delta, CAST(NULL AS VARCHAR) AS error FROM said
+UNION ALL SELECT session_id, turn, 2, ' ' || s || ' of ' || idx, NULL FROM said
+""", SOUND))
+def q_batch_reply_audio(spark, d):
+    """A model call at every user message with the audio of the turn; conversation n hears the utterances of the (n mod labels)-th label."""
+    chat, vectors = chat_messages(spark, d), audio_vectors(spark, d)
+    u = utterance_concat(vectors)
+    labels = sorted(r[0] for r in vectors.select("session_id").distinct().collect())      # the few labels of the fixture
+    of = F.array(*[F.lit(x) for x in labels])[(F.col("session_id") % len(labels)).cast("int")]
+    sessions = chat.select("session_id").distinct().select("session_id", of.alias("label"))
+    said = u.withColumnRenamed("session_id", "label").join(sessions, "label").drop("label")
+    return hk.reply_with_audio(chat, hk.utterances_of_turns(chat, said, DEFAULT), DEFAULT)
+
+
+@query("score_turns_context", sql("""
+SELECT session_id, turn, lang, eligible, p AS p_end_of_turn, p < 0.5 AS unlikely FROM (
+  SELECT *, CASE WHEN eligible THEN (chars % 100) / 100.0 END AS p FROM (
+    SELECT session_id, turn, role, lang, coalesce(length(text) > 0 AND lang IN ('en', 'de'), false) AS eligible,
+           sum(coalesce(length(text), 0)) OVER (PARTITION BY session_id ORDER BY turn, role, text ROWS 3 PRECEDING) AS chars
+    FROM (SELECT *, (['en', 'de', 'fr', 'es'])[1 + session_id % 4] AS lang FROM chat_messages)) WHERE role = 'user')
+"""))
+def q_score_turns_context(spark, d):
+    """Turn detector on the last four messages at every user turn; conversation n is in the (n mod 4)-th language."""
+    chat = chat_messages(spark, d)
+    langs = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])[(F.col("session_id") % 4).cast("int")]
+    return hk.score_contexts(chat, chat.select("session_id").distinct().withColumn("lang", langs), DEFAULT)
+
+
 @query("text_hook", sql(f"""
 SELECT session_id, turn, {strip('text')} AS tts_text,
        CASE WHEN text IS NULL THEN 'hook_returned_none' ELSE 'ok' END AS status

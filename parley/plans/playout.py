@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-from parley.operators import playout as po
+from pyspark.sql import functions as F
+
+from parley.operators import planning, playout as po
 from parley.operators import turns
 from parley.params import DAY_US, EVENTS
 from parley.plans.oracle_base import TURN_CTES, sql
@@ -276,6 +278,30 @@ def q_say_routing(spark, d):
     return turns.say_routing(agent_events(spark, d, [AGENT_START, AGENT_END, VAD_DONE]), EVENTS)
 
 
+SAY_PLAN = """
+q AS (SELECT s.session_id, s.speech_id, s.t_us, s.kind = 'speech' AS say, coalesce(f.units, 0)::BIGINT * 86400000000 AS dur,
+             row_number() OVER (PARTITION BY s.session_id ORDER BY s.t_us, s.speech_id) AS rn
+      FROM speeches s LEFT JOIN (SELECT speech_id, sum(samples_per_channel) AS units FROM frames GROUP BY speech_id) f USING (speech_id)),
+r(session_id, rn, speech_id, t_us, parent_id, start_us, open) AS (
+  SELECT session_id, rn, speech_id, t_us, NULL::BIGINT, t_us, CASE WHEN dur > 0 THEN [{'e': t_us + dur, 'id': speech_id}] ELSE [] END FROM q WHERE rn = 1
+  UNION ALL
+  SELECT session_id, rn, speech_id, t_us, CASE WHEN say THEN o[1].id END, CASE WHEN NOT say OR len(o) = 0 THEN from_us END,
+         CASE WHEN (say AND len(o) > 0) OR dur = 0 THEN o ELSE o || [{'e': from_us + dur, 'id': speech_id}] END
+  FROM (SELECT *, coalesce(o[-1].e, t_us) AS from_us FROM (SELECT q.*, list_filter(r.open, lambda x: x.e > q.t_us) AS o
+        FROM r JOIN q ON q.session_id = r.session_id AND q.rn = r.rn + 1)))
+"""
+
+
+@query("say_planned", sql("""
+SELECT session_id, speech_id, t_us, CASE WHEN parent_id IS NULL THEN 'enqueue' ELSE 'nested' END AS route, parent_id,
+       CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS depth, start_us FROM r
+""", SAY_PLAN, recursive=True))
+def q_say_planned(spark, d):
+    """Routes without a record: plain speeches are said, replies and tool speeches always enqueue."""
+    s = po.speech_durations(speeches(spark, d), frames(spark, d))
+    return planning.plan_requests(s.select("session_id", "speech_id", "t_us", (F.col("kind") == "speech").alias("is_say"), "dur_us"))
+
+
 @query("nested_rollup", sql("""
 SELECT r.session_id, r.parent_id, r.children, r.n_children, r.max_depth,
        coalesce(c.closed, false) AS finished

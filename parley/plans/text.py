@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.operators import config as cfg
-from parley.operators import text as tx
+from parley.operators import context as ctx, text as tx, tokenizers
 from parley.operators import turns
 from parley.params import DEFAULT, EVENTS
 from parley.plans.oracle_base import TURN_CTES, sql
@@ -80,6 +80,47 @@ def q_chat_context_snapshot(spark, d):
     return tx.context_sizes(chat_messages(spark, d), DEFAULT)
 
 
+def _folded(k: int, base: int) -> str:
+    """Horner's form of the fingerprint, by a fold over all messages up to the turn."""
+    return (f"list_reduce([0::BIGINT] || list_transform(hs, lambda x: ('0x' || substr(x, {1 + 7 * k}, 7))::BIGINT), "
+            f"lambda a, x: (a * {base} + x) % {ctx.PRIME})")
+
+
+@query("chat_context_fingerprint", sql(f"""
+SELECT session_id, turn, len(hs) AS n_messages, {_folded(0, ctx.BASES[0])} * 2147483648 + {_folded(1, ctx.BASES[1])} AS fingerprint
+FROM (SELECT session_id, turn, list(md5(coalesce(role, chr(1)) || chr(31) || coalesce(text, chr(1)))) OVER
+        (PARTITION BY session_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS hs FROM chat_messages)
+"""))
+def q_chat_context_fingerprint(spark, d):
+    """The whole context at each turn, by an order-dependent fingerprint."""
+    return ctx.context_fingerprint(chat_messages(spark, d), DEFAULT)
+
+
+LAST_N = 6
+LAST_CONTEXT = f"""
+SELECT a.session_id, a.idx AS at_idx, b.idx, b.turn, b.role, b.text FROM numbered a JOIN numbered b
+  ON a.session_id = b.session_id AND b.idx <= a.idx AND b.idx > a.idx - {LAST_N}
+WHERE a.role = 'user'
+"""
+NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, role, text) AS idx FROM chat_messages)"
+
+
+@query("chat_context_rows", sql(LAST_CONTEXT.replace(f" AND b.idx > a.idx - {LAST_N}", ""), NUMBERED))
+def q_chat_context_rows(spark, d):
+    """The whole context at each user turn, read message by message from the store of blocks."""
+    chat = chat_messages(spark, d)
+    places = ctx.numbered(chat, DEFAULT).where("role = 'user'").select("session_id", F.col("idx").alias("at_idx"))
+    return ctx.contexts_at(places, ctx.context_blocks(chat, DEFAULT, 4), 4)
+
+
+@query("chat_context_last_n", sql(LAST_CONTEXT, NUMBERED))
+def q_chat_context_last_n(spark, d):
+    """The last messages of the context at each user turn."""
+    chat = chat_messages(spark, d)
+    places = ctx.numbered(chat, DEFAULT).where("role = 'user'").select("session_id", F.col("idx").alias("at_idx"))
+    return ctx.contexts_at(places, ctx.context_blocks(chat, DEFAULT), last_n=LAST_N)
+
+
 @query("system_prompt_union", sql(f"""
 SELECT session_id, turn, role, text FROM chat_messages
 UNION ALL
@@ -318,3 +359,54 @@ def q_conversation_commit(spark, d):
     return turns.conversation_commit(
         agent_events(spark, d, ["user_stopped_speaking", "agent_started_speaking", "agent_stopped_speaking",
                                 "vad_inference_done"]), EVENTS)
+
+
+# A small pattern set for the tests: a break between a vowel and a consonant before a vowel, none within some groups.
+VOWELS, CONSONANTS = "aeiou", "bcdfgklmnprstvz"
+PATTERNS = [f"{v}1{c}{w}" for v in VOWELS for c in CONSONANTS for w in VOWELS] + [f"{c}1{d}" for c in "lnr" for d in "bdgkpt"] + ["2st.", "n2k", ".re3", "s2ch"]
+
+
+def _pattern_rows() -> str:
+    """(letters, place, weight) of every weight in the patterns."""
+    rows = []
+    for p in PATTERNS:
+        letters = "".join(c for c in p if not c.isdigit())
+        for k, c in enumerate(p):
+            if c.isdigit():
+                rows.append(f"('{letters}', {sum(not x.isdigit() for x in p[:k])}, {c})")
+    return "VALUES " + ", ".join(rows)
+
+
+@query("hyphenate_words", sql("""
+SELECT word, CAST(i - 1 AS INTEGER) AS idx, substring(word, cuts[i] + 1, cuts[i + 1] - cuts[i]) AS part
+FROM (SELECT word, cuts, unnest(range(1, len(cuts))) AS i FROM (
+  SELECT w.word, list_sort(list_distinct([0, length(w.word)] || coalesce(list(k) FILTER (WHERE weight % 2 = 1), []))) AS cuts
+  FROM words w LEFT JOIN (SELECT word, i + place - 2 AS k, max(weight) AS weight
+    FROM (SELECT word, unnest(range(1, length(word) + 3)) AS i FROM words) CROSS JOIN pats
+    WHERE substring('.' || word || '.', i, length(letters)) = letters
+    GROUP BY word, i + place - 2 HAVING k >= 2 AND k <= length(word) - 2) p USING (word)
+  GROUP BY w.word))
+""", f"""
+words AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM transcripts)),
+pats(letters, place, weight) AS ({_pattern_rows()})
+"""))
+def q_hyphenate_words(spark, d):
+    """Parts of the distinct lower-case words of the transcripts, by a hyphenator over the small pattern set."""
+    words = transcripts(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    return tokenizers.hyphenate_words(words, PATTERNS)
+
+
+def word_tokenizer():
+    import re
+
+    return re.compile(r"[^ \t\n\r\f]+").findall
+
+
+@query("token_hook", sql(f"""
+SELECT doc_id, lang, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS idx, unnest(w) AS token
+FROM (SELECT doc_id, lang, regexp_extract_all(text, {WORD}) AS w FROM transcripts WHERE lang = 'de')
+"""))
+def q_token_hook(spark, d):
+    """A word tokenizer of the caller's on the German transcripts."""
+    docs = transcripts(spark, d).where("lang = 'de'").select("doc_id", "lang", "text")
+    return tokenizers.tokens(docs, word_tokenizer)
