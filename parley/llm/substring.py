@@ -273,9 +273,9 @@ def _parse_all(docs: DataFrame, p: SubstringDedup, with_text: bool) -> DataFrame
     index = materialize(rows.mapInArrow(_index(p, ranges), _ddl(_BLOCKS)), "substring-blocks")
     blocks = index.where(F.col("part") == -1).select("block", "ids", "lens", "texts")
     entries = index.where(F.col("part") >= 0).select("block", "part", "anchor", "key", "doc")
-    first = materialize(entries.groupBy("part").applyInArrow(_sources, _ddl(_ANSWERS)), "substring-sources")
+    first = materialize(entries.repartitionById(ranges, "part").groupBy("part").applyInArrow(_sources, _ddl(_ANSWERS)), "substring-sources")
     opened = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_open_windows(p, ranges), _ddl(_ENTRIES))
-    second = opened.groupBy("part").applyInArrow(_sources, _ddl(_ANSWERS))
+    second = opened.repartitionById(ranges, "part").groupBy("part").applyInArrow(_sources, _ddl(_ANSWERS))
     answers = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     more = ", kept_text string, text_key binary" if with_text else ""
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
