@@ -228,10 +228,10 @@ def counted(docs: DataFrame, p: Phrases = Phrases()) -> tuple[DataFrame, DataFra
     table = materialize(rows.mapInArrow(_encode(p, ranges), _BLOCKS_DDL), "phrases-blocks")
     blocks = table.where(F.col("part") == -1)
     entries = table.where(F.col("part") >= 0).select("block", "part", "hash", "times")
-    ids = entries.groupBy("part").applyInArrow(_frequent(p.least), _IDS_DDL)
+    ids = entries.repartitionById(ranges, "part").groupBy("part").applyInArrow(_frequent(p.least), _IDS_DDL)
     suffixes = (blocks.select("block", "langs", "words", "lang_of", "seq", F.col("hash").alias("place")).groupBy("block")
                 .cogroup(ids.groupBy("block")).applyInArrow(_suffixes(p, ranges), _SUFFIXES_DDL))
-    counts = materialize(suffixes.groupBy("part").applyInArrow(
+    counts = materialize(suffixes.repartitionById(ranges, "part").groupBy("part").applyInArrow(
         _count_range(p.least), "w1 long, w2 long, w3 long, w4 long, a long, lang string, word string"), "phrases-counts")
     names = counts.where(F.col("w2") == 0).select(F.col("w1").alias("id"), "lang", "word", F.col("a").alias("f"))
     found = (counts.where(F.col("w2") > 0).groupBy("w1", "w2", "w3", "w4").agg(F.sum("a").alias("a")).where(F.col("a") >= p.least))
