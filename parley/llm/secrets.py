@@ -112,15 +112,21 @@ def scan(docs: DataFrame, p: Secrets = Secrets()) -> DataFrame:
         _joined(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
 
 
-def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the reported spans of ``found`` (of ``scan``) replaced by ``mark``; overlapping spans become one."""
-    spans = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(
+def redacted(docs: DataFrame, p: Secrets = Secrets(), mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every reported span of its texts replaced by ``mark``; overlapping spans become one.
+
+    Spans depend on the text alone and are joined by it, so null and repeated ids, with equal or different texts, don't matter. All rows and
+    columns stay; null texts stay null, empty ones empty. Empty table: no rows.
+    """
+    spans = F.transform(F.split("_sr_spans", ","), lambda s: F.struct(
         F.element_at(F.split(s, ":"), 2).cast("int").alias("start"), F.element_at(F.split(s, ":"), 3).cast("int").alias("end")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.aggregate(spans, start, lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out")),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    ids = found.where("spans <> ''").select("doc_id", "spans").distinct()
-    out = docs.join(ids, "doc_id", "left")
-    return out.select(*[F.when(F.col("spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn("_sr_key", F.sha2(F.col("text").cast("binary"), 256))
+    found = scan(keyed.select(F.col("_sr_key").alias("doc_id"), "text"), p).where("spans <> ''")
+    found = found.select(F.col("doc_id").alias("_sr_key"), F.col("spans").alias("_sr_spans")).distinct()
+    out = keyed.join(found, "_sr_key", "left")
+    return out.select(*[F.when(F.col("_sr_spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -45,10 +45,21 @@ def test_secrets(spark, empty):
     assert got[4].spans == "" and got[6].spans == "" and got[7].spans == ""      # weak and alone, out of scope, consumed
     assert got[5].spans == f"endpoint:0:24,key:26:{26 + len(long_key)}" and got[8].n_linked == 2
     assert secrets.scan(docs_of(spark, rows)).count() == len(rows) and secrets.scan(empty).count() == 0
-    clean = {r.doc_id: r.text for r in secrets.redacted(docs_of(spark, rows[:2]), secrets.scan(docs_of(spark, rows[:2]))).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs_of(spark, rows[:2])).collect()}
     assert clean[1] == "x [secret]\" and token:short1"
 
 
+def test_redaction_by_text(spark, empty):
+    rows = [(None, "password=abcdefghijklmnop x", "", ""), (1, "token: abcdefghijklmnop!", "", ""), (1, "a password=abcdefghijklmnop", "", ""),
+            (1, "a password=abcdefghijklmnop", "", ""), (2, None, "", ""), (3, "", "", ""), (None, "nothing here", "", ""), (4, "é" * 40_000 + " secret=abcdefghijklmnop " + "z " * 9, "", "")]
+    df = docs_of(spark, rows).withColumn("spans", F.lit("1:2:3"))
+    got = sorted((str(r.doc_id), str(r.text), r.spans) for r in secrets.redacted(df).collect())
+    want = [("None", "[secret] x"), ("1", "[secret]!"), ("1", "a [secret]"), ("1", "a [secret]"), ("2", "None"), ("3", ""), ("None", "nothing here"),
+            ("4", "é" * 40_000 + " [secret] " + "z " * 9)]
+    assert got == sorted((*w, "1:2:3") for w in want)
+    assert secrets.redacted(empty).count() == 0
+
+
 def brute_hits(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
     hit, found = set(), set()
@@ -315,3 +326,33 @@ def test_warc_round_trip(spark):
     assert all(bytes(r.payload).decode() == {i: h or "" for i, _, h in rows}[r.page_id] for r in got if r.record_type == "response")
     warc.write(pages.limit(0), path + "-none")
     assert warc.read(spark, path + "-none").count() == 0
+
+
+def test_warc_damage_is_never_passed_over(spark, tmp_path):
+    rnd = random.Random(3)
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "".join(rnd.choices("abcdefgh 123", k=rnd.randint(0, 900)))) for k in range(30)],
+                                  "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "whole")
+    warc.write(pages, path)
+    name = next(x for x in __import__("os").listdir(path) if x.startswith("part-"))
+    data = open(f"{path}/{name}", "rb").read()
+    starts = [at for at, _ in warc.records(warc._File(f"{path}/{name}"), 0, len(data))]
+    assert len(starts) == 30
+    hurt = {"magic": (starts[7], b"\0\0\0"), "header": (starts[12] + 12, b"\xff\xff\xff\xff"), "body": (starts[20] + 260, b"\xff\0\xff\0"), "first": (0, b"no!"), "cut": (len(data) - 9, None)}
+    for kind, (at, new) in hurt.items():
+        bad = data[:at] if new is None else data[:at] + new + data[at + len(new):]
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "part-0.gz").write_bytes(bad)
+        for size in (300, 1 << 20):
+            p = warc.Warc(range_bytes=size)
+            assert warc.damages(spark, path, p).count() == 0
+            found = warc.damages(spark, str(tmp_path / kind), p).collect()
+            assert found and all(r.path.endswith("part-0.gz") for r in found), (kind, size)
+            with pytest.raises(Exception, match="damaged record at offset"):
+                warc.read(spark, str(tmp_path / kind), p).collect()
+            assert warc.read(spark, str(tmp_path / kind), p, intact_only=True).count() == 29, (kind, size)
+
+
+def test_language_stage_keeps_documents_when_nothing_is_labelled(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * 3, None, "s") for i in range(30)], DOCS)
+    assert langid.accepted(docs, langid.fit(docs)).count() == 30
