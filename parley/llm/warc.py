@@ -7,6 +7,10 @@ an empty member behind it, which ends so too.
 Reading: files are cut into byte ranges. A task looks for gzip magic from the start of its range, takes a
 candidate only if it decodes to a WARC header, owns the records that start inside, and follows the
 last of them past the range's end.
+
+Damage is never passed over: the first record stands at offset 0, and behind each record there must be another one, or the end of the file, also
+when it belongs to the next range. So whatever breaks, magic, header, content or length, breaks the chain at some
+record, and ``read`` fails there; ``damages`` lists such places instead, and ``read`` with ``intact_only`` goes on behind them.
 """
 
 from __future__ import annotations
@@ -90,43 +94,79 @@ class _File:
         return self.f.read_at(max(0, min(n, self.size - pos)), pos)
 
 
-def member_at(f: _File, pos: int, chunk: int = 1 << 16) -> tuple[bytes, int] | None:
+class Damage(ValueError):
+    """A record that should be there and doesn't decode."""
+
+    def __init__(self, offset: int, reason: str):
+        super().__init__(f"damaged record at offset {offset}: {reason}")
+        self.offset, self.reason = offset, reason
+
+
+def member_at(f: _File, pos: int, chunk: int = 1 << 16, header_only: bool = False) -> tuple[bytes, int] | None:
     """Content of the gzip member at ``pos`` and the offset behind it; None if it is none, or no WARC record.
 
-    An empty member is content b"". The header is judged before the rest is read.
+    An empty member is content b"". The header is judged before the rest is read; a member with the header that then breaks
+    off is a ``Damage``.
     """
     z, out, at = zlib.decompressobj(31), b"", pos
     parts: list[bytes] = []
-    try:
-        while not z.eof:
-            data = f.at(at, chunk)
-            if not data:
-                return None
+    while not z.eof:
+        data = f.at(at, chunk)
+        if not data:
+            reason = "the file ends within it"
+        else:
             at += len(data)
-            parts.append(z.decompress(data))
+            try:
+                parts.append(z.decompress(data))
+                reason = None
+            except zlib.error as e:
+                reason = str(e)
+        if reason is not None:
             if len(out) < 7:
-                out += parts[-1]
-                if out and not b"WARC/1."[: len(out)] == out[:7]:
-                    return None
-    except zlib.error:
-        return None
+                return None
+            raise Damage(pos, reason)
+        if len(out) < 7:
+            out += parts[-1]
+            if out and not b"WARC/1."[: len(out)] == out[:7]:
+                return None
+        if header_only and len(out) >= 7:
+            return b"", at
     return b"".join(parts), at - len(z.unused_data)
 
 
-def records(f: _File, start: int, end: int, window: int = 1 << 18) -> Iterator[bytes]:
-    """Contents of the records that start in [start, end)."""
-    pos = start
+def records(f: _File, start: int, end: int, window: int = 1 << 18, found_damage: list[Damage] | None = None) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of the records that start in [start, end). Damages are raised, or gathered in ``found_damage``."""
+    pos, chained = start, start == 0
     while pos < end:
-        found = member_at(f, pos) if f.at(pos, 3) == MAGIC else None
+        try:
+            found = member_at(f, pos) if f.at(pos, 3) == MAGIC else None
+            if found is None and chained:
+                raise Damage(pos, "no record where one ends")
+        except Damage as e:
+            if found_damage is None:
+                raise
+            found_damage.append(e)
+            found = None
         if found is not None:
+            at, chained = pos, True
             content, pos = found
             if content:
-                yield content
+                yield at, content
             continue
+        chained = False
         # no member here: the next place with magic
         data = f.at(pos + 1, min(window, end - pos - 1) + 2)
         k = data.find(MAGIC)
         pos = pos + 1 + k if k >= 0 else pos + 1 + max(1, len(data) - 2)
+    if chained and pos < f.size and end > start:       # the next range takes its first record for granted
+        try:
+            broken = f.at(pos, 3) != MAGIC or member_at(f, pos, header_only=True) is None
+        except Damage:
+            broken = False                             # its owner reports it
+        if broken:
+            if found_damage is None:
+                raise Damage(pos, "no record where one ends")
+            found_damage.append(Damage(pos, "no record where one ends"))
 
 
 def parsed(content: bytes) -> dict:
@@ -144,12 +184,23 @@ def parsed(content: bytes) -> dict:
             "record_type": h["WARC-Type"], "refers_to": ident(h.get("WARC-Refers-To")), "payload": payload if response else None}
 
 
-def read(spark: SparkSession, path: str, p: Warc = Warc(), payloads: bool = True) -> DataFrame:
-    """The records below ``path``; payload (null for revisits) only on demand. Any URI that pyarrow opens."""
+def _ranges(spark: SparkSession, path: str, p: Warc) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").where("length > 0")
     total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(p.range_bytes).cast("long"))).alias("start")
-    ranges = files.select("path", "length", starts).repartition(max(1, -(-total // p.range_bytes)), "path", "start")
+    return files.select("path", "length", starts).repartition(max(1, -(-total // p.range_bytes)), "path", "start")
+
+
+def _checked(at: int, content: bytes) -> dict:
+    try:
+        return parsed(content)
+    except (ValueError, KeyError, IndexError, StopIteration) as e:
+        raise Damage(at, f"{type(e).__name__}: {e}") from None
+
+
+def read(spark: SparkSession, path: str, p: Warc = Warc(), payloads: bool = True, intact_only: bool = False) -> DataFrame:
+    """The records below ``path``; payload (null for revisits) only on demand. Any URI that pyarrow opens. A damaged archive
+    fails the job with the file and offset, or with ``intact_only`` gives its other records (``damages`` lists what is missing)."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     size = p.range_bytes
@@ -158,15 +209,42 @@ def read(spark: SparkSession, path: str, p: Warc = Warc(), payloads: bool = True
         for batch in batches:
             for row in batch.to_pylist():
                 file, some, n = _File(row["path"]), [], 0
-                for content in records(file, row["start"], min(row["start"] + size, row["length"])):
-                    r = parsed(content)
-                    some.append(r if payloads else r | {"payload": None})
-                    n += len(content) if payloads else 200
-                    if n >= 8 << 20:
-                        yield pa.RecordBatch.from_pylist(some, schema)
-                        some, n = [], 0
+                try:
+                    for at, content in records(file, row["start"], min(row["start"] + size, row["length"]), found_damage=[] if intact_only else None):
+                        try:
+                            r = _checked(at, content)
+                        except Damage:
+                            if intact_only:
+                                continue
+                            raise
+                        some.append(r if payloads else r | {"payload": None})
+                        n += len(content) if payloads else 200
+                        if n >= 8 << 20:
+                            yield pa.RecordBatch.from_pylist(some, schema)
+                            some, n = [], 0
+                except Damage as e:
+                    raise ValueError(f"{row['path']}: {e}") from None
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema)
 
-    out = ranges.mapInArrow(f, RESULT)
+    out = _ranges(spark, path, p).mapInArrow(f, RESULT)
     return out if payloads else out.drop("payload")
+
+
+def damages(spark: SparkSession, path: str, p: Warc = Warc()) -> DataFrame:
+    """(path, offset, reason) of the places below ``path`` where a record should be and doesn't decode, or isn't what its headers say."""
+    size = p.range_bytes
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found: list[Damage] = []
+                for at, content in records(_File(row["path"]), row["start"], min(row["start"] + size, row["length"]), found_damage=found):
+                    try:
+                        _checked(at, content)
+                    except Damage as e:
+                        found.append(e)
+                if found:
+                    yield pa.RecordBatch.from_pydict({"path": [row["path"]] * len(found), "offset": [e.offset for e in found], "reason": [e.reason for e in found]})
+
+    return _ranges(spark, path, p).mapInArrow(f, "path string, offset long, reason string").distinct()
