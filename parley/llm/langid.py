@@ -143,6 +143,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, unchanged."""
+    """The rows of ``docs`` that aren't rejected, unchanged; all rows where nothing is learned, since there is nothing to reject by."""
+    if not model.langs:
+        return docs
     bounded_batches(docs.sparkSession)
     return docs.where(~predictor(model)(F.col("text"))["rejected"])
