@@ -2,8 +2,9 @@
 
 A source's documents are dealt by a seeded hash to shards of about ``shard_words`` words, so a hot
 source is many shards. In a shard the documents lie end to end in seeded order, and the line is cut
-into blocks of ``block_words`` words. Blocks are seats: the mix has round(all targets / block)
-seats, given to sources by the highest quotients target / (2 k + 1), and each source's seats to its
+into blocks of ``block_words`` words (of one word in sources whose target is below ``small_blocks`` blocks:
+such sources are apportioned among themselves). Blocks are seats: the mix has round(all targets / block)
+seats, given to sources by the highest quotients target / (2 k - 1), and each source's seats to its
 shards by their sizes in the same way, at most two seats a block. A shard with n blocks and q seats
 takes every block q div n times, and those with the q mod n smallest seeded hashes once more.
 
@@ -23,6 +24,8 @@ from pyspark.sql.window import Window
 from parley.llm.common import SPACES, materialize, n_words
 
 OUT = ["size", "source_size", "target", "taken"]
+ROUNDS, PROBES = 4, 24      # each round narrows the bounds of the last quotient to the 25th part
+EPS = 1e-12                 # more than the rounding of a quotient
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,7 @@ class Mixing:
     share: float = 1.5                             # all targets / all words
     max_repeats: int = 2
     block_words: int = 64
+    small_blocks: int = 64                         # sources with targets below so many blocks are dealt word by word
     shard_words: int = 1 << 18
     seed: int = 29
 
@@ -59,36 +63,46 @@ def source_targets(sizes: DataFrame, p: Mixing = Mixing()) -> DataFrame:
     level = (F.col("want") - of_full("cap")) / (F.col("all_weight") - of_full("weight"))
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / p.shard_words)).cast("int")
-    return s.select("source", "source_size", n_shards.alias("n_shards"), target.alias("target"), "rank")
+    block = F.when(target < p.small_blocks * p.block_words, 1).otherwise(p.block_words)
+    return s.select("source", "source_size", n_shards.alias("n_shards"), target.alias("target"), "rank", block.alias("_mx_block"))
 
 
 def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, cap: str, order: str, out: str) -> DataFrame:
-    """Sainte-Lague: ``out`` = integer seats of each row, ``seats`` of them in each group.
+    """Sainte-Lague: ``out`` = integer seats of each row, ``seats`` of them in each group, by the highest quotients
+    votes / (2 k - 1); equal quotients by ``order``, then k. Nobody gets more than ``cap`` seats.
 
-    Rounding every share of the seats leaves a small rest; the rest goes to the highest next quotients
-    votes / (2 k + 1) or is taken back from the lowest last ones. A row can get about its share of
-    the rest, so that many of its quotients are listed. Nobody gets more than ``cap`` seats.
+    A row's quotients of at least q are its first floor(votes / (2 q) + 1/2). The bounds lo and hi of the last quotient
+    that wins are narrowed by probes, as many counts in one aggregate of the group; quotients of at least hi win, those
+    between the bounds are listed and sorted. Rounds and probes decide how many are listed, not who wins.
     """
-    g = Window.partitionBy(*group)
-    share = F.when(F.sum(votes).over(g) > 0, F.col(votes) / F.sum(votes).over(g)).otherwise(F.lit(0.0))
-    a = (parties.withColumn("_share", share)
-                .withColumn("_first", F.least(F.col(cap), F.floor(F.col("_share") * F.col(seats) + 0.5)).cast("long"))
-                .withColumn("_rest", F.col(seats) - F.sum("_first").over(g)))
-    n = F.least(F.abs("_rest"), F.ceil(F.abs("_rest") * F.col("_share")) + 2)
-    n = F.when(F.col("_rest") > 0, F.least(n, F.col(cap) - F.col("_first"))).otherwise(F.least(n, F.col("_first"))).cast("int")
-    step = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    # quotient of the j-th seat to come (rest > 0) or of the j-th last seat (rest < 0)
-    q = F.when(F.col("_rest") > 0, -F.col(votes) / (2 * (F.col("_first") + F.col("_j")) - 1)).otherwise(
-        F.col(votes) / (2 * (F.col("_first") - F.col("_j")) + 1))
-    ranked = Window.partitionBy(*group).orderBy(q, order, "_j")
-    moved = (a.select(*group, order, "_first", "_rest", F.col(votes), F.explode(step).alias("_j"))
-              .withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= F.abs("_rest"))
-              .groupBy(*group, order).agg(F.count("*").alias("_moved")))
-    keys = [*group, order]
+    parties, keys = materialize(parties, "mix-parties"), [*group, order]
+    won = lambda q: F.when(F.col(votes) > 0, F.least(F.col(cap), F.floor(F.col(votes) / (2 * q) + 0.5))).otherwise(0).cast("long")
+    to = [F.col(c).alias(f"_to_{c}") for c in group]
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_to_{c}")) for c in group])
+    positive = F.col(votes) > 0
+    # at lo everybody has all that cap allows, at hi nobody has a seat
+    bounds = (parties.groupBy(*group).agg((F.min(F.when(positive, F.col(votes) / (2.0 * F.col(cap) + 1))) * (1 - EPS)).alias("_lo"),
+                                          (F.max(F.when(positive, F.col(votes))) * (1 + 1e-6)).alias("_hi"), F.max(seats).alias("_seats")).select(*to, "_lo", "_hi", "_seats"))
+    for _ in range(ROUNDS):
+        probe = lambda i: F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), F.lit(i / (PROBES + 1)))
+        counts = (parties.join(bounds, same).groupBy(*[f"_to_{c}" for c in group], "_lo", "_hi", "_seats")
+                         .agg(F.array(*[F.sum(won(probe(i))) for i in range(1, PROBES + 1)]).alias("_n")))
+        enough = F.size(F.filter("_n", lambda n: n >= F.col("_seats")))   # counts fall as probes rise
+        at = lambda i: F.when(i <= 0, F.col("_lo")).when(i > PROBES, F.col("_hi")).otherwise(F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), i / (PROBES + 1)))
+        bounds = counts.select(*[f"_to_{c}" for c in group], at(enough).alias("_lo"), at(enough + 1).alias("_hi"), "_seats")
+    a = parties.join(bounds, same, "left").withColumns({
+        "_first": F.coalesce(won(F.col("_hi") * (1 + EPS)), F.lit(0)), "_upto": F.coalesce(won(F.col("_lo") * (1 - EPS)), F.lit(0))})
+    a = materialize(a.drop("_lo", "_hi", "_seats", *[f"_to_{c}" for c in group]), "mix-bounds")
+    sure = a.groupBy(*group).agg((F.max(seats) - F.sum("_first")).alias("_rest")).select(*to, "_rest")
+    step = F.when(F.col("_upto") > F.col("_first"), F.sequence(F.col("_first") + 1, F.col("_upto")))
+    ranked = Window.partitionBy(*group).orderBy(F.desc("_q"), order, "_j")
+    moved = (a.select(*keys, votes, F.explode(step).alias("_j")).withColumn("_q", F.col(votes) / (2 * F.col("_j") - 1))
+              .join(sure, same).withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= F.col("_rest"))
+              .groupBy(*keys).agg(F.count("*").alias("_moved")))
     moved = moved.select(*[F.col(c).alias(f"_to_{c}") for c in keys], "_moved")
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_to_{c}")) for c in keys])
-    result = F.col("_first") + F.signum("_rest").cast("long") * F.coalesce(F.col("_moved"), F.lit(0))
-    return a.join(moved, same, "left").select(*parties.columns, result.cast("long").alias(out))
+    same_row = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_to_{c}")) for c in keys])
+    result = F.col("_first") + F.coalesce(F.col("_moved"), F.lit(0))
+    return a.join(moved, same_row, "left").select(*parties.columns, result.cast("long").alias(out))
 
 
 def _block_hash(p: Mixing, source: Column, shard: Column, block: Column) -> Column:
@@ -97,7 +111,7 @@ def _block_hash(p: Mixing, source: Column, shard: Column, block: Column) -> Colu
 
 def _dealt(df: DataFrame, sources: DataFrame, p: Mixing) -> DataFrame:
     """Adds the source's figures, the shard and the seeded order (AQE splits a hot source's join partition)."""
-    s = sources.select(F.col("source").alias("_mx_source"), "source_size", "target", "n_shards")
+    s = sources.select(F.col("source").alias("_mx_source"), "source_size", "target", "n_shards", "_mx_block")
     return (df.join(s, df["source"].eqNullSafe(s["_mx_source"])).drop("_mx_source")
               .withColumn("_mx_shard", F.pmod(F.xxhash64(F.lit(p.seed), F.lit("shard"), "_mx_tie"), F.col("n_shards")).cast("int")))
 
@@ -114,15 +128,14 @@ def planned(docs: DataFrame, p: Mixing = Mixing()) -> DataFrame:
     sources = materialize(source_targets(slim, p), "mix-sources")
     # blocks of a source are counted over its shards, so shards come first
     shards = (_dealt(slim, sources, p)
-              .groupBy("source", "_mx_shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-              .withColumn("blocks", F.ceil(F.col("words") / p.block_words).cast("long")))
+              .groupBy("source", "_mx_shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("_mx_block").alias("_mx_block"))
+              .withColumn("blocks", F.ceil(F.col("words") / F.col("_mx_block")).cast("long")))
     shards = materialize(shards, "mix-shards")
-    by_source = (shards.groupBy("source").agg(F.first("target").alias("target"), (p.max_repeats * F.sum("blocks")).alias("cap"))
-                       .withColumn("one", F.lit(1)))
-    every = Window.partitionBy("one")
-    by_source = (by_source.withColumn("seats", F.floor(F.sum("target").over(every) / p.block_words + 0.5))
+    by_source = shards.groupBy("source", "_mx_block").agg(F.first("target").alias("target"), (p.max_repeats * F.sum("blocks")).alias("cap"))
+    every = Window.partitionBy("_mx_block")
+    by_source = (by_source.withColumn("seats", F.floor(F.sum("target").over(every) / F.col("_mx_block") + 0.5))
                           .withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))))
-    quota = apportion(by_source, ["one"], "target", "seats", "cap", "name", "source_seats").select(
+    quota = apportion(by_source, ["_mx_block"], "target", "seats", "cap", "name", "source_seats").select(
         F.col("source").alias("_q_source"), "source_seats")
     shards = (shards.join(quota, shards["source"].eqNullSafe(F.col("_q_source"))).drop("_q_source")
                     .withColumn("cap", p.max_repeats * F.col("blocks")))
@@ -142,10 +155,11 @@ def planned(docs: DataFrame, p: Mixing = Mixing()) -> DataFrame:
     out = out.join(plan, out["source"].eqNullSafe(plan["_pl_source"]) & (out["_mx_shard"] == plan["_pl_shard"]), "left")
     times = lambda b: (F.col("_mx_every") + F.when(_block_hash(p, F.col("source"), F.col("_mx_shard"), b) <= F.col("_mx_upto"), 1).otherwise(0)).cast("long")
     end = F.col("_mx_at") + F.col("size")
-    blocks = F.sequence(F.floor(F.col("_mx_at") / p.block_words), F.floor((end - 1) / p.block_words))
+    w = F.col("_mx_block").cast("long")
+    blocks = F.sequence(F.floor(F.col("_mx_at") / w), F.floor((end - 1) / w))
     pieces = F.transform(blocks, lambda b: F.struct(
-        (F.greatest(F.col("_mx_at"), b * p.block_words) - F.col("_mx_at")).cast("int").alias("first"),
-        (F.least(end, (b + 1) * p.block_words) - F.greatest(F.col("_mx_at"), b * p.block_words)).cast("int").alias("n"),
+        (F.greatest(F.col("_mx_at"), b * w) - F.col("_mx_at")).cast("int").alias("first"),
+        (F.least(end, (b + 1) * w) - F.greatest(F.col("_mx_at"), b * w)).cast("int").alias("n"),
         times(b).alias("times")))
     out = out.withColumn("_mx_pieces", F.when(F.col("size") > 0, pieces))
     taken = F.aggregate("_mx_pieces", F.lit(0).cast("long"), lambda t, x: t + x["n"] * x["times"])

@@ -254,6 +254,39 @@ def test_mixing(spark, empty):
     assert mixing.mix_sources(empty, p).count() == 0 and mixing.mix_sources(docs_of(spark, edge_rows()), p).count() == 7
 
 
+def sainte_lague(votes, caps, seats):
+    won = [0] * len(votes)
+    for _ in range(seats):
+        best = max((i for i in range(len(votes)) if won[i] < caps[i] and votes[i] > 0), key=lambda i: (votes[i] / (2 * won[i] + 1), -i), default=None)
+        if best is None:
+            break
+        won[best] += 1
+    return won
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_seats_are_those_of_the_loop(spark, monkeypatch, rounds):
+    monkeypatch.setattr(mixing, "ROUNDS", rounds)   # without rounds all quotients are listed: the same seats
+    rnd = random.Random(17)
+    groups = [([50.0] + [0.05] * 300, [1000] * 301, 100),            # one large party, a long tail that rounds to nothing
+              ([1.0] * 40, [3] * 40, 65),                            # ties everywhere
+              ([5.0, 1.0, 0.0], [2, 2, 9], 4),                       # all that caps allow, no votes no seats
+              ([3.0, 2.0], [9, 9], 0), ([7.0], [4], 9),              # no seats, more seats than caps
+              ([0.0, 0.0], [5, 5], 3)]
+    groups += [([rnd.paretovariate(0.5) for _ in range(60)], [rnd.randint(0, 40) for _ in range(60)], 200) for _ in range(4)]
+    rows = [(g, i, v, c, n) for g, (votes, caps, n) in enumerate(groups) for i, (v, c) in enumerate(zip(votes, caps))]
+    df = spark.createDataFrame(rows, "g int, i int, votes double, cap long, seats long")
+    got = {(r.g, r.i): r.won for r in mixing.apportion(df, ["g"], "votes", "seats", "cap", "i", "won").collect()}
+    assert got == {(g, i): x for g, (votes, caps, n) in enumerate(groups) for i, x in enumerate(sainte_lague(votes, caps, n))}
+
+
+def test_mixing_of_tiny_sources(spark):
+    rows = [(1, "w " * 20_000, "", "a"), (2, "x " * 15, "", "b"), (3, "y", "", "c"), (4, "", "", "d"), (5, "z " * 7, "", "e")]
+    got = mixing.mix_sources(docs_of(spark, rows).withColumn("taken", F.lit("clash"))).collect()
+    assert len(got) == 5 and all(abs(r.taken - r.target) <= 64 for r in got) and all(abs(r.taken - r.target) <= 1 for r in got if r.source != "a")
+    assert {r.source: r.taken for r in got}["b"] > 0
+
+
 def test_sharding(spark, empty):
     rnd = random.Random(4)
     rows = [(k, "x" * rnd.randint(0, 500), "", "s") for k in range(900)] + [(5000 + k, "hot copy", "", "s") for k in range(600)] + edge_rows()[:6] + [(None, None, None, None)]
