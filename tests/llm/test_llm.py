@@ -328,7 +328,7 @@ def test_search(spark, empty):
         for x in set(w):
             df[x] = df.get(x, 0) + 1
     n, mean = len(rows), sum(map(len, words.values())) / len(rows)
-    p = search.Bm25(k=5, shard_words=1500, block=4, step=3)
+    p = search.Bm25(k=5, shard_words=1500, block=4, batch=3, first=2)
     got = {}
     for r in search.top_k(docs, docs.where("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "text"), p).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
@@ -340,6 +340,61 @@ def test_search(spark, empty):
     assert search.top_k(empty, docs.selectExpr("doc_id AS query_id", "text"), p).count() == 0
 
 
+def shard_of(texts, p):
+    """A shard of (id, {term: count}) texts, and the plain scores of a query in it."""
+    posts = sorted((t, d, c) for d, (_, x) in enumerate(texts) for t, c in x.items())
+    terms, counts = np.unique([t for t, *_ in posts], return_counts=True)
+    lens = np.array([sum(x.values()) for _, x in texts], np.int64)
+    row = {"terms": terms, "counts": counts, "docs": np.array([d for _, d, _ in posts], np.uint32).tobytes(), "tfs": np.array([c for *_, c in posts], np.uint32).tobytes(),
+           "lens": lens.tobytes(), "ids": np.array([i for i, _ in texts], np.int64).tobytes()}
+    return search._Shard(row, float(lens.mean()), p), lens
+
+
+def test_search_walk_skips_and_is_exact():
+    rng = np.random.default_rng(4)
+    topic = lambda k: {int(t): int(c) for t, c in zip(100 * (k % 20) + rng.integers(0, 60, 12), rng.integers(1, 5, 12))} | {int(t): 1 for t in rng.integers(5000, 5040, 6)}
+    texts = sorted([(i, topic(i)) for i in range(900)], key=lambda x: min(x[1]))
+    texts += [(2000 + i, dict(texts[5][1])) for i in range(40)]            # a group of copies: ties by id
+    p = search.Bm25(k=7, block=8, batch=16, frequent=1 / 100)
+    shard, lens = shard_of(texts, p)
+    queries = [texts[i][1] for i in range(0, 900, 15)]
+    owner = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+    terms, idf = np.concatenate([sorted(q) for q in queries]).astype(np.int64), rng.random(len(owner)) * 5 + 0.01
+    want = {}
+    for n in range(len(queries)):
+        w = dict(zip(terms[owner == n].tolist(), idf[owner == n]))
+        s = [(-round(sum(w[t] * c * 2.2 / (c + 1.2 * (.25 + .75 * lens[d] / lens.mean())) for t, c in sorted(x.items()) if t in w), 6), i) for d, (i, x) in enumerate(texts)]
+        want[n] = sorted(x for x in s if x[0] < 0)[:7]
+    for floor in (0.0, 0.7):                                               # a floor below the k-th best changes nothing
+        floors = np.array([-floor * want[n][-1][0] for n in range(len(queries))])
+        q, ids, score = shard.search(len(queries), owner, terms, idf, floors)
+        for n in want:
+            assert ids[q == n].tolist() == [i for _, i in want[n]]
+            assert np.allclose(score[q == n], [-x for x, _ in want[n]], atol=2e-6)
+    assert shard.scored < 0.5 * shard.bounds
+
+
+def test_search_long_query_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [(i, dict.fromkeys(rng.integers(0, 40_000, 60).tolist(), 1)) for i in range(8000)]
+    shard, _ = shard_of(texts, search.Bm25())
+    terms = np.arange(30_000)
+    tracemalloc.start()
+    q, ids, _ = shard.search(2, np.repeat([0, 1], 30_000), np.concatenate([terms, terms]), np.ones(60_000), np.zeros(2))
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20 and (q == 0).sum() == (q == 1).sum() == 10
+    tracemalloc.stop()
+
+
+def test_search_odd_queries(spark, empty):
+    rows = [(1, "alpha beta", "", ""), (2, "alpha", "", ""), (3, None, "", ""), (None, "alpha", "", ""), (2, "alpha", "", "")]
+    ask = spark.createDataFrame([(7, "alpha"), (7, "beta"), (8, None), (9, ""), (None, "alpha"), (10, "gamma")], "query_id long, text string")
+    got = search.top_k(docs_of(spark, rows).withColumn("score", F.lit("clash")), ask).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.doc_id) for r in got] == [(7, 1, 1), (7, 2, 2), (7, 3, 2)] and got[1].score == got[2].score
+    assert search.top_k(docs_of(spark, rows), ask.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark):
     rnd = random.Random(7)
     rows = [(k, f"http://x/{k}", rnd.choice(["same", "", None, "é" * 200, "".join(rnd.choice("01") for _ in range(rnd.randint(0, 3000)))])) for k in range(80)]
