@@ -1,8 +1,11 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's path in the tree is its token count and its first ``depth`` tokens, with every token that holds
-a digit generalised to one variable field; what lies below that depth is variable too. The leaf is
-the template. Lines whose template recurs in ``min_documents`` documents are dropped.
+a digit generalised to one variable field. At the leaf lines are compared position by position: a token
+is constant where it stands in at least ``min_documents`` lines (of different text or documents) of the leaf, and what
+isn't is variable. Lines are dropped if their leaf recurs in ``min_documents`` documents and at
+least ``similarity`` percent of their tokens are constant, so lines that only begin alike stay. Lines of
+``long_tokens`` and more are dropped too where the very line recurs in two documents.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import SPACES
+from parley.llm.common import SPACES, materialize
 
 OUT = ["n_lines", "n_dropped", "clean_text"]
 
@@ -21,6 +24,8 @@ OUT = ["n_lines", "n_dropped", "clean_text"]
 class LineDedup:
     depth: int = 6
     min_documents: int = 3
+    similarity: int = 75        # percent of a line's tokens that agree with others at its leaf
+    long_tokens: int = 20
 
 
 def _tokens(line: Column) -> Column:
@@ -34,20 +39,43 @@ def template(tokens: Column, p: LineDedup = LineDedup()) -> Column:
 
 
 def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """(doc_id, _ld_text, i, leaf): the lines with tokens; the leaf is the template's 64-bit hash."""
+    """(doc_id, _ld_text, i, t, exact, key): the lines with tokens, twice where they are long: by the leaf's 64-bit hash, and by their own."""
     tokens = _tokens(F.col("line"))
     lead = [F.get("t", F.lit(i)) for i in range(p.depth)]
     lead = [F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(F.coalesce(t, F.lit(""))) for t in lead]
+    leaf = F.struct(F.lit(False).alias("exact"), F.xxhash64(F.size("t"), *lead).alias("key"))
+    own = F.struct(F.lit(True).alias("exact"), F.xxhash64("t").alias("key"))
+    both = F.when(F.size("t") >= p.long_tokens, F.array(leaf, own)).otherwise(F.array(leaf))
     return (docs.select("doc_id", F.xxhash64("text").alias("_ld_text"), F.posexplode_outer(F.split("text", "\n")).alias("i", "line"))
                 .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
                 .select("doc_id", "_ld_text", "i", tokens.alias("t"))
-                .select("doc_id", "_ld_text", "i", F.xxhash64(F.size("t"), *lead).alias("leaf")))
+                .select("*", F.explode(both).alias("_k")).select("doc_id", "_ld_text", "i", "t", "_k.exact", "_k.key"))
 
 
 def recurring(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
-    """(leaf, documents) of the templates to drop. A line repeated in one document counts once."""
-    return (_lines(docs, p).select("leaf", "doc_id", "_ld_text").distinct()
-            .groupBy("leaf").agg(F.count("*").alias("documents")).where(F.col("documents") >= p.min_documents))
+    """(exact, key, documents) of leaves and of long lines that recur. A line repeated in one document counts once."""
+    enough = F.col("documents") >= F.when(F.col("exact"), 2).otherwise(p.min_documents)
+    return (_lines(docs, p).select("exact", "key", "doc_id", "_ld_text").distinct()
+            .groupBy("exact", "key").agg(F.count("*").alias("documents")).where(enough))
+
+
+def _dropped(docs: DataFrame, p: LineDedup) -> DataFrame:
+    """(doc_id, _ld_text, i) of the lines to drop; a line may come twice."""
+    general = F.transform("t", lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
+    hits = (_lines(docs, p).join(recurring(docs, p).drop("documents"), ["exact", "key"])
+            .select("doc_id", "_ld_text", "i", "exact", "key", F.when(~F.col("exact"), general).alias("g"))
+            .withColumn("whole", F.xxhash64("g")))
+    hits = materialize(hits, "line-hits")
+    in_leaf = hits.where("NOT exact")
+    # lines alike but for variable fields are one, with the number of documents that have it
+    times = in_leaf.select("key", "whole", "doc_id", "_ld_text").distinct().groupBy("key", "whole").agg(F.count("*").alias("n"))
+    kinds = in_leaf.groupBy("key", "whole").agg(F.first("g").alias("g")).join(times, ["key", "whole"])
+    tokens = materialize(kinds.select("key", "whole", "n", F.size("g").alias("size"), F.posexplode("g").alias("at", "token")), "line-tokens")
+    constant = tokens.groupBy("key", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= p.min_documents).drop("n")
+    alike = (tokens.join(constant, ["key", "at", "token"]).groupBy("key", "whole").agg(F.count("*").alias("agree"), F.first("size").alias("size"))
+                   .where(F.col("agree") * 100 >= F.col("size") * p.similarity).select("key", "whole"))
+    out = ["doc_id", "_ld_text", "i"]
+    return in_leaf.join(alike, ["key", "whole"]).select(*out).unionByName(hits.where("exact").select(*out))
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -57,8 +85,7 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     count as one document. Empty table: no rows. Input columns of these names are replaced.
     """
     docs = docs.drop(*OUT)
-    lines = _lines(docs, p).join(recurring(docs, p), "leaf").select("doc_id", "_ld_text", "i")
-    drop = lines.groupBy(F.col("doc_id").alias("_ld_id"), F.col("_ld_text").alias("_ld_key")).agg(F.collect_set("i").alias("_ld_drop"))
+    drop = _dropped(docs, p).groupBy(F.col("doc_id").alias("_ld_id"), F.col("_ld_text").alias("_ld_key")).agg(F.collect_set("i").alias("_ld_drop"))
     keyed = docs.withColumn("_ld_text", F.xxhash64("text"))
     out = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_key")), "left")
     lines_ = F.split("text", "\n")

@@ -108,9 +108,16 @@ WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 l AS (SELECT doc_id, text, i, line FROM (SELECT doc_id, text, unnest(range(len(x))) AS i, unnest(x) AS line
   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM d)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 t AS (SELECT doc_id, text, i, string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS t FROM l),
-k AS (SELECT doc_id, text, i, len(t) || ' ' || array_to_string(list_transform(t[1:6], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS k FROM t),
-r AS (SELECT k FROM (SELECT DISTINCT k, doc_id, text FROM k) GROUP BY k HAVING count(*) >= 3),
-x AS (SELECT doc_id, text, list(i) AS i FROM k SEMI JOIN r USING (k) GROUP BY doc_id, text),
+g AS (SELECT *, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS g FROM t),
+k AS (SELECT doc_id, text, i, t, g, len(t) || ' ' || array_to_string(g[1:6], ' ') AS k FROM g),
+leaf AS (SELECT k FROM (SELECT DISTINCT k, doc_id, text FROM k) GROUP BY k HAVING count(*) >= 3),
+c AS (SELECT k, g, count(DISTINCT (doc_id, text)) AS n FROM k SEMI JOIN leaf USING (k) GROUP BY k, g),
+p AS (SELECT k, g, n, unnest(range(len(g))) AS j, unnest(g) AS x FROM c),
+q AS (SELECT k, j, x FROM p GROUP BY k, j, x HAVING sum(n) >= 3),
+alike AS (SELECT k, g FROM p SEMI JOIN q USING (k, j, x) GROUP BY k, g HAVING 100 * count(*) >= 75 * len(g)),
+own AS (SELECT t FROM (SELECT DISTINCT t, doc_id, text FROM k WHERE len(t) >= 20) GROUP BY t HAVING count(*) >= 2),
+dropped AS (SELECT doc_id, text, i FROM k SEMI JOIN alike USING (k, g) UNION SELECT doc_id, text, i FROM k SEMI JOIN own USING (t)),
+x AS (SELECT doc_id, text, list(i) AS i FROM dropped GROUP BY doc_id, text),
 n AS (SELECT doc_id, text, count(*) AS n FROM l GROUP BY doc_id, text)
 SELECT o.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(len(x.i), 0)::BIGINT AS n_dropped,
   CASE WHEN x.i IS NULL THEN o.text ELSE coalesce((SELECT string_agg(line, chr(10) ORDER BY j) FROM

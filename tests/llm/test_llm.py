@@ -103,6 +103,57 @@ def test_lines(spark, empty):
     assert linededup.dedup_lines(docs_of(spark, edge_rows())).where("n_dropped > 0").count() == 0
 
 
+def brute_lines(rows, p):
+    """doc_id, text -> dropped line numbers by the rule of the leaf, token by token."""
+    lines = {}
+    for doc in {(i, t) for i, t, *_ in rows if t is not None}:
+        for n, line in enumerate(doc[1].split("\n")):
+            t = tuple(x for x in re.split(r"[\x20\x09-\x0D]+", line) if x)
+            if t:
+                lines[doc, n] = t, tuple("<*>" if re.search("[0-9]", x) else x for x in t)
+    leaf = lambda g: (len(g), g[:p.depth])
+    docs, owners, at = {}, {}, {}
+    for (doc, _), (t, g) in lines.items():
+        docs.setdefault(leaf(g), set()).add(doc)
+        owners.setdefault(t, set()).add(doc)
+        for j, x in enumerate(g):
+            at.setdefault((leaf(g), j, x), set()).add((doc, g))
+    out = {doc: [] for doc, _ in lines}
+    for (doc, n), (t, g) in lines.items():
+        agree = sum(len(at[leaf(g), j, x]) >= p.min_documents for j, x in enumerate(g))
+        if len(docs[leaf(g)]) >= p.min_documents and 100 * agree >= p.similarity * len(g) or len(t) >= p.long_tokens and len(owners[t]) >= 2:
+            out[doc].append(n)
+    return out
+
+
+def test_lines_by_the_whole_template(spark):
+    lead = "the six leading words are equal"
+    tail = lambda c, n=40: " ".join(c + "abcdefghij"[k % 10] * (1 + k // 10) for k in range(n))
+    rows = [(k, f"{lead} {tail(c)}", "", "") for k, c in enumerate("xyz")]                       # only begin alike
+    rows += [(10 + k, f"head {'pq'[k]}\n{tail('same', 27)}", "", "") for k in range(2)]          # a long line in two documents
+    rows += [(20 + k, f"{lead} {tail('n', 9)} {c}", "", "") for k, c in enumerate("uvw")]         # one variable field at the end
+    rows += [(30, "very " * 30_000 + "long", "", ""), (31, "very " * 30_000 + "long", "", "")]
+    docs = docs_of(spark, rows).withColumn("clean_text", F.lit("clash")).withColumn("key", F.lit("clash"))
+    got = {r.doc_id: (r.n_dropped, r.clean_text) for r in linededup.dedup_lines(docs).collect()}
+    assert all(got[k][0] == 0 for k in range(3)) and got[10] == (1, "head p") and got[11] == (1, "head q")
+    assert all(got[20 + k] == (1, "") for k in range(3)) and got[30] == got[31] == (1, "")
+
+
+def test_lines_brute_force(spark):
+    rnd = random.Random(8)
+    line = lambda: " ".join(["a", rnd.choice("ab"), rnd.choice(["b", "7"]), *[rnd.choice(["c", "d", "e", "12", "9x"]) for _ in range(rnd.randint(0, 4))]])
+    rows = [(k, "\n".join(rnd.choice(["", " ", line(), line() + "\t\x0b" + line()]) for _ in range(rnd.randint(0, 6))), "", "") for k in range(60)]
+    rows += rows[:6] + [(3, "a b c\nother text of this id", "", ""), (None, "a b c", "", ""), (99, None, "", "")]
+    p = linededup.LineDedup(depth=2, long_tokens=7)
+    want = brute_lines(rows, p)
+    got = linededup.dedup_lines(docs_of(spark, rows), p).select("doc_id", "text", "n_dropped", "clean_text").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        gone = want.get((r.doc_id, r.text), [])
+        kept = None if r.text is None else "\n".join(x for n, x in enumerate(r.text.split("\n")) if n not in gone)
+        assert (r.n_dropped, r.clean_text) == (len(gone), kept), r
+
+
 def brute_components(rows):
     sets = []
     for _, t, *_ in rows:
