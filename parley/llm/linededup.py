@@ -59,23 +59,41 @@ def recurring(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
             .groupBy("exact", "key").agg(F.count("*").alias("documents")).where(enough))
 
 
+def _general(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
+
+
 def _dropped(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """(doc_id, _ld_text, i) of the lines to drop; a line may come twice."""
-    general = F.transform("t", lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
-    hits = (_lines(docs, p).join(recurring(docs, p).drop("documents"), ["exact", "key"])
-            .select("doc_id", "_ld_text", "i", "exact", "key", F.when(~F.col("exact"), general).alias("g"))
-            .withColumn("whole", F.xxhash64("g")))
+    """(doc_id, _ld_text, i) of the lines to drop; a line may come twice.
+
+    Lines alike but for variable fields are one kind. Kinds that ``min_documents`` documents have agree with themselves;
+    tokens are only read again for leaves that hold rarer kinds, from one line of each kind.
+    """
+    line = ["doc_id", "_ld_text", "i"]
+    hits = (_lines(docs, p).select(*line, "exact", "key", F.when(~F.col("exact"), F.xxhash64(_general(F.col("t")))).alias("whole"))
+            .join(recurring(docs, p).drop("documents"), ["exact", "key"]))
     hits = materialize(hits, "line-hits")
     in_leaf = hits.where("NOT exact")
-    # lines alike but for variable fields are one, with the number of documents that have it
-    times = in_leaf.select("key", "whole", "doc_id", "_ld_text").distinct().groupBy("key", "whole").agg(F.count("*").alias("n"))
-    kinds = in_leaf.groupBy("key", "whole").agg(F.first("g").alias("g")).join(times, ["key", "whole"])
-    tokens = materialize(kinds.select("key", "whole", "n", F.size("g").alias("size"), F.posexplode("g").alias("at", "token")), "line-tokens")
+    kinds = materialize(in_leaf.groupBy("key", "whole", "doc_id", "_ld_text").agg(F.min("i").alias("i"))
+                        .groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*line)).alias("at")), "line-kinds")
+    rare = kinds.where(F.col("n") < p.min_documents)
+    mixed = kinds.join(rare.select("key").distinct(), "key", "left_semi")
+    # one row a document with the numbers of its lines to read; it is small, and joined to the texts once
+    ask = (mixed.groupBy(F.col("at.doc_id").alias("_ld_id"), F.col("at._ld_text").alias("_ld_key"))
+                .agg(F.collect_list(F.struct("key", "whole", "n", F.col("at.i").alias("i"))).alias("_ld_ask")))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_ld_text"))
+    texts = keyed.join(ask, F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_key")))
+    asked = (texts.select(F.split("text", "\n").alias("lines"), F.explode("_ld_ask").alias("x"))
+                  .select("x.key", "x.whole", "x.n", F.element_at("lines", F.col("x.i") + 1).alias("line"))
+                  .groupBy("key", "whole").agg(F.first("n").alias("n"), F.first("line").alias("line")))   # repeated rows ask twice
+    tokens = materialize(asked.select("key", "whole", "n", _tokens(F.col("line")).alias("t"))
+                              .select("key", "whole", "n", F.size("t").alias("size"), F.posexplode(_general(F.col("t"))).alias("at", "token")), "line-tokens")
     constant = tokens.groupBy("key", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= p.min_documents).drop("n")
-    alike = (tokens.join(constant, ["key", "at", "token"]).groupBy("key", "whole").agg(F.count("*").alias("agree"), F.first("size").alias("size"))
+    alike = (tokens.where(F.col("n") < p.min_documents).drop("n").join(constant, ["key", "at", "token"])
+                   .groupBy("key", "whole").agg(F.count("*").alias("agree"), F.first("size").alias("size"))
                    .where(F.col("agree") * 100 >= F.col("size") * p.similarity).select("key", "whole"))
-    out = ["doc_id", "_ld_text", "i"]
-    return in_leaf.join(alike, ["key", "whole"]).select(*out).unionByName(hits.where("exact").select(*out))
+    alike = alike.unionByName(kinds.where(F.col("n") >= p.min_documents).select("key", "whole"))
+    return in_leaf.join(alike, ["key", "whole"]).select(*line).unionByName(hits.where("exact").select(*line))
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
