@@ -78,16 +78,16 @@ def _dropped(docs: DataFrame, p: LineDedup) -> DataFrame:
                         .groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*line)).alias("at")), "line-kinds")
     rare = kinds.where(F.col("n") < p.min_documents)
     mixed = kinds.join(rare.select("key").distinct(), "key", "left_semi")
-    # one row a document with the numbers of its lines to read; it is small, and joined to the texts once
+    # one row a document with the numbers of its lines to read; the texts are shuffled for it as for the last join, once for both
     ask = (mixed.groupBy(F.col("at.doc_id").alias("_ld_id"), F.col("at._ld_text").alias("_ld_key"))
                 .agg(F.collect_list(F.struct("key", "whole", "n", F.col("at.i").alias("i"))).alias("_ld_ask")))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_ld_text"))
+    keyed = docs.withColumn("_ld_text", F.xxhash64("text"))
     texts = keyed.join(ask, F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_key")))
     asked = (texts.select(F.split("text", "\n").alias("lines"), F.explode("_ld_ask").alias("x"))
                   .select("x.key", "x.whole", "x.n", F.element_at("lines", F.col("x.i") + 1).alias("line"))
                   .groupBy("key", "whole").agg(F.first("n").alias("n"), F.first("line").alias("line")))   # repeated rows ask twice
-    tokens = materialize(asked.select("key", "whole", "n", _tokens(F.col("line")).alias("t"))
-                              .select("key", "whole", "n", F.size("t").alias("size"), F.posexplode(_general(F.col("t"))).alias("at", "token")), "line-tokens")
+    tokens = (asked.select("key", "whole", "n", _tokens(F.col("line")).alias("t"))
+                   .select("key", "whole", "n", F.size("t").alias("size"), F.posexplode(_general(F.col("t"))).alias("at", "token")))
     constant = tokens.groupBy("key", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= p.min_documents).drop("n")
     alike = (tokens.where(F.col("n") < p.min_documents).drop("n").join(constant, ["key", "at", "token"])
                    .groupBy("key", "whole").agg(F.count("*").alias("agree"), F.first("size").alias("size"))
