@@ -3,7 +3,9 @@
 1. Documents with equal sets collapse to one *set* (key: 64-bit hash of set and size).
 2. The shingles of every set are counted: each task deals its shingles by hash range as packed arrays,
    so a hot group of copies is one entry. Shingles in one set only can't link anything; the others come back to
-   their sets in global order, rare first (class of the count, then hash).
+   their sets in global order, rare first (class of the count, then hash). Very frequent shingles, found in a bounded
+   sample of sets, have their class from there and go to their sets directly, so no range holds all their sets.
+   The order is the same for all sets, which is all that the result needs of it.
 3. Prefix filter: of n shingles, n - ceil(3n/4) + 1 rarest ones contain a common one for any linked
    pair. Sets whose prefix holds no shared shingle are done.
 4. Sets with identical prefix and size collapse into a group. Members linked to their group's leader stay
@@ -39,6 +41,9 @@ class Join:
     percent: int = 75
     range_shingles: int = 1_000_000   # shingles of one range, in one task's memory
     flush_shingles: int = 500_000     # a task deals its shingles after so many
+    sample_sets: int = 10_000         # expected size of the sample that finds the frequent shingles
+    frequent: float = 0.002           # share of the sampled sets from which a shingle is frequent, at least 3 sets
+    most_frequent: int = 200_000      # of them at most so many skip the ranges, the others are counted there
     bucket: int = 16                  # sets in a bucket that lists all its pairs
     leaders: int = 3                  # of a large bucket in each round
     listed: float = 1.0               # pairs that may be listed, times the prefix entries
@@ -104,9 +109,37 @@ def _pack(ents: list, lens: list, n: list, tokens: np.ndarray) -> dict:
 PACKED = "part int, ents binary, lens binary, sizes binary, low binary, high binary"
 
 
-def _deal(docs: DataFrame, bits: int, p: Join) -> DataFrame:
-    """The shingles of the task's distinct sets, one row per range (and ``flush_shingles``)."""
+def _frequent(docs: DataFrame, members: DataFrame, p: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the frequent shingles and the classes of their estimated counts."""
+    n_sets = members.agg(F.approx_count_distinct("ent")).first()[0]
+    place = F.xxhash64(F.lit("sample"), "text") / 2.0 ** 64 + 0.5
+    texts = docs.where(F.col("text").isNotNull() & (place * n_sets < p.sample_sets)).select("text").distinct()
+    k = p.words
+
+    def f(texts: pa.Array) -> pa.Array:
+        hashes = _Words()
+        return pa.array([shingles(t.as_py(), hashes, k).view(np.int64) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
+
+    count = F.count("*").alias("count")
+    tokens = texts.select(F.explode(F.arrow_udf(f, "array<long>")("text")).alias("token")).groupBy("token").agg(count)
+    sampled = min(n_sets, p.sample_sets)
+    rows = tokens.where(F.col("count") >= max(3, p.frequent * sampled)).orderBy(F.desc("count"), "token").limit(p.most_frequent).toArrow()
+    token = rows["token"].to_numpy().view(np.uint64)
+    class_ = np.ceil(np.log2(rows["count"].to_numpy() * (n_sets / max(1, sampled)))).astype(np.uint64)
+    order = np.argsort(token)
+    return token[order], class_[order]
+
+
+def _ident(part: np.ndarray, body: np.ndarray, bits: int) -> np.ndarray:
+    """58 bits of a shingle: its range and what is left of its 40 bits."""
+    return ((part << np.uint64(40)) | body) >> np.uint64(max(0, bits - 18))
+
+
+def _deal(docs: DataFrame, bits: int, p: Join, frequent: tuple[np.ndarray, np.ndarray], n_out: int) -> DataFrame:
+    """The shingles of the task's distinct sets, one row per range (and ``flush_shingles``). Frequent ones have
+    part -1 - t, for the sets dealt to t, and come as class and id, 8 bytes each in ``low``."""
     k, flush_at = p.words, p.flush_shingles
+    hot, hot_class = frequent
     schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("ents", "lens", "sizes", "low", "high")]])
 
     def flush(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -116,6 +149,11 @@ def _deal(docs: DataFrame, bits: int, p: Join) -> DataFrame:
         part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
         body = (tokens >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
         owner = np.repeat(np.arange(len(sets)), n)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+            is_hot = hot[at] == tokens
+            body[is_hot] = hot_class[at[is_hot]] << np.uint64(58) | _ident(part[is_hot].astype(np.uint64), body[is_hot], bits)
+            part[is_hot] = -1 - (ents[owner[is_hot]].view(np.uint64) % np.uint64(n_out)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, body, owner = part[order], body[order], owner[order]
         edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -123,7 +161,8 @@ def _deal(docs: DataFrame, bits: int, p: Join) -> DataFrame:
         for a, b in zip(edge, np.append(edge[1:], len(part))):
             o = owner[a:b]
             at = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-            rows.append({"part": int(part[a]), **_pack(ents[o[at]], np.diff(np.append(at, len(o))), n[o[at]], body[a:b])})
+            row = {"part": int(part[a]), **_pack(ents[o[at]], np.diff(np.append(at, len(o))), n[o[at]], body[a:b])}
+            rows.append(row if row["part"] >= 0 else {**row, "low": body[a:b].tobytes(), "high": b""})
         return pa.RecordBatch.from_pylist(rows, schema)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +185,24 @@ def _deal(docs: DataFrame, bits: int, p: Join) -> DataFrame:
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Of all rows of a group: set keys, lengths and sizes per entry, 40-bit shingles."""
+    """Of all rows of a group: set keys, lengths and sizes per entry, 40-bit shingles or frequent ones as dealt."""
     joined = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+    if table["part"][0].as_py() < 0:
+        return joined("ents", np.int64), joined("lens", np.uint32).astype(np.int64), joined("sizes", np.uint32), joined("low", np.uint64)
     tokens = joined("low", np.uint32).astype(np.uint64) | (joined("high", np.uint8).astype(np.uint64) << np.uint64(32))
     return joined("ents", np.int64), joined("lens", np.uint32).astype(np.int64), joined("sizes", np.uint32), tokens
 
 
 def _shared(dealt: DataFrame, bits: int, n_out: int) -> DataFrame:
     """Shingles in two sets or more, as class of the count (6 bits) and id (58 bits), dealt by set."""
+    schema = pa.schema([("to", pa.int32()), ("ents", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+
     def f(table: pa.Table) -> pa.Table:
-        part = np.uint64(table["part"][0].as_py())
+        part = table["part"][0].as_py()
         ents, lens, sizes, tokens = _unpack(table)
+        if part < 0:
+            row = {"to": -1 - part, "ents": np.repeat(ents, lens).tobytes(), "sizes": np.repeat(sizes, lens).tobytes(), "ids": tokens.tobytes()}
+            return pa.Table.from_pylist([row], schema)
         first = np.zeros(len(ents), bool)
         first[np.unique(ents, return_index=True)[1]] = True   # copies of a set seen by several tasks
         keep = np.repeat(first, lens)
@@ -168,8 +214,7 @@ def _shared(dealt: DataFrame, bits: int, n_out: int) -> DataFrame:
         class_ = np.zeros(len(tokens), np.uint64)
         class_[order] = np.repeat(np.ceil(np.log2(count)).astype(np.uint64), count)
         keep = class_ > 0
-        ident = ((part << np.uint64(40)) | tokens) >> np.uint64(max(0, bits - 18))
-        packed = (class_ << np.uint64(58) | ident)[keep]
+        packed = (class_ << np.uint64(58) | _ident(np.uint64(part), tokens, bits))[keep]
         owner = owner[keep]
         out = (ents.view(np.uint64) % np.uint64(n_out)).astype(np.int64)[owner]
         order = np.argsort(out, kind="stable")
@@ -177,7 +222,7 @@ def _shared(dealt: DataFrame, bits: int, n_out: int) -> DataFrame:
         edge = np.flatnonzero(np.append(True, out[1:] != out[:-1])) if len(out) else np.zeros(0, int)
         rows = [{"to": int(out[a]), "ents": ents[owner[a:b]].tobytes(), "sizes": sizes[owner[a:b]].tobytes(), "ids": packed[a:b].tobytes()}
                 for a, b in zip(edge, np.append(edge[1:], len(out)))]
-        return pa.Table.from_pylist(rows, pa.schema([("to", pa.int32()), ("ents", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]))
+        return pa.Table.from_pylist(rows, schema)
 
     return dealt.groupBy("part").applyInArrow(f, "to int, ents binary, sizes binary, ids binary")
 
@@ -191,7 +236,9 @@ def _prefixed(shared: DataFrame, percent: int) -> DataFrame:
         joined = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
         ents, sizes, ids = joined("ents", np.int64), joined("sizes", np.uint32), joined("ids", np.uint64)
         order = np.lexsort((ids, ents))
-        ents, sizes, ids = ents[order], sizes[order].astype(np.int64), ids[order]
+        ents, ids = ents[order], ids[order]
+        new = np.append(True, (ents[1:] != ents[:-1]) | (ids[1:] != ids[:-1]))[:len(ents)]   # frequent shingles of copies seen by several tasks
+        ents, sizes, ids = ents[new], sizes[order][new].astype(np.int64), ids[new]
         edge = np.flatnonzero(np.append(True, ents[1:] != ents[:-1])) if len(ents) else np.zeros(0, int)
         rows = []
         for a, b in zip(edge, np.append(edge[1:], len(ents))):
@@ -248,7 +295,8 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
     """(ent, label) of the sets with candidates."""
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(6, int(total // p.range_shingles).bit_length()))
-    shared = _shared(_deal(docs, bits, p).repartition(1 << bits, "part"), bits, 1 << bits)
+    dealt = _deal(docs, bits, p, _frequent(docs, members, p), 1 << bits)
+    shared = _shared(dealt.repartition(1 << bits, "part"), bits, 1 << bits)
     sets = materialize(_prefixed(shared.repartition(1 << bits, "to"), p.percent), "jaccard-sets")
 
     # groups: identical prefix and size; each member against the leader

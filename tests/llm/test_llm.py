@@ -173,7 +173,8 @@ def brute_components(rows):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("p", [jaccard.Join(), jaccard.Join(bucket=1, listed=0.0), jaccard.Join(bucket=2, range_shingles=50)])
+@pytest.mark.parametrize("p", [jaccard.Join(), jaccard.Join(bucket=1, listed=0.0), jaccard.Join(bucket=2, range_shingles=50),
+                               jaccard.Join(frequent=0.0), jaccard.Join(sample_sets=40, most_frequent=30, range_shingles=50), jaccard.Join(sample_sets=0)])
 def test_jaccard(spark, empty, p):
     rnd = random.Random(3)
     text = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 400)) for _ in range(n))
@@ -189,6 +190,21 @@ def test_jaccard(spark, empty, p):
     assert got == brute_components(rows)
 
 
+def test_jaccard_frequent_shingles_pass_by_the_ranges(spark):
+    """A passage in half of all texts: no range gets its shingles, their sets do, whichever task saw a copy."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join("w" + str(rnd.randint(0, 10_000)) for _ in range(n))
+    passage = text(50)
+    rows = [(k, (passage + " " if k % 2 else "") + text(20), "", "") for k in range(400)]
+    docs, p = docs_of(spark, rows + rows), jaccard.Join()
+    frequent = jaccard._frequent(docs, jaccard.sets_of(docs, p), p)
+    dealt = jaccard._deal(docs, 6, p, frequent, 64).selectExpr("part", "octet_length(high) AS n", "octet_length(low) AS low").toPandas()
+    assert len(frequent[0]) == 46 and set(frequent[1]) <= {7, 8}
+    assert dealt[dealt.part < 0].low.sum() >= 200 * 46 * 8 and dealt.n.sum() <= 2 * (200 * 16 + 200 * 20)
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.near_duplicates(docs_of(spark, rows), p).collect())
+    assert got == brute_components(rows)
+
+
 def test_jaccard_only_link_across_size_classes(spark):
     """In the large buckets of a passage, A leads one size class and B the next lower one. A's only unit of the
     lower class and B's only unit of the upper one are the only link between the two."""
