@@ -98,7 +98,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op1_secret_scan")
+OP1_PATTERNS = [
+    ("assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2),
+    ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]{16,}", 0), ("key", "[A-Za-z0-9+/]{32,}={0,2}", 0),
+    ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b", 0)]
+# Matches and the gaps between them give positions; weak spans meet every other span of their row. The patterns spell
+# both cases out: RE2's (?i) also folds letters outside ASCII.
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (""" + " UNION ALL ".join(
+    f"SELECT rid, '{kind}' AS kind, string_split_regex(t, '{x}') AS g, regexp_extract_all(t, '{x}', 0) AS a, regexp_extract_all(t, '{x}', {group}) AS v\n"
+    f"  FROM d WHERE regexp_matches(t, '{x}')" for kind, x, group in OP1_PATTERNS) + r"""),
+o AS (SELECT rid, kind, unnest(list_zip(g[1:len(a)], a, v, range(len(a)))) AS z, g, a FROM m),
+s AS (SELECT rid, kind, (list_sum(list_transform(g[1:z[4] + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:z[4]], lambda x: length(x))), 0))::BIGINT AS b,
+  length(z[2]) AS len, z[3] AS v, length(z[3]) AS size FROM o),
+k AS (SELECT rid, b, b + len AS e, CASE
+    WHEN kind = 'assign' THEN CASE WHEN size >= 12 THEN 'assign' WHEN size >= 6 THEN 'short_assign' END
+    WHEN kind = 'access' THEN CASE WHEN size >= 18 THEN 'access' WHEN size >= 12 THEN 'short_access' END
+    WHEN kind = 'hex' THEN 'hex'
+    WHEN kind = 'key' THEN CASE WHEN regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') THEN 'key' END
+    ELSE 'endpoint' END AS kind FROM s),
+r AS (SELECT k.*, nr, role, nr >= 3 AS weak FROM k JOIN (VALUES ('assign', 0, 's'), ('access', 1, 'i'), ('hex', 2, 'h'), ('short_assign', 3, 's'),
+    ('short_access', 4, 'i'), ('key', 5, 's'), ('endpoint', 6, 'e')) AS n(kind, nr, role) USING (kind)),
+linked AS (SELECT x.* FROM r AS x WHERE weak AND EXISTS (SELECT 1 FROM r AS y WHERE y.rid = x.rid AND (x.b >= y.e OR y.b >= x.e)
+    AND x.b - y.e <= 256 AND y.b - x.e <= 256 AND (x.role || y.role) IN ('si', 'is', 'se', 'es', 'hi', 'ih', 'ie', 'ei'))),
+base AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, nr) AS digest FROM r WHERE NOT weak GROUP BY rid),
+every AS (SELECT rid, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, nr) AS spans, count(*) FILTER (weak) AS n_linked
+  FROM (SELECT * FROM r WHERE NOT weak UNION ALL SELECT * FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(digest, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0)::BIGINT AS n_linked
+FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
+"""
+
+
+@query("op1_secret_scan", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -2,9 +2,9 @@
 
 Strong spans are reported as they are. Weak parts (short access identifiers, short assigned values,
 long mixed tokens, endpoints) are reported only when a part of another role (identifier, secret,
-endpoint) stands within ``scope`` code points in the same text: parts and the scopes of the weak
-ones are dealt to blocks of that length and joined by block, then by distance. Equal texts
-are linked once.
+endpoint) stands within ``scope`` code points in the same text and doesn't overlap them: parts and the scopes of the weak
+ones are dealt to blocks of that length and joined by block, then by distance. A hex run doesn't complement an
+endpoint: hashes stand near URLs in ordinary texts. Equal texts are linked once.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"(AKIA[A-Z0-9]+)"
 HEX = r"([0-9a-f]{16,})"                       # maximal runs, so the same as runs of 16 or more
 KEY = r"([A-Za-z0-9+/]{32,}={0,2})"
-ENDPOINT = r"(https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b)"
+# \w is ASCII in every Java version, \b isn't.
+ENDPOINT = r"(https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<!\w)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?!\w))"
 
 # In the order of kinds that start at the same place; role of each.
 KINDS = ["assign", "access", "hex", "short_assign", "short_access", "key", "endpoint"]
-ROLES = ["secret", "identifier", "secret", "secret", "identifier", "secret", "endpoint"]
+ROLES = ["secret", "identifier", "hex", "secret", "identifier", "secret", "endpoint"]
+# Roles that complement each other.
+PARTNERS = {"secret": ["identifier", "endpoint"], "hex": ["identifier"], "identifier": ["secret", "hex", "endpoint"], "endpoint": ["secret", "identifier"]}
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
@@ -86,7 +89,9 @@ def linked(parts: DataFrame, p: Secrets = Secrets()) -> DataFrame:
     scopes = spans("weak").select("key", "s", "role", blocks(F.col("s.start") - p.scope, F.col("s.end") + p.scope))
     x, y = F.col("x.s"), F.col("y.s")
     near = (x["start"] - y["end"] <= p.scope) & (y["start"] - x["end"] <= p.scope)
-    pairs = scopes.alias("x").join(every.alias("y"), ["key", "block"]).where((F.col("x.role") != F.col("y.role")) & near)
+    apart = (x["start"] >= y["end"]) | (y["start"] >= x["end"])
+    partners = F.create_map(*[c for r, others in PARTNERS.items() for c in (F.lit(r), F.array(*[F.lit(o) for o in others]))])
+    pairs = scopes.alias("x").join(every.alias("y"), ["key", "block"]).where(F.array_contains(partners[F.col("x.role")], F.col("y.role")) & near & apart)
     return pairs.groupBy("key").agg(F.collect_set(x).alias("linked"))
 
 
