@@ -75,3 +75,21 @@ def held_out(doc_id: Column) -> Column:
 
 def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
+
+
+def smallest_hashes(rows: DataFrame, by: str, classes: list[tuple[object, int]], most: int, seed: int) -> DataFrame:
+    """``rows`` of a few ids per class of ``by``: a superset of the ``most`` ids of smallest seeded hash, some twice as many.
+
+    ``classes``: each class with its number of distinct ids, estimated or exact. A hash below a class's threshold decides by
+    row, so nothing is sorted or brought together. Null ids are left out; all rows of a chosen id are kept.
+    """
+    if not classes:
+        return rows.where(F.lit(False))
+    share = rows.sparkSession.createDataFrame([(c, min(2.0, (2.0 * most + 32) / max(1, n))) for c, n in classes],
+                                              f"{by} {rows.schema[by].dataType.simpleString()}, _share double")
+    chosen = rows.join(F.broadcast(share), by).where(id_hash(seed) / 2.0 ** 64 + 0.5 < F.col("_share"))
+    return chosen.select(*rows.columns)
+
+
+def id_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id")

@@ -1,7 +1,7 @@
 """Language identification: nearest centroid of normalised TF-IDF n-gram vectors, with rejection.
 
-Fit: a bounded sample of rows per language (``per_lang``, smallest seeded hashes of the id) becomes
-hashed byte-n-gram counts on the executors; the driver gets these fixed-size vectors, computes
+Fit: a bounded sample of rows per language (``per_lang``, smallest seeded hashes of the id, cut by a threshold
+from the language's count before they meet) becomes hashed byte-n-gram counts on the executors; the driver gets these fixed-size vectors, computes
 idf and clusters each language's vectors by spherical k-means. Predict: every whole text, in Arrow
 batches, goes to the centroid of the largest cosine. A text whose cosine is below ``reject_share`` of a low
 quantile of those seen inside the cluster while fitting is rejected.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import bounded_batches, learnable
+from parley.llm.common import bounded_batches, id_hash, learnable, smallest_hashes
 from parley.llm.textbytes import pieces, words
 
 UNKNOWN = "und"
@@ -29,7 +29,7 @@ class LanguageId:
     clusters: int = 4
     rounds: int = 12
     per_lang: int = 400       # rows to fit on, of each language
-    max_fit: int = 8000       # and of all languages
+    max_fit: int = 8000       # and of all languages; at most so many languages, the most frequent ones
     reject_share: float = 0.25
     floor_quantile: float = 0.05   # of the cosines inside a cluster: a few odd texts don't lower its floor
     seed: int = 7
@@ -70,20 +70,19 @@ def has_letter(text: bytes | None, ws: list[bytes]) -> bool:
 
 
 def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
-    """Learns from rows with lang and a letter in the text whose id isn't held out."""
-    docs = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learnable(F.col("doc_id")))
-    known = docs.select("doc_id", "lang")
-    n_langs = known.agg(F.count_distinct("lang")).first()[0]
-    if not n_langs:
+    """Learns from rows with lang and a letter in the text whose id isn't held out. Ids with several texts in one
+    language give their smallest text; null ids aren't learned from. Nothing to learn from: a model of no language."""
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learnable(F.col("doc_id"))).select("doc_id", "lang", "text")
+    ids = docs.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_fit).collect()
+    if not ids:
         return Model(p.dims, [], np.zeros(p.dims, np.float32), np.zeros((p.dims, 0), np.float32), np.zeros(0, np.float32))
-    per = max(1, min(p.per_lang, p.max_fit // n_langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).select("doc_id", "lang")
+    per = max(1, min(p.per_lang, p.max_fit // len(ids)))
     dims = p.dims
     vector = F.arrow_udf(lambda t: pa.array([counts(x, dims).tobytes() for some in pieces(t) for x in some], pa.binary()), "binary")
-    # at most max_fit (id, lang) rows
-    rows = (docs.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
-                .select("lang", "doc_id", vector("text").alias("v")).orderBy("lang", "doc_id").toArrow())
+    few = smallest_hashes(docs, "lang", [(r["lang"], r["n"]) for r in ids], per, p.seed)
+    few = few.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "doc_id", vector("text").alias("v"))
+    order = Window.partitionBy("lang").orderBy(id_hash(p.seed), "doc_id")   # over some 2 * per rows a language
+    rows = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per).orderBy("lang", "doc_id").select("lang", "v").toArrow()
     c = np.frombuffer(b"".join(rows["v"].to_pylist()), dtype=np.float32).reshape(-1, dims)
     lang = np.array(rows["lang"].to_pylist(), dtype=object)
     idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 1).astype(np.float32)
