@@ -5,12 +5,13 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, jaccard, langid, linededup, mixing, search, secrets, sharding, toxicity, warc
-from parley.llm.common import scratch_path
+from parley.llm.common import id_hash, scratch_path, smallest_hashes
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -49,6 +50,55 @@ def test_secrets(spark, empty):
     assert clean[1] == "x [secret]\" and token:short1"
 
 
+def brute_spans(text):
+    """All spans that the scan reports, by plain loops over ``re`` matches."""
+    t, found = text or "", []
+    for m in re.finditer(r"""(?ia:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        n = len(m[1])
+        found += [("assign" if n >= 12 else "short_assign", *m.span())] if n >= 6 else []
+    for m in re.finditer("AKIA[A-Z0-9]+", t):
+        found += [("access" if len(m[0]) >= 18 else "short_access", *m.span())] if len(m[0]) >= 12 else []
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    found += [("key", *m.span()) for m in re.finditer("[A-Za-z0-9+/]{32,}={0,2}", t) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    ends = r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b"
+    found += [("endpoint", *m.span()) for m in re.finditer(ends, t, re.ASCII)]
+    strong, who = {"assign", "access", "hex"}, {"access": "i", "short_access": "i", "endpoint": "e", "hex": "h"}
+    role = lambda s: who.get(s[0], "s")
+    near = lambda x, y: (x[1] >= y[2] and x[1] - y[2] <= 256) or (y[1] >= x[2] and y[1] - x[2] <= 256)
+    kept = [x for x in found if x[0] in strong or any(
+        role(x) != role(y) and {role(x), role(y)} not in ({"h", "e"}, {"h", "s"}) and near(x, y) for y in found)]
+    kept.sort(key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+    digest = ",".join(f"{k}:{a}:{b}" for k, a, b in kept if k in strong)
+    n = [sum(k == kind for k, *_ in kept) for kind in ("assign", "access", "hex")]
+    return (*n, hashlib.sha256(digest.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in kept), sum(k not in strong for k, *_ in kept))
+
+
+def secret_texts(n=300):
+    rnd = random.Random(11)
+    some = lambda chars, a, b: "".join(rnd.choice(chars) for _ in range(rnd.randint(a, b)))
+    up, low, dig = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    make = [lambda: rnd.choice(["password", "PassWd", "api_key", "APIKEY", "toKen", "secret", "to\u212aen", "\u017fecret"]) + rnd.choice([": ", "=", '" : "', "'='", " "]) + some(up + low + dig + "+/_.=-", 3, 20),
+            lambda: "AKIA" + some(up + dig, 4, 20), lambda: some("0123456789abcdef", 10, 40), lambda: some(up + low + dig + "+/", 28, 60) + rnd.choice(["", "=", "=="]),
+            lambda: rnd.choice(["http://", "https://"]) + some(low + ".-", 1, 12) + rnd.choice(["", ":80", ":123456.1.2.3"]), lambda: ".".join(some(dig, 1, 4) for _ in range(4)),
+            lambda: "x " * rnd.randint(0, 200), lambda: rnd.choice(["é", "\U0001f600", "\n", "_", "AKIA", "token="])]
+    return ["".join(rnd.choice(make)() + rnd.choice(["", " ", " ", "é"]) for _ in range(rnd.randint(0, 9))) for _ in range(n)]
+
+
+def test_secrets_brute_force(spark):
+    texts = [*secret_texts(), None, "", "word " * 30_000 + "AKIAABCDEFGHIJ 10.0.0.1", "0" * 100_000]
+    rows = [(None if k % 50 == 7 else k // 2, t, "", "") for k, t in enumerate(texts)] * 2       # null ids, two texts under one id, repeated rows
+    got = sorted(map(str, (tuple(r) for r in secrets.scan(docs_of(spark, rows).withColumn("key", F.lit(1)).withColumn("spans", F.lit("x"))).collect())))
+    assert got == sorted(str((i, *brute_spans(t))) for i, t, *_ in rows)
+    assert sum("short_access" in r or "endpoint" in r for r in got) > 50
+
+
+def test_secrets_of_ordinary_texts(spark):
+    """A URL beside a commit hash, or with a long token in its own path, isn't a credential in parts."""
+    rows = [(1, "see commit " + "0123456789abcdef" * 2 + " at https://git.example.org/x", "", ""), (2, "https://h.example.org/" + "Ab3" * 12, "", "")]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs_of(spark, rows)).collect()}
+    assert got[1] == "hex:11:43" and got[2] == ""
+
+
 def test_redaction_by_text(spark, empty):
     rows = [(None, "password=abcdefghijklmnop x", "", ""), (1, "token: abcdefghijklmnop!", "", ""), (1, "a password=abcdefghijklmnop", "", ""),
             (1, "a password=abcdefghijklmnop", "", ""), (2, None, "", ""), (3, "", "", ""), (None, "nothing here", "", ""), (4, "é" * 40_000 + " secret=abcdefghijklmnop " + "z " * 9, "", "")]
@@ -275,6 +325,31 @@ def test_language(spark, empty):
     assert langid.identify(docs_of(spark, rows[:1]), langid.fit(empty)).collect()[0].lang_pred == "und"
 
 
+def test_fits_on_text_ids_and_repeated_ids(spark):
+    """Ids of any type; of several texts under one id the smallest is learned from, so reruns learn the same."""
+    rows, marks = labelled()
+    docs = docs_of(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zz "), "text"))).withColumn("text", F.when(F.col("doc_id") != "d3", F.col("text")))
+    labels = spark.createDataFrame([(f"d{k}", t) for k, t in [*marks, *marks]], "doc_id string, toxic long")
+    p = toxicity.Toxicity(buckets=1 << 10, epochs=2)
+    a, b = (toxicity.fit(twice.repartition(n, "text"), labels, p) for n in (2, 5))
+    assert a.scores([b"the vilest house"]) == b.scores([b"the vilest house"])
+    a, b = (langid.fit(twice.repartition(n, "text")) for n in (2, 5))
+    assert a.langs == b.langs and np.array_equal(a.centroids, b.centroids)
+    assert set(langid.fit(docs, langid.LanguageId(max_fit=2)).langs) == {"de", "en"}
+
+
+def test_sample_by_threshold_holds_the_smallest_hashes(spark):
+    rows = [(k, "t", "a" if k % 10 else "b", "") for k in range(5000)] + [(None, "t", "a", ""), (7, "u", "a", ""), (7, "t", None, "")]
+    df = docs_of(spark, rows)
+    got = smallest_hashes(df, "lang", [("a", 4500), ("b", 500)], 40, 3)
+    got = got.withColumn("h", id_hash(3)).select("lang", "doc_id", "h").distinct().collect()
+    every = df.where("doc_id IS NOT NULL AND lang IS NOT NULL").withColumn("h", id_hash(3)).select("lang", "doc_id", "h").distinct().collect()
+    for lang in "ab":
+        few, all_ = (sorted((r.h, r.doc_id) for r in x if r.lang == lang) for x in (got, every))
+        assert few[:40] == all_[:40] and 40 <= len(few) < 200
+
+
 def test_language_fit_on_odd_rows(spark):
     rows, _ = labelled()
     rnd = random.Random(8)
@@ -511,3 +586,68 @@ def test_warc_damage_is_never_passed_over(spark, tmp_path):
 def test_language_stage_keeps_documents_when_nothing_is_labelled(spark):
     docs = spark.createDataFrame([(i, "some words of a text " * 3, None, "s") for i in range(30)], DOCS)
     assert langid.accepted(docs, langid.fit(docs)).count() == 30
+
+
+def brute_contaminated(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
+    w = words(text)
+    for item in items:
+        b = words(item)
+        n = min(10, len(b))
+        windows = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)} if n else set()
+        if any(tuple(w[i:i + n]) in windows for i in range(len(w) - n + 1)):
+            return True
+    return False
+
+
+def pipeline_tables(spark, path, rows, items):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline(spark, tmp_path):
+    """Stage by stage against plain Python on planted rows: unknown languages, copies, benchmark passages, odd rows."""
+    rows, _ = labelled(160)
+    rnd = random.Random(2)
+    rows = [(k, t + " " + " ".join(f"{t.split()[0]}{rnd.randint(0, 999)}" for _ in range(30)), lang, rnd.choice(["s", "u", None])) for k, t, lang, _ in rows]
+    item = "the river walks and the green house walks and the river " + "green " * 3
+    rows += [(300 + k, rows[k][1] + (" the" if k % 2 else ""), rows[k][2], "s") for k in range(20)]                     # copies and near copies
+    rows += [(400 + k, rows[k + 50][1] + " " + item + rows[k + 51][1], rows[k + 50][2], "s") for k in range(5)]         # benchmark passages
+    rows += [(500, None, "en", "s"), (501, "", None, None), (502, "zq xk " * 40, None, "s"), (503, "12 34", "de", "u"), (None, "das haus läuft und das haus", "de", "s")]
+    sf_dir = pipeline_tables(spark, tmp_path / "a", rows, [(1, item), (2, None), (3, "")])
+    docs, kept, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), [], []
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == ["doc_id", "text", "lang", "source"], name
+        kept.append({(r.doc_id, r.text) for r in docs.collect()})
+        seen.append(docs.count())
+    known = {(i, t) for i, t, *_ in rows if t and i not in (502, 503)}
+    assert kept[0] == known and seen[0] == len(known)
+    label = {(i, t): c for (i, t), c in zip(sorted(known, key=lambda x: str(x)), brute_labels(sorted(known, key=lambda x: str(x))))}
+    assert kept[1] == {(i, t) for (i, t), c in label.items() if i == c} and seen[1] == len(kept[1]) < seen[0] - 15
+    assert kept[2] == {(i, t) for i, t in kept[1] if not brute_contaminated(t, [item])} and seen[2] == len(kept[2]) < seen[1]
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in out} <= {i for i, _ in kept[2]}
+    for shard in range(40):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    words = lambda t: len(t.split())
+    total = sum(words(t) for _, t in kept[2])
+    assert total < sum(words(r.text) for r in out) <= 2 * total
+
+
+def brute_labels(rows):
+    """The smallest id of each row's component, row by row."""
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (ascii_lower(t).split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [y if v == x else v for v in label]
+    ids = lambda a: [rows[b][0] for b in range(len(rows)) if label[b] == label[a] and rows[b][0] is not None]
+    return [min(ids(a), default=None) for a in range(len(rows))]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert corpus_pipeline.run(spark, pipeline_tables(spark, tmp_path, [], [])).count() == 0
