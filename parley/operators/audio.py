@@ -86,7 +86,7 @@ class AssetStore:
         tables.append(new)
         if batch_id in self._left():
             self._fs.delete(self._hadoop(f"{self.path}/{job}"), True)
-        self.spark.dataSource.register(WavFiles)
+        new.sparkSession.dataSource.register(WavFiles)      # a micro-batch has a session of its own
         new.select("name", "pcm16").write.format("parley_wav").option("path", f"{self.path}/{job}").mode("append").save()
         rows = new.select("fp", "vec_id", F.concat(F.lit(job + "/"), "name").alias("path"), "prefix")
         self.index.write(rows.repartition("prefix"), batch_id)

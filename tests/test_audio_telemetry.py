@@ -74,6 +74,14 @@ def test_failed_job_leaves_no_file(spark):
     assert len(on_disk(path)) == 200 and au.asset_source(store).count() == 200
 
 
+def test_batch_of_another_session(spark):
+    """A micro-batch's rows are of a session of their own, which doesn't know what was registered in the store's."""
+    other = spark.newSession()
+    store, path = new_store(spark)
+    store.add(other.createDataFrame([(1, 0, [0.1, 0.2]), (2, 1, [0.3, -0.1])], AV), 0)
+    assert len(on_disk(path)) == 2 and sorted(r.vec_id for r in au.asset_source(store).collect()) == [1, 2]
+
+
 def test_twenty_batches_and_pruned_look_up(spark):
     v = spark.range(60).select(F.col("id").alias("vec_id"), F.lit(0).alias("session_id"), F.array(F.lit(1.0), (F.col("id") % 40 / 99).cast("float")).cast("array<float>").alias("samples"))
     store, _ = new_store(spark)
