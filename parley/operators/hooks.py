@@ -12,6 +12,7 @@ no network is used.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -116,13 +117,32 @@ def listening_model() -> Callable[[object, list], Iterable[str]]:
     return fn
 
 
-def utterances_of_turns(chat: DataFrame, utterances: DataFrame, p: Params) -> DataFrame:
-    """session_id, turn, audio: the k-th user message of a session is its k-th utterance (session_id, utterance_id, audio)."""
+COPIES = 64            # most copies of an utterance that many sessions hear, so that none of its joins is one task
+
+
+def utterances_of_turns(chat: DataFrame, utterances: DataFrame, p: Params, heard: Column | None = None) -> DataFrame:
+    """session_id, turn, audio: the k-th user message of a session is its k-th utterance (session_id, utterance_id, audio), or with
+    ``heard`` (an expression of the chat's session) the k-th utterance of that session; a null one hears nothing.
+    An utterance is one row.
+
+    Both sides are numbered without the audio, which is then fetched for the numbers that some turn asks for only.
+    """
     count = {"k": run_sum(F.lit(1).cast("bigint"))}
     user = scan(chat.where(F.col("role") == "user").select("session_id", "turn"), ["session_id"], ["turn"], count, p.turn_bucket)
-    said = scan(utterances.select("session_id", "utterance_id", "audio"), ["session_id"], ["utterance_id"], count, p.turn_bucket)
-    same = F.col("u.session_id").eqNullSafe(F.col("s.session_id")) & (F.col("u.k") == F.col("s.k"))
-    return user.alias("u").join(said.alias("s"), same, "left").select("u.session_id", "u.turn", "s.audio")
+    user = user.withColumn("heard", F.col("session_id") if heard is None else heard).withColumn("copy", F.pmod(F.xxhash64("session_id"), F.lit(COPIES)))
+    said = scan(utterances.select("session_id", "utterance_id"), ["session_id"], ["utterance_id"], count, p.turn_bucket)
+    asked = user.select("heard", "k", "copy").distinct()
+    if heard is not None:
+        asked = asked.where(F.col("heard").isNotNull())
+
+    def same(*names: str) -> Column:
+        return reduce(Column.__and__, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names])
+
+    said = said.withColumnRenamed("session_id", "heard")
+    wanted = asked.alias("a").join(said.alias("b"), same("heard", "k")).select("a.*", "b.utterance_id")
+    sound = utterances.select(F.col("session_id").alias("heard"), "utterance_id", "audio")
+    sound = wanted.alias("a").join(sound.alias("b"), same("heard", "utterance_id")).select("a.heard", "a.k", "a.copy", "b.audio")
+    return user.alias("a").join(sound.alias("b"), same("heard", "k", "copy"), "left").select("a.session_id", "a.turn", "b.audio")
 
 
 def reply_with_audio(chat: DataFrame, audio: DataFrame, p: Params, factory: ModelFactory = listening_model, block: int = 256) -> DataFrame:

@@ -49,9 +49,7 @@ def q_batch_reply_audio(spark, d):
     u = utterance_concat(vectors)
     labels = sorted(r[0] for r in vectors.select("session_id").distinct().collect())      # the few labels of the fixture
     of = F.array(*[F.lit(x) for x in labels])[(F.col("session_id") % len(labels)).cast("int")]
-    sessions = chat.select("session_id").distinct().select("session_id", of.alias("label"))
-    said = u.withColumnRenamed("session_id", "label").join(sessions, "label").drop("label")
-    return hk.reply_with_audio(chat, hk.utterances_of_turns(chat, said, DEFAULT), DEFAULT)
+    return hk.reply_with_audio(chat, hk.utterances_of_turns(chat, u, DEFAULT, of), DEFAULT)
 
 
 @query("score_turns_context", sql("""

@@ -87,6 +87,18 @@ def test_reply_with_audio_and_history(spark):
         assert got[s, t] == {1: (sound, None), 2: (f" {[x[3] for x in rows if x[0] == s and x[1] <= t]}", None)}
 
 
+def test_many_sessions_hear_one_source(spark):
+    """Turn k of every session hears the k-th utterance of its source; the audio meets the turns that ask for it, not each session."""
+    rows = [(s, t, "user" if t % 2 else "assistant", str(t)) for s in range(120) for t in range(2 * (s % 4 + 1))] + [(None, 1, "user", "x")]
+    heard = spark.createDataFrame([(k % 3, 10 * k, [float(k)]) for k in range(300)] + [(None, 1, [-1.0])], "session_id long, utterance_id long, audio array<float>")
+    got = {(r.session_id, r.turn): r.audio for r in
+           hooks.utterances_of_turns(spark.createDataFrame(rows, CHAT), heard, DEFAULT, F.when(F.col("session_id") != 5, F.col("session_id") % 4)).collect()}
+    want = {(s, t): None if s in (5, None) or s % 4 == 3 else [float(t // 2 * 3 + s % 4)] for s, t, role, _ in rows if role == "user"}
+    assert got == want
+    own = hooks.utterances_of_turns(spark.createDataFrame(rows, CHAT), heard, DEFAULT).collect()
+    assert {r.session_id: r.audio for r in own if r.session_id in (0, None)} == {0: [0.0], None: [-1.0]}
+
+
 def test_scorer_sees_the_last_messages(spark):
     rows = [(1, t, "user", "x" * t) for t in range(8)] + [(2, 0, "user", "abc"), (3, 0, "user", "abc")]
     langs = spark.createDataFrame([(1, "en"), (2, "fr")], "session_id long, lang string")
