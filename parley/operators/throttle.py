@@ -12,8 +12,8 @@ and the place of the last one.
 3. from the top down, each map's children are told the last emission before them;
 4. each bucket, knowing it, walks its chain and emits.
 
-Buckets, and maps, are dealt to tasks by a hash of session and time, about ``task_rows`` rows each: small ones share
-a task, those of a long session are spread.
+Buckets, and maps, are dealt to groups by a hash of session and time, about ``group_rows`` rows each whatever the size of the
+tables: small ones share a group, those of a long session are spread. A task runs many groups, one at a time, so its memory is a group's.
 """
 
 from __future__ import annotations
@@ -88,12 +88,24 @@ _STATE = [("last_us", pa.int64()), ("emitted", pa.int64()), ("since", pa.int64()
 _STATE_DDL = "last_us long, emitted long, since long, is_end boolean"
 
 
-def _row(s: Steps) -> dict:
-    return {"upto": s.upto, "last": s.last, "count": s.count, "place": s.place, "first_us": s.first_us, "rows": s.rows}
+def _table(schema: pa.Schema, keys: list, parts: list[int], maps: list[Steps]) -> pa.Table:
+    """Maps as columns: the pieces of all of them end to end."""
+    ends = np.cumsum([0, *[len(s.upto) for s in maps]]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *[getattr(s, c) for s in maps]]))) for c, _ in _MAP[:4]]
+    return pa.table([pa.array(keys, schema.field(0).type), pa.array(parts, pa.int64()), *lists,
+                     pa.array([s.first_us for s in maps], pa.int64()), pa.array([s.rows for s in maps], pa.int64())], schema=schema)
 
 
-def _steps(r: dict) -> Steps:
-    return Steps(*[np.array(r[c], np.int64) for c in ("upto", "last", "count", "place")], r["first_us"], r["rows"])
+class _Maps:
+    """The maps of a table, each made when it is asked for: views of the columns, no objects per row."""
+
+    def __init__(self, table: pa.Table):
+        lists = [table[c].combine_chunks() for c, _ in _MAP[:4]]
+        self.lists = [(x.offsets.to_numpy(), x.values.to_numpy()) for x in lists]
+        self.part, self.first, self.rows = (table[c].to_numpy() for c in ("b", "first_us", "rows"))
+
+    def __getitem__(self, i: int) -> Steps:
+        return Steps(*[v[o[i]:o[i + 1]] for o, v in self.lists], int(self.first[i]), int(self.rows[i]))
 
 
 def _stretches(table: pa.Table, key: str, part: str, *order: str):
@@ -111,8 +123,12 @@ def _summary(key: pa.Field, interval: int):
     schema = pa.schema([key, ("b", pa.int64()), *_MAP])
 
     def run(rows: pa.Table) -> pa.Table:
-        t = rows["t"].to_numpy()
-        return pa.Table.from_pylist([{key.name: k, "b": b, **_row(bucket_steps(t[at], interval))} for k, b, at in _stretches(rows, key.name, "b", "t")], schema=schema)
+        t, keys, parts, made = rows["t"].to_numpy(), [], [], []
+        for k, b, at in _stretches(rows, key.name, "b", "t"):
+            keys.append(k)
+            parts.append(b)
+            made.append(bucket_steps(t[at], interval))
+        return _table(schema, keys, parts, made)
     return run
 
 
@@ -120,13 +136,15 @@ def _composed(key: pa.Field):
     schema = pa.schema([key, ("b", pa.int64()), *_MAP])
 
     def run(maps: pa.Table) -> pa.Table:
-        rows, out = maps.to_pylist(), []
+        given, keys, parts, made = _Maps(maps), [], [], []
         for k, b, at in _stretches(maps, key.name, "up", "b"):
-            s = _steps(rows[at[0]])
+            s = given[at[0]]
             for i in at[1:]:
-                s = compose(s, _steps(rows[i]))
-            out.append({key.name: k, "b": b, **_row(s)})
-        return pa.Table.from_pylist(out, schema=schema)
+                s = compose(s, given[i])
+            keys.append(k)
+            parts.append(b)
+            made.append(s)
+        return _table(schema, keys, parts, made)
     return run
 
 
@@ -135,42 +153,51 @@ def _told(key: pa.Field):
     schema = pa.schema([key, ("b", pa.int64()), *_STATE])
 
     def run(maps: pa.Table, states: pa.Table) -> pa.Table:
-        rows, out = maps.to_pylist(), []
-        known = {(s[key.name], s["up"]): s for s in states.to_pylist()}
+        given, keys, out = _Maps(maps), [], []
+        known = _known(states, key.name, "up")
         for name, up, at in _stretches(maps, key.name, "up", "b"):
             state = known.get((name, up))
-            last, emitted, since = (state["last_us"], state["emitted"], state["since"]) if state else (NEVER, 0, 0)
+            last, emitted, since, end = state if state else (NEVER, 0, 0, True)
+            keys += [name] * len(at)
             for i in at:
-                r = rows[i]
-                out.append({key.name: name, "b": r["b"], "last_us": last, "emitted": emitted, "since": since,
-                            "is_end": i == at[-1] and (state is None or state["is_end"])})
-                last, n, place = _steps(r).at(last)
+                s = given[i]
+                out.append((int(given.part[i]), last, emitted, since, end and i == at[-1]))
+                last, n, place = s.at(last)
                 emitted += n
-                since = since + r["rows"] if place < 0 else r["rows"] - 1 - place
-        return pa.Table.from_pylist(out, schema=schema)
+                since = since + s.rows if place < 0 else s.rows - 1 - place
+        return pa.table([pa.array(keys, key.type), *[pa.array(list(c), f.type) for c, f in zip(list(zip(*out)) or [()] * 5, list(schema)[1:])]], schema=schema)
     return run
 
 
+def _known(states: pa.Table, key: str, part: str) -> dict[tuple, tuple]:
+    """(key, part) -> last_us, emitted, since, is_end. Spark gives a side without rows no columns."""
+    if not states.num_rows:
+        return {}
+    cols = [states[c].to_pylist() for c in (key, part, "last_us", "emitted", "since", "is_end")]
+    return {(k, b): rest for k, b, *rest in zip(*cols)}
+
+
 def _emissions(key: pa.Field, interval: int):
     schema = pa.schema([key, ("emit_idx", pa.int64()), ("row", pa.int64()), ("t", pa.int64()), ("is_tail", pa.bool_()), ("n_rows", pa.int64())])
 
     def run(rows: pa.Table, states: pa.Table) -> pa.Table:
         all_t, all_ids = rows["t"].to_numpy(), rows["row"].to_numpy()
-        known = {(s[key.name], s["b"]): s for s in states.to_pylist()}
+        known = _known(states, key.name, "b")
         keys, parts = [], []
         for name, b, some in _stretches(rows, key.name, "b", "t", "row"):
-            s, t, ids = known[name, b], all_t[some], all_ids[some]
+            last, emitted, since, end = known[name, b]
+            t, ids = all_t[some], all_ids[some]
             if interval <= 0:
                 places = np.unique(t, return_index=True)[1]
             else:
-                at, k = [], int(np.searchsorted(t, s["last_us"] + interval))
+                at, k = [], int(np.searchsorted(t, last + interval))
                 while k < len(t):
                     at.append(k)
                     k = int(np.searchsorted(t, t[k] + interval))
                 places = np.array(at, np.int64)
-            before, tail = np.r_[-1 - s["since"], places], int(s["is_end"])      # the final element is emitted always
+            before, tail = np.r_[-1 - since, places], int(end)      # the final element is emitted always
             at = np.r_[places, [len(t) - 1] * tail].astype(np.int64)
-            parts.append((s["emitted"] + 1 + np.arange(len(at)), ids[at], t[at], np.arange(len(at)) >= len(places),
+            parts.append((emitted + 1 + np.arange(len(at)), ids[at], t[at], np.arange(len(at)) >= len(places),
                           np.r_[np.diff(before), [len(t) - 1 - before[-1]] * tail].astype(np.int64)))
             keys += [name] * len(at)
         cols = [np.concatenate(c) for c in zip(*parts)] if parts else [[]] * 5
@@ -185,7 +212,7 @@ def bucketed(events: DataFrame, key: str, t: str, row: str, width: int) -> DataF
 
 
 def throttle_events(events: DataFrame, interval: int, width: int, key: str = "session_id", t: str = "t_us", row: str = "event_id",
-                    fan: int = 64, task_rows: int = 200_000) -> DataFrame:
+                    fan: int = 64, group_rows: int = 20_000) -> DataFrame:
     """Emissions of the greedy throttle per ``key``: key, emit_idx (from 1), the emitted row (``row``), its time ``t``, is_tail, and
     n_rows, the rows since the emission before (with it; 0 for a tail that was just emitted).
 
@@ -198,8 +225,8 @@ def throttle_events(events: DataFrame, interval: int, width: int, key: str = "se
     base = base.withColumn(key, F.col(key).cast(ddl))
     least = base.sparkSession.sparkContext.defaultParallelism
 
-    def dealt(df: DataFrame, part: str, tasks: int) -> GroupedData:
-        return df.withColumn("task", F.pmod(F.xxhash64(key, part), F.lit(tasks))).groupBy("task")
+    def dealt(df: DataFrame, part: str, n: int) -> GroupedData:
+        return df.withColumn("group", F.pmod(F.xxhash64(key, part), F.lit(n))).groupBy("group")
 
     def above(df: DataFrame) -> DataFrame:
         return df.withColumn("up", F.expr(f"cast(floor(b / {fan}) as bigint)"))
@@ -208,18 +235,18 @@ def throttle_events(events: DataFrame, interval: int, width: int, key: str = "se
     lo, hi = lo or 0, hi or 0
     base = base.withColumn("b", F.col("b") - F.lit(lo))       # from 0 on: negative and positive buckets would never meet in one
     hi -= lo
-    tasks = [max(least, n // task_rows)]
+    groups = [max(least, n // group_rows)]
     map_ddl, state_ddl = f"{key} {ddl}, b long, {_MAP_DDL}", f"{key} {ddl}, b long, {_STATE_DDL}"
-    maps = [written(dealt(base, "b", tasks[0]).applyInArrow(_summary(field, interval), map_ddl), "throttle-0")]
-    tasks.append(max(least, maps[0].count() // task_rows))
+    maps = [written(dealt(base, "b", groups[0]).applyInArrow(_summary(field, interval), map_ddl), "throttle-0")]
+    groups.append(max(least, maps[0].count() // group_rows))
     while hi >= fan:
         hi //= fan
-        maps.append(written(dealt(above(maps[-1]), "up", tasks[-1]).applyInArrow(_composed(field), map_ddl), f"throttle-{len(maps)}"))
+        maps.append(written(dealt(above(maps[-1]), "up", groups[-1]).applyInArrow(_composed(field), map_ddl), f"throttle-{len(maps)}"))
     states = maps[-1].limit(0).select(key, F.lit(0).cast("long").alias("up"), F.lit(0).cast("long").alias("last_us"), F.lit(0).cast("long").alias("emitted"),
                                       F.lit(0).cast("long").alias("since"), F.lit(True).alias("is_end"))
     for m in reversed(maps):
-        states = dealt(above(m), "up", tasks[-1]).cogroup(dealt(states, "up", tasks[-1])).applyInArrow(_told(field), state_ddl)
+        states = dealt(above(m), "up", groups[-1]).cogroup(dealt(states, "up", groups[-1])).applyInArrow(_told(field), state_ddl)
         states = states.withColumnRenamed("b", "up")
-    out = dealt(base, "b", tasks[0]).cogroup(dealt(states.withColumnRenamed("up", "b"), "b", tasks[0])).applyInArrow(
+    out = dealt(base, "b", groups[0]).cogroup(dealt(states.withColumnRenamed("up", "b"), "b", groups[0])).applyInArrow(
         _emissions(field, interval), f"{key} {ddl}, emit_idx long, row long, t long, is_tail boolean, n_rows long")
     return out.select(key, "emit_idx", F.col("row").alias(row), F.col("t").alias(t), "is_tail", "n_rows")

@@ -1,8 +1,10 @@
 """Greedy throttle of event streams: maps of stretches, their composition, hot sessions."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,22 @@ def test_hot_session_is_spread(spark):
     assert max(pieces) <= interval + 1
     whole = throttle.throttle_events(df, interval, width, fan=fan)
     assert whole.where("session_id <> -1 and not is_tail").count() == n - n // 3
+
+
+def test_group_of_maps_holds_no_objects(spark):
+    """Telling states to a group of maps takes memory of the order of the group's columns."""
+    maps = [throttle.bucket_steps(np.sort(np.random.default_rng(k).integers(0, 400, 40)), 60) for k in range(3000)]
+    key = pa.field("session_id", pa.int64())
+    schema = pa.schema([key, ("b", pa.int64()), *throttle._MAP])
+    made = throttle._table(schema, list(range(3000)), [0] * 3000, maps).append_column("up", pa.array([0] * 3000, pa.int64()))
+    states = pa.table([[], [], [], [], [], []], schema=pa.schema([key, ("up", pa.int64()), *throttle._STATE]))
+    tracemalloc.start()
+    told = throttle._told(key)(made, states)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told.num_rows == 3000 and peak < 2 * made.nbytes
+
+
+def test_any_size_of_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 40).alias("session_id"), F.col("id").alias("event_id"), (F.col("id") * 7919 % 5000).alias("t_us"))
+    assert got(df, 30, 100, fan=4, group_rows=50) == loop([tuple(r) for r in df.collect()], 30)
