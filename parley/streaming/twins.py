@@ -105,36 +105,33 @@ TAIL_STATE = ("v_which array<string>, v_id array<long>, v_t array<long>, v_y arr
 
 
 def _tail_fn(n: int, retention: int):
+    names = ["session_id", "event_id", "which", "t_us", "y", "kind", "rank"]
+
     def fn(key, pdfs, state):
-        if state.exists:
-            g = state.get
-            vals = pd.DataFrame({"which": list(g[0]), "event_id": list(g[1]), "t_us": list(g[2]), "y": list(g[3])})
-            marks = pd.DataFrame({"which": list(g[4]), "event_id": list(g[5]), "t_us": list(g[6])})
-            max_vt = g[7]
-        else:
-            vals = pd.DataFrame(columns=["which", "event_id", "t_us", "y"])
-            marks = pd.DataFrame(columns=["which", "event_id", "t_us"])
-            max_vt = None
-        pdf = _concat(pdfs)
-        nv = pdf[pdf["kind"] == "value"][["which", "event_id", "t_us", "y"]]
-        nm = pdf[pdf["kind"] == "event"][["which", "event_id", "t_us"]]
-        vals = pd.concat([x for x in (vals, nv) if len(x)], ignore_index=True) if len(vals) or len(nv) else vals
-        vals = vals.sort_values(["which", "t_us", "event_id"], ascending=[True, False, False])
-        vals["rank"] = vals.groupby("which").cumcount() + 1
-        vals = vals[vals["rank"] <= n]                                   # bounded
-        if len(nv):
-            mv = int(nv["t_us"].max())
-            max_vt = mv if max_vt is None else max(max_vt, mv)
-        marks = pd.concat([x for x in (marks, nm) if len(x)], ignore_index=True) if len(marks) or len(nm) else marks
+        g = state.get if state.exists else ([], [], [], [], [], [], [], None)
+        vals, marks, max_vt = list(zip(*g[:4])), list(zip(*g[4:7])), g[7]     # (which, event_id, t_us, y), (which, event_id, t_us)
+        for pdf in pdfs:
+            for kind, which, i, t, y in zip(*(pdf[c].tolist() for c in ("kind", "which", "event_id", "t_us", "y"))):
+                if kind == "value":
+                    vals.append((which, int(i), int(t), float("nan") if y is None else float(y)))
+                    max_vt = int(t) if max_vt is None else max(max_vt, int(t))
+                elif kind == "event":
+                    marks.append((which, int(i), int(t)))
+        vals.sort(key=lambda v: (v[0] is None, v[0] or "", -v[2], -v[1]))
+        kept, out, rank, last = [], [], 0, ()
+        for v in vals:
+            rank, last = (rank + 1 if last == v[0] else 1), v[0]
+            if rank <= n:                                                    # bounded
+                kept.append(v)
+                out.append((key[0], v[1], v[0], v[2], v[3], "value", rank))
         if max_vt is not None:
-            marks = marks[marks["t_us"] >= max_vt - retention]  # strict <: exactly `retention` stays
-        state.update((vals["which"].tolist(), [int(x) for x in vals["event_id"]], [int(x) for x in vals["t_us"]],
-                      [float(x) for x in vals["y"]], marks["which"].tolist(), [int(x) for x in marks["event_id"]],
-                      [int(x) for x in marks["t_us"]], max_vt))
-        tail = [x for x in (vals.assign(kind="value"), marks.assign(y=float("nan"), kind="event", rank=pd.NA)) if len(x)]
-        out = pd.concat(tail, ignore_index=True) if tail else vals.assign(kind=[])
-        out.insert(0, "session_id", key[0])
-        yield out[["session_id", "event_id", "which", "t_us", "y", "kind", "rank"]]
+            marks = [m for m in marks if m[2] >= max_vt - retention]         # strict <: exactly `retention` stays
+        out += [(key[0], m[1], m[0], m[2], float("nan"), "event", None) for m in marks]
+        state.update((*(list(c) for c in list(zip(*kept)) or [()] * 4), *(list(c) for c in list(zip(*marks)) or [()] * 3), max_vt))
+        if out:
+            cols = dict(zip(names, map(list, zip(*out))))
+            cols["rank"] = pd.array(cols["rank"], "Int64")
+            yield pd.DataFrame(cols)
 
     return fn
 

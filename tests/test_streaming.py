@@ -1,12 +1,15 @@
 """Streams: rows out of order and late, sinks that hold each batch once, tails per trigger, no reserved keys."""
 
+import sys
+
+import pandas as pd
 import pytest
 from conftest import ev_rows
 from pyspark.sql import functions as F
 
 from parley.operators import segments, telemetry, text, turns
 from parley.params import DEFAULT, EVENTS, HOUR_US
-from parley.streaming import twins
+from parley.streaming import ordered, twins
 from parley.streaming.runner import Progress
 from parley.streaming.sinks import BatchSink, UpsertSink
 from parley.session import state_path
@@ -89,6 +92,43 @@ def test_tail_after_every_slice(spark):
     assert rows(last, *cols) == seen[-1]
 
 
+class Held:
+    """State of one key as the function sees it."""
+
+    exists, get = False, None
+
+    def update(self, s):
+        self.exists, self.get = True, s
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        pass
+
+
+def test_keys_without_rows_give_no_frame_and_tails_are_cheap():
+    """What a key costs in a micro-batch: no frame where the rule gives nothing, and no tables of its own for a tail."""
+    run, state = ordered.reordered(ordered.Segments(), True), Held()
+    edge = lambda t, kind: iter([pd.DataFrame({"t_us": [t], "event_id": [t], "kind": [kind]})])
+    assert list(run((1, "user"), edge(5, "start"), state)) == []
+    (got,) = run((1, "user"), edge(9, "end"), state)
+    assert got.to_dict("records") == [dict(session_id=1, party="user", start_event_id=5, end_event_id=9, start_us=5, end_us=9)]
+    tail, state, calls = twins._tail_fn(2, 10), Held(), []
+    rows_of = lambda *r: iter([pd.DataFrame(r, columns=["kind", "which", "event_id", "t_us", "y"])])
+    sys.setprofile(lambda frame, what, arg: calls.append(what))
+    out = list(tail((7,), rows_of(("value", "b", 1, 3, .5), ("value", "a", 2, 4, .25), ("value", "b", 3, 3, 1.0), ("value", "b", 4, 1, 0.0), ("event", "e", 5, 0, None)), state))
+    sys.setprofile(None)
+    assert [tuple(r)[1:4] + tuple(r)[5:] for r in out[0].astype(object).where(out[0].notna(), None).values] == [
+        (2, "a", 4, "value", 1), (3, "b", 3, "value", 1), (1, "b", 3, "value", 2), (5, "e", 0, "event", None)]
+    (out,) = tail((7,), rows_of(("value", "a", 6, 11, .0)), state)
+    assert out["event_id"].tolist() == [6, 2, 3, 1] and state.get[6] == [] and state.get[7] == 11
+    assert len(calls) < 8000, len(calls)
+
+
 def test_each_batch_once(spark):
     s = BatchSink(spark, state_path(spark, "test-sink-once"))
     a, b = spark.range(3), spark.range(10, 12)
