@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from parley.llm.common import materialize
+from parley.llm.common import materialize, small_table
 
 OUT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
@@ -67,7 +67,8 @@ def _range_id(bounds: np.ndarray, heavy: np.ndarray):
         own = (left < right) & heavy[np.minimum(left, len(bounds) - 1)]
         return pd.Series(np.where(own, 2 * left + 1, 2 * right).astype(np.int32))
 
-    return f
+    # joins and filters on the range must not copy the call below the projection: each copy is a Python worker more in a task
+    return f.asNondeterministic()
 
 
 def _with_ranges(keyed: DataFrame, range_of, cuts: list[tuple[int, int]], cut_keys: list[int]) -> DataFrame:
@@ -77,8 +78,8 @@ def _with_ranges(keyed: DataFrame, range_of, cuts: list[tuple[int, int]], cut_ke
     if not cuts:
         return df.withColumn("_sh_sub", F.lit(0))
     spark = keyed.sparkSession
-    parts = spark.createDataFrame(cuts, "_sh_range int, _sh_parts int")
-    by_row = spark.createDataFrame([(k, True) for k in cut_keys], "_sh_key long, _sh_cut boolean")
+    parts = small_table(spark, cuts, "_sh_range int, _sh_parts int")
+    by_row = small_table(spark, [(k, True) for k in cut_keys], "_sh_key long, _sh_cut boolean")
     # at most n_shards / keep_share rows
     df = df.join(F.broadcast(by_row), "_sh_key", "left")
     by = F.when(F.col("_sh_cut"), F.col("_sh_tie")).otherwise(F.col("_sh_key"))
@@ -90,7 +91,7 @@ def _with_ranges(keyed: DataFrame, range_of, cuts: list[tuple[int, int]], cut_ke
 def _positions(df: DataFrame, p: Sharding, total: int, starts: list[tuple]) -> DataFrame:
     """Adds the shard. ``starts``: (range, sub, bytes before it), one row for each range."""
     spark = df.sparkSession
-    at = spark.createDataFrame(starts, "_sh_range int, _sh_sub int, _sh_from long")
+    at = small_table(spark, starts, "_sh_range int, _sh_sub int, _sh_from long")
     inside = Window.partitionBy("_sh_range", "_sh_sub")
     order = ["_sh_key", "doc_id", "_sh_tie"]
     upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +150,7 @@ def shard_records(docs: DataFrame, p: Sharding = Sharding()) -> DataFrame:
         slots.append((r, s, k, seen.get(k, 0)))
         seen[k] = seen.get(k, 0) + n
     spark = docs.sparkSession
-    slot_at = F.broadcast(spark.createDataFrame(slots, "_sh_range int, _sh_sub int, shard int, _sh_slot long"))
+    slot_at = F.broadcast(small_table(spark, slots, "_sh_range int, _sh_sub int, shard int, _sh_slot long"))
 
     out = _positions(_with_ranges(_keyed(docs), range_of, overfull, cut_keys), p, total, starts)
     here = Window.partitionBy("_sh_range", "_sh_sub", "shard").orderBy("_sh_key", "doc_id", "_sh_tie")

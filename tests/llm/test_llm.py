@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, jaccard, langid, linededup, mixing, search, secrets, sharding, toxicity, warc
-from parley.llm.common import id_hash, scratch_path, smallest_hashes
+from parley.llm.common import id_hash, scratch_path, small_table, smallest_hashes
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -445,6 +445,24 @@ def test_sharding(spark, empty):
     assert sharding.shard_records(empty).count() == 0
 
 
+def test_sharding_and_samples_hold_one_python_worker_a_task(spark):
+    """Peak memory of the pipeline: no second copy of the range's call, no RDD of Python rows."""
+    df = docs_of(spark, [(k, f"text {k}", "en", "s") for k in range(300)])
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    table = spark.read.schema(DOCS).parquet(write_docs(spark, df))
+    assert plan(sharding.shard_records(table)).count("ArrowEvalPython") == 1
+    for d in (sharding.shard_records(table), smallest_hashes(table, "lang", [("en", 300), (None, 2)], 5, 1)):
+        assert "LogicalRDD" not in plan(d)
+    assert [tuple(r) for r in small_table(spark, [("a", 1, True), (None, 2, None)], "x string, y int, z boolean").collect()] == [("a", 1, True), (None, 2, None)]
+    assert small_table(spark, [], "x string, y int").dtypes == [("x", "string"), ("y", "int")] and small_table(spark, [], "x long").count() == 0
+
+
+def write_docs(spark, df):
+    path = scratch_path(spark, "docs")
+    df.write.parquet(path)
+    return path
+
+
 def test_sharding_keeps_copies_together(spark):
     # groups of four copies a little larger than a range: few draws make many ranges overfull
     rows = [(4 * g + c, f"{g:05d}" + "x" * 95, "", "s") for g in range(2100) for c in range(4)]
