@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, jaccard, langid, linededup, mixing, search, secrets, sharding, toxicity, warc
-from parley.llm.common import id_hash, scratch_path, small_table, smallest_hashes
+from parley.llm.common import id_hash, learnable, scratch_path, small_table, smallest_hashes
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -313,6 +313,41 @@ def test_toxicity(spark, empty):
     assert abs(model.logits([long], piece_words=100)[0] - model.logits([long])[0]) < 1e-4
 
 
+def test_toxicity_learns_from_every_row(spark, empty):
+    """No sample: all learnable rows that aren't spare train in each epoch, and a word of few rows counts."""
+    rare = [k for k in range(7000) if zlib.crc32(str(k).encode()) % 3 != 1][::300]
+    rows = [(k, "house river " + ("garstig" if k in rare else "vilest" if k % 7 == 0 else "walks"), "en", "s") for k in range(7000)]
+    labels = spark.createDataFrame([(k, int("vilest" in t or "garstig" in t)) for k, t, _, _ in rows], "doc_id long, toxic int")
+    p = toxicity.Toxicity(buckets=1 << 10, epochs=2, block_rows=1000, chunk_rows=100)
+    docs, seen = docs_of(spark, rows), []
+    marked = labels.where(learnable(F.col("doc_id")))
+    parts = toxicity.examples(docs, marked, marked.count(), p).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.doc_id for r in parts) == sorted(r.doc_id for r in marked.collect())
+    few = toxicity._likely_marked(docs, marked.where("doc_id < 900"), 600, p).select("doc_id").collect()
+    assert {r.doc_id for r in few} >= {r.doc_id for r in parts if r.doc_id < 900} and len(few) < 1500
+    assert len({(r.block, r.task) for r in parts}) == 5 and 0.2 < np.mean([r.spare for r in parts]) < 0.3
+    trained = toxicity._next
+    try:
+        toxicity._next = lambda model, copies: (seen.append(copies.where("part = -1").agg(F.sum("n"), F.count("*")).first()), trained(model, copies))
+        model = toxicity.fit(docs, labels, p)
+    finally:
+        toxicity._next = trained
+    assert seen == [(sum(not r.spare for r in parts), 5)] * 2
+    assert min(model.scores([b"house river vilest", b"house river garstig"])) > 0.7 > max(model.scores([b"house river walks", b"", b"unseen"]))
+
+
+def test_toxicity_cut_by_cells():
+    rnd = np.random.default_rng(3)
+    logit, toxic = rnd.normal(size=400), rnd.integers(0, 2, 400)
+    logit[toxic == 1] += 2
+    order = np.argsort(logit)
+    s, t = logit[order], toxic[order]
+    cut = toxicity.best_cut(s, s, t, 1 - t)
+    right = lambda c: np.mean(logit[toxic == 0] < c) - np.mean(logit[toxic == 1] < c)
+    assert abs(right(cut) - max(map(right, (s[1:] + s[:-1]) / 2))) < 1e-5
+    assert toxicity.best_cut(s[:1], s[:1], t[:1], 1 - t[:1]) == s[0]
+
+
 def test_language(spark, empty):
     rows, _ = labelled()
     model = langid.fit(docs_of(spark, rows))
