@@ -83,13 +83,16 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, cap:
     # at lo everybody has all that cap allows, at hi nobody has a seat
     bounds = (parties.groupBy(*group).agg((F.min(F.when(positive, F.col(votes) / (2.0 * F.col(cap) + 1))) * (1 - EPS)).alias("_lo"),
                                           (F.max(F.when(positive, F.col(votes))) * (1 + 1e-6)).alias("_hi"), F.max(seats).alias("_seats")).select(*to, "_lo", "_hi", "_seats"))
+    # probes are a column of the bounds and the seats at them one of the rows: spelled out in every sum they made plans of which the driver's memory was full
+    at = lambda i: F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), i / (PROBES + 1))
     for _ in range(ROUNDS):
-        probe = lambda i: F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), F.lit(i / (PROBES + 1)))
-        counts = (parties.join(bounds, same).groupBy(*[f"_to_{c}" for c in group], "_lo", "_hi", "_seats")
-                         .agg(F.array(*[F.sum(won(probe(i))) for i in range(1, PROBES + 1)]).alias("_n")))
-        enough = F.size(F.filter("_n", lambda n: n >= F.col("_seats")))   # counts fall as probes rise
-        at = lambda i: F.when(i <= 0, F.col("_lo")).when(i > PROBES, F.col("_hi")).otherwise(F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), i / (PROBES + 1)))
-        bounds = counts.select(*[f"_to_{c}" for c in group], at(enough).alias("_lo"), at(enough + 1).alias("_hi"), "_seats")
+        probes = bounds.withColumn("_probe", F.transform(F.sequence(F.lit(1), F.lit(PROBES)), at))
+        counts = (parties.join(probes, same).withColumn("_won", F.transform("_probe", won))
+                         .groupBy(*[f"_to_{c}" for c in group], "_lo", "_hi", "_seats")
+                         .agg(F.array(*[F.sum(F.col("_won")[i]) for i in range(PROBES)]).alias("_n")))
+        counts = counts.withColumn("_at", F.size(F.filter("_n", lambda n: n >= F.col("_seats"))))   # counts fall as probes rise
+        bounds = counts.select(*[f"_to_{c}" for c in group], F.when(F.col("_at") <= 0, F.col("_lo")).otherwise(at(F.col("_at"))).alias("_lo"),
+                               F.when(F.col("_at") >= PROBES, F.col("_hi")).otherwise(at(F.col("_at") + 1)).alias("_hi"), "_seats")
     a = parties.join(bounds, same, "left").withColumns({
         "_first": F.coalesce(won(F.col("_hi") * (1 + EPS)), F.lit(0)), "_upto": F.coalesce(won(F.col("_lo") * (1 - EPS)), F.lit(0))})
     a = materialize(a.drop("_lo", "_hi", "_seats", *[f"_to_{c}" for c in group]), "mix-bounds")

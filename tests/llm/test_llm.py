@@ -457,6 +457,19 @@ def test_seats_are_those_of_the_loop(spark, monkeypatch, rounds):
     assert got == {(g, i): x for g, (votes, caps, n) in enumerate(groups) for i, x in enumerate(sainte_lague(votes, caps, n))}
 
 
+def test_plans_of_seats_hold_their_probes_once(spark, monkeypatch):
+    plans, write = {}, mixing.materialize
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(mixing, "materialize", noted)
+    df = spark.createDataFrame([(0, i, float(i), 9, 40) for i in range(30)], "g int, i int, votes double, cap long, seats long")
+    assert mixing.apportion(df, ["g"], "votes", "seats", "cap", "i", "won").agg(F.sum("won")).first()[0] == 40
+    assert 0 < plans["mix-bounds"].lower().count("pow") <= 4 * mixing.ROUNDS   # spelled out in the sums they were two for each probe
+
+
 def test_mixing_of_tiny_sources(spark):
     rows = [(1, "w " * 20_000, "", "a"), (2, "x " * 15, "", "b"), (3, "y", "", "c"), (4, "", "", "d"), (5, "z " * 7, "", "e")]
     got = mixing.mix_sources(docs_of(spark, rows).withColumn("taken", F.lit("clash"))).collect()
