@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import bounded_batches, materialize
+from parley.llm.common import bounded_batches, materialize, materialize_with
 
 
 @dataclass(frozen=True)
@@ -273,16 +273,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(ent, label): each linked set with the smallest key it can reach. Neighbours' minima and
     label jumps alternate until nothing changes; all state stays in tables."""
-    edges = materialize(links.union(links.select("b", "a")).toDF("ent", "other").distinct(), "jaccard-edges")
+    # both directions of a link from one pass, so that what finds the links runs once without a table of them
+    one = lambda x, y: F.struct(F.col(x).alias("ent"), F.col(y).alias("other"))
+    edges = materialize(links.select(F.explode(F.array(one("a", "b"), one("b", "a"))).alias("l")).select("l.ent", "l.other").distinct(), "jaccard-edges")
     labels = materialize(edges.groupBy("ent").agg(F.least("ent", F.min("other")).alias("label")), "jaccard-labels")
     while True:
         near = edges.join(labels.select(F.col("ent").alias("other"), "label"), "other").groupBy("ent").agg(F.min("label").alias("near"))
         step = labels.join(near, "ent").select("ent", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("ent").alias("label"), F.col("label").alias("far"))
-        new = materialize(step.join(jump, "label", "left").select("ent", F.least("label", "far").alias("label"), "was"), "jaccard-labels")
-        changed = new.where("label <> was").limit(1).count()
+        new, seen = materialize_with(step.join(jump, "label", "left").select("ent", F.least("label", "far").alias("label"), "was"), "jaccard-labels",
+                                     changed=F.count_if(F.col("label") != F.col("was")))
         labels = new.select("ent", "label")
-        if not changed:
+        if not seen.get("changed"):
             return labels
 
 
@@ -301,7 +303,7 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
 
     # groups: identical prefix and size; each member against the leader
     group = F.xxhash64("n", "prefix")
-    grouped = materialize(sets.select("ent", "n", "alone", "prefix", group.alias("gid")), "jaccard-groups")
+    grouped = sets.select("ent", "n", "alone", "prefix", group.alias("gid"))
     leaders = grouped.groupBy("gid").agg(F.min("ent").alias("a"), F.count("*").alias("size")).where("size > 1")
     first = _verify(grouped.join(leaders, "gid").where("ent <> a").select("a", F.col("ent").alias("b")), sets, p.percent)
     first = materialize(first, "jaccard-links")
@@ -314,8 +316,8 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
     entry = materialize(entry, "jaccard-entries")
     buckets = entry.groupBy("token").agg(F.sum("weight").alias("sets"), F.count("*").alias("units")).where("units > 1")
     buckets = materialize(buckets, "jaccard-buckets")
-    small = materialize(entry.join(buckets.where(F.col("sets") <= p.bucket).select("token"), "token"), "jaccard-small")
-    large = materialize(entry.join(buckets.where(F.col("sets") > p.bucket).select("token"), "token"), "jaccard-large")
+    told, seen = materialize_with(entry.join(buckets.select("token", (F.col("sets") > p.bucket).alias("large")), "token"), "jaccard-bucketed", large=F.count_if("large"))
+    small, large, n_large = told.where("not large").drop("large"), told.where("large").drop("large"), seen.get("large") or 0
 
     def fits(x: str, y: str) -> Column:
         """Sizes within the threshold, and enough shingles from the common one on: a linked pair passes
@@ -331,16 +333,15 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
 
     near = expanded(small.alias("x").join(small.alias("y"), F.col("x.token") == F.col("y.token"))
                     .where((F.col("x.unit") < F.col("y.unit")) & fits("x", "y")).select(F.col("x.unit").alias("u"), F.col("y.unit").alias("v")))
-    links = materialize(first.union(_verify(near, sets, p.percent)), "jaccard-links")
+    links = first.union(_verify(near, sets, p.percent))
     labels = materialize(grouped.select("ent").join(components(links), "ent", "left").select("ent", F.coalesce("label", "ent").alias("label")), "jaccard-labels")
-    n_large = large.count()
     if not n_large:
         return labels
 
     def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
         """Labels after new links; of links between the same two components one is as good as all."""
         of = lambda x: labels.select(F.col("ent").alias(x), F.col("label").alias(f"l_{x}"))
-        between = materialize(found.join(of("a"), "a").join(of("b"), "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct(), "jaccard-merges")
+        between = found.join(of("a"), "a").join(of("b"), "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct()
         to = components(between).select(F.col("ent").alias("label"), F.col("label").alias("to"))
         return materialize(labels.join(to, "label", "left").select("ent", F.coalesce("to", "label").alias("label")), "jaccard-labels")
 
@@ -356,9 +357,10 @@ def linked_sets(docs: DataFrame, members: DataFrame, p: Join = Join()) -> DataFr
         main = materialize(by_label.groupBy("token", "w").agg(F.max(F.struct("k", "label", "leaders")).alias("m"), F.sum("k").alias("all"), F.sum("k_low").alias("low"))
                            .where("low > 0").select("token", "w", "all", "low", "m.leaders", F.col("m.label").alias("main")), "jaccard-main")
         # of two units of different components at least one is outside the window's largest
-        stray = materialize(wide.join(main, ["token", "w"]).where("label <> main")
-                            .withColumn("meets", F.when(F.col("class") == F.col("w"), F.col("all")).otherwise(F.col("low"))), "jaccard-strays")
-        left = stray.agg(F.sum("meets")).first()[0] or 0
+        stray, seen = materialize_with(wide.join(main, ["token", "w"]).where("label <> main")
+                                       .withColumn("meets", F.when(F.col("class") == F.col("w"), F.col("all")).otherwise(F.col("low"))),
+                                       "jaccard-strays", left=F.sum("meets"))
+        left = seen.get("left") or 0
         if left <= p.listed * n_large or left > 0.9 * before:   # few pairs are left, or leaders no longer help
             break
         before, r = left, r + 1

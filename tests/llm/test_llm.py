@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, jaccard, langid, linededup, mixing, search, secrets, sharding, toxicity, warc
+from parley.llm import common, decontaminate, jaccard, langid, linededup, mixing, search, secrets, sharding, toxicity, warc
 from parley.llm.common import id_hash, learnable, scratch_path, small_table, smallest_hashes
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -272,6 +272,24 @@ def test_jaccard_only_link_across_size_classes(spark):
     assert got == brute_components(rows) and str((21, 132, 0)) in got
 
 
+def test_jaccard_writes_few_tables(spark):
+    """Each table is a plan, threads and classes that stay in the driver's memory."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join("w" + str(rnd.randint(0, 10_000)) for _ in range(n))
+    rows = [(k, x, "", "") for k, x in enumerate(t + end for t in [text(40) for _ in range(10)] for end in ("", " a b"))]
+    before = len(common._written)
+    found = jaccard.near_duplicates(docs_of(spark, rows))
+    assert len(common._written) - before <= 11   # 14 before
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in found.collect()) == brute_components(rows)
+
+
+def test_figures_of_a_written_table(spark):
+    some, seen = common.materialize_with(spark.range(10), "figures", odd=F.count_if(F.expr("id % 2 = 1")), all=F.sum("id"))
+    assert (seen, some.count()) == ({"odd": 5, "all": 45}, 10)
+    none, seen = common.materialize_with(spark.range(10).where("id < 0"), "figures", odd=F.count_if(F.expr("id % 2 = 1")))
+    assert not seen.get("odd") and none.count() == 0
+
+
 def test_jaccard_keeps_one(spark, empty):
     rows = edge_rows() + [(9, "Same Text", "", ""), (8, "same\ttext", "", "")]
     df = docs_of(spark, rows)
