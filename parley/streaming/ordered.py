@@ -1,17 +1,22 @@
 """Order-dependent rules over streams whose rows come late and out of order.
 
-A rule sees the rows of a key in event order. Rows newer than the watermark wait in a reorder buffer in the key's state and
+A rule sees the rows of a key in event order. Rows newer than the watermark wait in a reorder buffer in the state and
 are released, sorted, when the watermark passes them; older rows can no longer come (Spark drops and counts them).
-With a delay of zero the input is taken to be in order, and rows are released at once. The timer of a key is the
-earliest of its waiting rows and the rule's own pending work.
+With a delay of zero the input is taken to be in order, and rows are released at once.
+
+Keys are dealt to ``BUCKETS`` groups by hash, since what Spark and pandas do for a group costs far more than a rule does for its rows. A
+group's state is two packed tables, the rows that wait and the state of its keys, and a rule takes all its keys in one
+step. The timer of a group is the earliest of its waiting rows and its keys' own pending work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.segments import AGENT_END, AGENT_START, USER_END
@@ -22,144 +27,225 @@ END_US = 4_000_000_000_000_000   # "when the stream ends": only a sentinel moves
 # Event time is shifted on, since Spark's watermark starts at 1970 and takes what is not after it as late; with this, times from 1939 on may come.
 SHIFT_US = 1_000_000_000_000_000
 SENTINEL = "_sentinel"
-BUFFER = "b_t array<long>, b_id array<long>, b_kind array<string>"
+BUCKETS = 256           # a slice of the runner has some 5 million rows, so a group has some 20,000 of them
+NULLS = "_nulls"        # bit k: the k-th key is null (it travels as 0: pandas makes nullable numbers floats, which lose digits)
+
+
+def bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def pack(table: pd.DataFrame) -> bytes | None:
+    if not len(table):
+        return None
+    batch, out = pa.RecordBatch.from_pandas(table, preserve_index=False, nthreads=1), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(body: bytes | None) -> list[pd.DataFrame]:
+    return [] if body is None else [pa.ipc.open_stream(body).read_pandas()]
+
+
+def stacked(tables: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    some = [t[columns] for t in tables if len(t)]
+    return pd.concat(some, ignore_index=True) if some else pd.DataFrame(columns=columns)
 
-Row = tuple[int | None, int, str]
+
+def groups(keys: pd.DataFrame) -> np.ndarray:
+    """A number for each row that equal keys share, nulls among them."""
+    return keys.groupby(list(keys.columns), dropna=False, sort=False).ngroup().to_numpy()
 
 
 class Rule:
-    """State of one key as a list of plain values, and what rows and timers do to it."""
+    """What the released rows of many keys do to their states. ``step`` gets the rows' key numbers, times, ids and kinds in
+    event order, key by key, and the state as columns, one entry a key (rising key numbers ``g``); ``mark`` is the watermark. It gives
+    the output's columns, ``g`` first, and the new state. In a state, the time ``NEVER`` stands for nothing."""
 
-    state: str            # its columns
-    out: list[str]
-    empty: list
+    keys: list[str]
+    state: list[str]      # its columns, whole numbers
+    out: list[str]        # without the keys
+    kinds: dict[str, int]
 
-    def feed(self, key: tuple, s: list, row: Row) -> list[tuple]:
+    def step(self, g, t, ids, kind, s: dict[str, np.ndarray], mark: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         raise NotImplementedError
 
-    def due(self, s: list) -> int | None:
-        """Event time at which pending work is done if nothing else comes."""
-        return None
+    def due(self, s: dict[str, np.ndarray]) -> np.ndarray:
+        """Event times at which pending work is done if nothing else comes; ``NEVER`` without such work."""
+        return np.full(len(s["g"]), NEVER)
+
+
+NEVER = np.iinfo(np.int64).max
+
 
-    def fire(self, key: tuple, s: list) -> list[tuple]:
-        return []
+def _lasts(g: np.ndarray) -> np.ndarray:
+    """Which entries are the last of their key."""
+    return np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool)
+
+
+def _newest(s: dict[str, np.ndarray], new: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The states with those of the keys in ``new`` replaced."""
+    stay = ~np.isin(s["g"], new["g"])
+    both = {c: np.concatenate([s[c][stay], new[c]]) for c in new}
+    order = np.argsort(both["g"], kind="stable")
+    return {c: v[order] for c, v in both.items()}
 
 
 class Segments(Rule):
     """The last edge; an END after a START gives a segment."""
 
-    state, empty = "edge string, t long, id long", [None, None, None]
-    out = ["session_id", "party", "start_event_id", "end_event_id", "start_us", "end_us"]
+    keys, state, kinds = ["session_id", "party"], ["kind", "t", "id"], {"start": 1, "end": 2}
+    out = ["start_event_id", "end_event_id", "start_us", "end_us"]
 
-    def feed(self, key, s, row):
-        t, i, edge = row
-        got = [(*key, s[2], i, s[1], t)] if edge == "end" and s[0] == "start" else []
-        s[:] = [edge, t, i]
-        return got
+    def step(self, g, t, ids, kind, s, mark):
+        rows = {"g": g, "kind": kind, "t": t, "id": ids}
+        all_ = {c: np.concatenate([s[c], rows[c]]) for c in rows}          # a key's state is the edge before its rows
+        order = np.argsort(all_["g"], kind="stable")
+        all_ = {c: v[order] for c, v in all_.items()}
+        last = _lasts(all_["g"])
+        end = np.flatnonzero(~last[:-1] & (all_["kind"][:-1] == 1) & (all_["kind"][1:] == 2)) + 1
+        got = {"g": all_["g"][end], "start_event_id": all_["id"][end - 1], "end_event_id": all_["id"][end],
+               "start_us": all_["t"][end - 1], "end_us": all_["t"][end]}
+        return got, {c: v[last] for c, v in all_.items()}
 
 
 class Debounce(Rule):
     """The pending END; any START or END up to its time plus the delay cancels it."""
 
-    state, empty = "id long, t long", [None, None]
-    out = ["session_id", "end_event_id", "end_us", "fire_us"]
+    keys, state, kinds = ["session_id"], ["t", "id"], {USER_END: 1}
+    out = ["end_event_id", "end_us", "fire_us"]
 
     def __init__(self, delay_us: int):
         self.delay = delay_us
 
-    def feed(self, key, s, row):
-        t, i, kind = row
-        got = self.fire(key, s) if s[1] is not None and t > s[1] + self.delay else []
-        s[:] = [i, t] if kind == USER_END else [None, None]
-        return got
+    def step(self, g, t, ids, kind, s, mark):
+        all_ = {c: np.concatenate(v) for c, v in {"g": (s["g"], g), "t": (s["t"], t), "id": (s["id"], ids),
+                                                  "kind": (np.ones(len(s["g"]), np.int64), kind)}.items()}
+        order = np.argsort(all_["g"], kind="stable")
+        all_ = {c: v[order] for c, v in all_.items()}
+        last, ended = _lasts(all_["g"]), all_["kind"] == 1
+        until = np.append(all_["t"][1:], 0)                                # of the next row, or the watermark
+        fire = ended & np.where(last, all_["t"] + self.delay <= mark, until > all_["t"] + self.delay)
+        got = {"g": all_["g"][fire], "end_event_id": all_["id"][fire], "end_us": all_["t"][fire], "fire_us": all_["t"][fire] + self.delay}
+        wait = last & ended & ~fire
+        return got, {c: all_[c][wait] for c in ("g", "t", "id")}
 
     def due(self, s):
-        return None if s[1] is None else s[1] + self.delay
-
-    def fire(self, key, s):
-        got = [(key[0], s[0], s[1], s[1] + self.delay)]
-        s[:] = [None, None]
-        return got
+        return s["t"] + self.delay
 
 
 class AgentState(Rule):
-    """The newest request, not yet known to be kept, and the last kept state, waiting for its end."""
+    """The newest request (``c``), not yet known to be kept, and the last kept state (``o``), waiting for its end."""
 
-    state = "seen boolean, c_state string, c_t long, c_id long, c_eff long, o_state string, o_t long, o_id long, o_eff long, last long"
-    empty = [False] + [None] * 9
-    out = ["session_id", "event_id", "state", "t_us", "eff_us", "end_us"]
+    keys, kinds = ["session_id"], {USER_END: 1, AGENT_START: 2, AGENT_END: 3}
+    state = ["c_state", "c_t", "c_id", "c_eff", "o_state", "o_t", "o_id", "o_eff", "last"]
+    out = ["event_id", "state", "t_us", "eff_us", "end_us"]
+    names = np.array(["initializing", "thinking", "speaking", "listening"], object)
 
     def __init__(self, p: Params, gap_us: int | None):
-        self.names = {USER_END: ("thinking", p.us(p.thinking_delay)), AGENT_START: ("speaking", 0), AGENT_END: ("listening", 0)}
+        self.delays = np.array([0, p.us(p.thinking_delay), 0, 0], np.int64)
         self.gap = gap_us
 
-    @staticmethod
-    def _promote(key, s):
-        """The newest request is kept; it ends the kept state before it."""
-        got = [(key[0], s[7], s[5], s[6], s[8], s[4])] if s[5] is not None else []
-        s[5:9], s[1:5] = s[1:5], [None] * 4
-        return got
-
-    def feed(self, key, s, row):
-        t, i, kind = row
-        got, asked = [], []
-        if not s[0]:
-            asked.append(("initializing", -1, 0))
-            s[0] = True
-        if kind in self.names:
-            asked.append((self.names[kind][0], i, self.names[kind][1]))
-        for state, ident, delay in asked:
-            if s[1] is not None and t >= s[4]:
-                got += self._promote(key, s)
-            s[1:5] = [state, t, ident, t + delay]
-        s[9] = t
-        return got
+    def step(self, g, t, ids, kind, s, mark):
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]) & ~np.isin(g, s["g"])) if len(g) else np.zeros(0, int)
+        asked = np.flatnonzero(kind > 0)
+        was = s["o_t"] != NEVER
+        parts = [                                                          # g, state, t, id, eff
+            tuple(s[c][was] for c in ("g", "o_state", "o_t", "o_id", "o_eff")),
+            tuple(s[c] for c in ("g", "c_state", "c_t", "c_id", "c_eff")),
+            (g[first], np.zeros(len(first), np.int64), t[first], np.full(len(first), -1), t[first]),
+            (g[asked], kind[asked], t[asked], ids[asked], t[asked] + self.delays[kind[asked]])]
+        rg, rstate, rt, rid, reff = (np.concatenate(c).astype(np.int64) for c in zip(*parts))
+        kept = np.arange(len(rg)) < was.sum()
+        order = np.argsort(rg, kind="stable")                              # within a key: kept one, request, rows
+        rg, rstate, rt, rid, reff, kept = (c[order] for c in (rg, rstate, rt, rid, reff, kept))
+        last = _lasts(rg)
+        kept[:-1] |= ~last[:-1] & (rt[1:] >= reff[:-1])
+        keys = rg[last]
+        seen = np.full(len(keys), 0, np.int64)                             # time of a key's last row
+        seen[np.searchsorted(keys, s["g"])] = s["last"]
+        if len(g):
+            seen[np.searchsorted(keys, g[_lasts(g)])] = t[_lasts(g)]
+        over = self._over(seen) <= mark
+        gone = over[np.searchsorted(keys, rg)]
+        kept |= last & gone                                                # nothing comes after the newest request: it is kept
+        k = np.flatnonzero(kept)
+        kept_last = _lasts(rg[k])
+        emit = ~kept_last | gone[k]
+        end = np.append(reff[k][1:], 0)
+        got = {"g": rg[k][emit], "event_id": rid[k][emit], "state": self.names[rstate[k][emit]], "t_us": rt[k][emit], "eff_us": reff[k][emit],
+               "end_us": pd.array(np.where(kept_last, 0, end)[emit], "Int64")}
+        got["end_us"][kept_last[emit]] = pd.NA
+        c, o = np.flatnonzero(last & ~gone), k[kept_last & ~gone[k]]
+        new = {"g": rg[c], "c_state": rstate[c], "c_t": rt[c], "c_id": rid[c], "c_eff": reff[c], "last": seen[~over]}
+        at = np.searchsorted(new["g"], rg[o])
+        for name, v in (("o_state", rstate), ("o_t", rt), ("o_id", rid), ("o_eff", reff)):
+            new[name] = np.full(len(c), NEVER if name == "o_t" else 0)
+            new[name][at] = v[o]
+        return got, new
+
+    def _over(self, last: np.ndarray) -> np.ndarray:
+        return np.full(len(last), END_US) if self.gap is None else last + self.gap
 
     def due(self, s):
-        if not s[0]:
-            return None
-        return END_US if self.gap is None else s[9] + self.gap
-
-    def fire(self, key, s):
-        got = self._promote(key, s) if s[1] is not None else []
-        if s[5] is not None:
-            got.append((key[0], s[7], s[5], s[6], s[8], None))
-        s[:] = list(self.empty)
-        return got
+        return self._over(s["last"])
 
 
 def reordered(rule: Rule, in_order: bool) -> Callable:
-    """The function of ``applyInPandasWithState`` that runs ``rule`` behind a reorder buffer."""
-    def run(key, frames, state):
-        s = list(state.get) if state.exists else [[], [], [], *rule.empty]
-        rows: list[Row] = list(zip(s[0], s[1], s[2]))
+    """The function of ``applyInPandasWithState`` that runs ``rule`` behind a reorder buffer, for a bucket of keys (columns of the
+    frames) or for the one key that the group is."""
+    keys = [*rule.keys, NULLS]
+    cols = [*keys, "t_us", "event_id", "kind"]
+
+    def run(key, frames, state) -> Iterator[pd.DataFrame]:
+        fresh = []
         for pdf in frames:
-            times, ids, kinds = pdf["t_us"], pdf["event_id"].tolist(), pdf["kind"].tolist()
-            times = times.tolist() if times.dtype.kind == "i" else [None if pd.isna(t) else int(t) for t in times]
-            rows += zip(times, map(int, ids), kinds)
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            if len(pdf):
+                fresh.append(pdf if NULLS in pdf else pdf.assign(**dict(zip(rule.keys, key)), **{NULLS: 0}))
+                fresh[-1] = fresh[-1][fresh[-1]["t_us"].notna()].astype({"t_us": "int64", "event_id": "int64"})
+                fresh[-1]["kind"] = fresh[-1]["kind"].map(rule.kinds).fillna(0).astype("int64")
+        held = state.get if state.exists else (None, None)
+        rows, states = stacked([*unpack(held[0]), *fresh], cols), stacked(unpack(held[1]), [*keys, *rule.state])
         mark_ms = state.getCurrentWatermarkMs()
         mark = mark_ms * 1000 - SHIFT_US
-        n = len(rows) if in_order else sum(r[0] is None or r[0] <= mark for r in rows)
-        inner, got = s[3:], []
-        for row in rows[:n]:
-            if row[0] is not None:
-                got += rule.feed(key, inner, row)
-        wait = rows[n:]
-        due = rule.due(inner)
-        if due is not None and due <= mark:
-            got += rule.fire(key, inner)
-            due = rule.due(inner)
-        timers = [x for x in (due, wait[0][0] if wait else None) if x is not None]
-        if inner == rule.empty and not wait:
+        ready = np.full(len(rows), True) if in_order else rows["t_us"].to_numpy() <= mark
+        rows, wait = rows[ready], rows[~ready]
+        number = groups(pd.concat([x[keys] for x in (rows, states) if len(x)], ignore_index=True)) if len(rows) + len(states) else np.zeros(0, int)
+        g, sg = number[:len(rows)], number[len(rows):]
+        named = np.full(number.max(initial=-1) + 1, 0)                     # a place in both tables for each number
+        named[number] = np.arange(len(number))
+        t, ids, kind = (rows[c].to_numpy(np.int64) for c in ("t_us", "event_id", "kind"))
+        order = np.lexsort((ids, t, g))
+        by_key = np.argsort(sg)
+        old = {"g": sg[by_key], **{c: states[c].to_numpy(np.int64)[by_key] for c in rule.state}}
+        got, new = rule.step(g[order], t[order], ids[order], kind[order], old, mark)
+
+        def of(g: np.ndarray) -> dict[str, np.ndarray]:
+            at = named[g]
+            a, b = at < len(rows), at >= len(rows)
+            out = {}
+            for c in keys:
+                x, y = rows[c].to_numpy(), states[c].to_numpy()
+                out[c] = v = np.empty(len(g), x.dtype if a.any() else y.dtype)
+                v[a], v[b] = x[at[a]], y[at[b] - len(rows)]
+            return out
+
+        timers = [wait["t_us"].min()] if len(wait) else []
+        if len(new["g"]) and (due := int(rule.due(new).min())) != NEVER:
+            timers.append(due)
+        if not len(wait) and not len(new["g"]):
             if state.exists:
                 state.remove()
         else:
-            state.update(([r[0] for r in wait], [r[1] for r in wait], [r[2] for r in wait], *inner))
+            state.update((pack(wait), pack(pd.DataFrame({**of(new["g"]), **{c: new[c] for c in rule.state}}))))
             if timers:
-                state.setTimeoutTimestamp(max((min(timers) + SHIFT_US) // 1000 + 1, mark_ms + 1))
-        if got:       # a frame per key costs more than the rule; most keys give no row in most micro-batches
-            yield pd.DataFrame(dict(zip(rule.out, map(list, zip(*got)))))
+                state.setTimeoutTimestamp(max((int(min(timers)) + SHIFT_US) // 1000 + 1, mark_ms + 1))
+        if len(got["g"]):
+            whose = of(got["g"])
+            out = {c: pd.Series(whose[c]).mask((whose[NULLS] >> k & 1) == 1, None) if whose[c].dtype == object
+                   else pd.arrays.IntegerArray(whose[c].astype(np.int64), (whose[NULLS] >> k & 1) == 1) for k, c in enumerate(rule.keys)}
+            yield pd.DataFrame({**out, **{c: got[c] for c in rule.out}})
     return run
 
 
@@ -172,7 +258,10 @@ def watermarked(stream: DataFrame, delay_us: int = 0) -> DataFrame:
     return out
 
 
-def apply_rule(stream: DataFrame, keys: list[str], rule: Rule, schema: str, delay_us: int) -> DataFrame:
-    """``stream`` has the keys, t_us, event_id, kind and ts (``watermarked``)."""
-    return stream.select(*keys, "t_us", "event_id", "kind", "ts").groupBy(*keys).applyInPandasWithState(
-        reordered(rule, delay_us <= 0), schema, f"{BUFFER}, {rule.state}", "append", "EventTimeTimeout")
+def apply_rule(stream: DataFrame, rule: Rule, schema: str, delay_us: int) -> DataFrame:
+    """``stream`` has the rule's keys, t_us, event_id, kind and ts (``watermarked``)."""
+    nulls = sum((F.when(F.col(c).isNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(rule.keys)), F.lit(0))
+    numbers = {f.name for f in stream.schema if f.dataType.typeName() != "string"}
+    keys = [F.coalesce(c, F.lit(0)).alias(c) if c in numbers else F.col(c) for c in rule.keys]
+    return stream.select(bucket(rule.keys).alias("_bucket"), *keys, nulls.alias(NULLS), "t_us", "event_id", "kind", "ts") \
+        .groupBy("_bucket").applyInPandasWithState(reordered(rule, delay_us <= 0), schema, "waiting binary, kept binary", "append", "EventTimeTimeout")

@@ -42,21 +42,21 @@ STATE_SCHEMA = "session_id long, event_id long, state string, t_us long, eff_us
 def stream_speech_segments(stream: DataFrame, delay_us: int = 0) -> DataFrame:
     """State per (session, party): the last edge. Emits a segment at the END after a START. ``stream`` is ``watermarked``."""
     edges = seg.edges(stream, "ts").withColumnRenamed("edge", "kind")
-    return apply_rule(edges, ["session_id", "party"], Segments(), SEG_SCHEMA, delay_us)
+    return apply_rule(edges, Segments(), SEG_SCHEMA, delay_us)
 
 
 def stream_debounce(stream: DataFrame, p: Params, delay_us: int = 0) -> DataFrame:
     """State per session: the pending END. Any START/END cancels it; the event-time
     timeout at END + delay emits the fire. ``stream`` is ``watermarked``."""
     e = stream.where(F.col("event_type").isin(USER_START, USER_END)).withColumnRenamed("event_type", "kind")
-    return apply_rule(e, ["session_id"], Debounce(p.us(p.final_transcript_timeout)), DEB_SCHEMA, delay_us)
+    return apply_rule(e, Debounce(p.us(p.final_transcript_timeout)), DEB_SCHEMA, delay_us)
 
 
 def stream_agent_state(stream: DataFrame, p: Params, gap_us: int | None = None, delay_us: int = 0) -> DataFrame:
     """State per session: the newest request (not yet known to be kept) and the last kept
     state (waiting for its end). With ``gap_us`` a session idle for so long is closed and starts anew; without, sessions close when the
     stream ends. ``stream`` is ``watermarked``."""
-    return apply_rule(stream.withColumnRenamed("event_type", "kind"), ["session_id"], AgentState(p, gap_us), STATE_SCHEMA, delay_us)
+    return apply_rule(stream.withColumnRenamed("event_type", "kind"), AgentState(p, gap_us), STATE_SCHEMA, delay_us)
 
 
 # --- throttle ----------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Streams: rows out of order and late, sinks that hold each batch once, tails per trigger, no reserved keys."""
 
+import os
 import sys
 
 import pandas as pd
@@ -162,3 +163,88 @@ def test_upsert_and_snapshots(spark):
         s.compact()
     s.folded.commit = commit
     assert s.current().count() == 4 and s.read().count() == 7
+
+
+class Marked(Held):
+    """``Held`` with a watermark that moves."""
+
+    mark = -ordered.SHIFT_US
+
+    def getCurrentWatermarkMs(self):
+        return (self.mark + ordered.SHIFT_US) // 1000
+
+
+def test_a_bucket_of_keys_costs_one_call():
+    """Shuffled segments of 3,000 keys in one group: rows wait for the watermark, all keys go through in one step."""
+    run, state, calls = ordered.reordered(ordered.Segments(), False), Marked(), []
+    keys = [(s, p) for s in range(1499) for p in ("user", "agent")] + [(None, "user"), (0, None)]
+    rows = [(s or 0, p, (s is None) + 2 * (p is None), t, 10 * k + t // 1000, kind)
+            for k, (s, p) in enumerate(keys) for t, kind in ((3000, "end"), (1000, "start"), (2000, "start"), (9000, "end"))]
+    frame = pd.DataFrame(rows, columns=["session_id", "party", ordered.NULLS, "t_us", "event_id", "kind"])
+    sys.setprofile(lambda f, what, arg: calls.append(what))
+    assert list(run((7,), iter([frame[:5000], frame[5000:]]), state)) == []
+    state.mark = 5000
+    (got,) = run((7,), iter([]), state)
+    sys.setprofile(None)
+    assert len(calls) < 60_000, len(calls)                       # 20 a key
+    out = {tuple(r) for r in got.astype(object).where(got.notna(), None).values.tolist()}
+    assert len(got) == len(keys) and out == {(s, p, 10 * k + 2, 10 * k + 3, 2000, 3000) for k, (s, p) in enumerate(keys)}
+    state.mark = 20_000
+    assert list(run((7,), iter([]), state)) == [] and state.exists
+
+
+def plain_states(events, p, gap_us, marks):
+    """Agent states row by row: released rows behind each mark, then sessions whose time is over."""
+    names = {UE: ("thinking", p.us(p.thinking_delay)), AS: ("speaking", 0), AE: ("listening", 0)}
+    out, held, done = [], {}, -1 << 60
+    for mark in marks:
+        for t, i, session, kind in sorted(e for e in events if done < e[0] <= mark):
+            asked = [] if session in held else [("initializing", -1, 0)]
+            s = held.setdefault(session, {"c": None, "o": None})
+            for state, ident, delay in asked + ([(names[kind][0], i, names[kind][1])] if kind in names else []):
+                if s["c"] is not None and t >= s["c"][3]:
+                    out += [(session, *s["o"], s["c"][3])] if s["o"] else []
+                    s["o"] = s["c"]
+                s["c"] = (ident, state, t, t + delay)
+            s["last"] = t
+        done = mark
+        for session, s in list(held.items()):
+            if (ordered.END_US if gap_us is None else s["last"] + gap_us) <= mark:
+                out += [(session, *s["o"], s["c"][3])] if s["o"] else []
+                out.append((session, *s["c"], None))
+                del held[session]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("gap_us", [None, 5 * HOUR_US])
+def test_agent_states_of_a_bucket_equal_the_plain_rule(gap_us):
+    events = [((k * 7919 % 4001) * HOUR_US // 50, k, k * 31 % 9, [US, UE, AS, AE, "vad_inference_done"][k * 13 % 5]) for k in range(1200)]
+    marks = [10 * HOUR_US, 11 * HOUR_US, 30 * HOUR_US, 55 * HOUR_US, 100 * HOUR_US, ordered.END_US + 1000]
+    run, state, out, done = ordered.reordered(ordered.AgentState(EVENTS, gap_us), False), Marked(), [], -1
+    for mark in marks:                       # the rows come in one call, the watermark in the next one
+        new = pd.DataFrame([(e[2], 0, e[0], e[1], e[3]) for e in events if done < e[0] <= mark],
+                           columns=["session_id", ordered.NULLS, "t_us", "event_id", "kind"])
+        for frames, at in (([new], done), ([], mark)):
+            state.mark = at
+            for got in run((0,), iter(frames), state):
+                out += got.astype(object).where(got.notna(), None).values.tolist()
+        done = mark
+    assert sorted(map(tuple, out), key=str) == plain_states(events, EVENTS, gap_us, marks) and not state.exists
+    assert len(out) > 700
+
+
+def test_input_is_staged_in_one_pass(spark):
+    """A step reads its own folder; no step goes over the whole input again."""
+    from parley.streaming.runner import run_available_now
+
+    ev = ev_rows(spark, [(1, k, k * HOUR_US, US) for k in range(40)] + [(1, 99, None, US)])
+    seen, folders = [], []
+
+    def start(stream, out):
+        folders.append(sorted(f for f in os.listdir(out.removesuffix("out") + "src") if "=" in f))
+        return stream.writeStream.foreachBatch(lambda batch, b: seen.append(sorted(r.event_id for r in batch.collect())))
+
+    run_available_now(spark, "staged", ev, start, slices=4, order_col="t_us", at=[10 * HOUR_US, 10 * HOUR_US, 20 * HOUR_US, 900 * HOUR_US],
+                      read_result=lambda out: None)
+    assert [s for s in seen if s] == [[*range(10), 99], [*range(10, 20)], [*range(20, 40)]] and len(folders) == 4
+    assert folders[0] == [f"_step={k}" for k in range(3)]         # all there before the first step; none for what has no rows
