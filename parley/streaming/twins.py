@@ -9,7 +9,9 @@ out of order by up to the watermark's delay, where the rule has one; see ``order
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +23,14 @@ from parley.operators import turns
 from parley.operators.segments import USER_END, USER_START
 from parley.params import Params
 from parley.session import state_path
-from parley.streaming.ordered import END_US, SHIFT_US, AgentState, Debounce, Segments, apply_rule, watermarked
+from parley.streaming.ordered import (END_US, NEVER, SHIFT_US, AgentState, Debounce, Segments, apply_rule, bucket, pack, stacked, unpack,
+                                      watermarked)
 from parley.streaming.runner import Progress, run_available_now
 from parley.streaming.sinks import BatchSink, UpsertSink
 
 SLICES = 4  # time-ordered input files, one per micro-batch
 
 
-def _concat(pdfs) -> pd.DataFrame:
-    parts = list(pdfs)
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
-
-
 # --- rules over events in time order ----------------------------------------------------
 SEG_SCHEMA = "session_id long, party string, start_event_id long, end_event_id long, start_us long, end_us long"
 DEB_SCHEMA = "session_id long, end_event_id long, end_us long, fire_us long"
@@ -61,41 +59,56 @@ def stream_agent_state(stream: DataFrame, p: Params, gap_us: int | None = None,
 
 # --- throttle ----------------------------------------------------------------------------
 def _throttle_fn(interval: int, gap_us: int | None):
+    """The greedy rule for a bucket of streams; its state is a packed table with a row for each of them."""
     cols = ["stream_id", "emit_idx", "seq", "t_us", "is_tail", "delta"]
+    held = ["stream_id", "last_emit", "n", "buf", "last_seq", "last_t"]
 
     def fn(key, pdfs, state):
-        s = list(state.get) if state.exists else [None, 0, "", None, None]  # last_emit, n, buf, last_seq, last_t
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], s[1] + 1, s[3], s[4], True, s[2]))
+        rows = stacked(list(pdfs), ["stream_id", "seq", "t_us", "delta"])
+        states = stacked(unpack(state.get[0]) if state.exists else [], held)
+        number = pd.factorize(pd.concat([states["stream_id"], rows["stream_id"]], ignore_index=True), use_na_sentinel=False)[0]
+        s = {g: list(v) for g, v in zip(number[:len(states)].tolist(), zip(*(states[c].tolist() for c in held)))}
+        g, seq, t = number[len(states):], rows["seq"].to_numpy("int64"), rows["t_us"].to_numpy("int64")
+        order = np.lexsort((seq, g))
+        g, seq, t = (c[order].tolist() for c in (g, seq, t))
+        name, delta = (rows[c].to_numpy()[order].tolist() for c in ("stream_id", "delta"))
+        out, i = [], 0
+        while i < len(g):
+            who = g[i]
+            _, last, n, buf, *_ = s.get(who, (None, NEVER, 0, "", 0, 0))
+            first, end = i, bisect_right(g, who, i)
+            for i in range(first, end):                          # sequential by definition
+                if last == NEVER or t[i] - last >= interval:
+                    n, last = n + 1, t[i]
+                    out.append((name[i], n, seq[i], last, False, buf + "".join(delta[first:i + 1])))
+                    buf, first = "", i + 1
+            i = end
+            s[who] = [name[end - 1], last, n, buf + "".join(delta[first:end]), seq[end - 1], t[end - 1]]
+        mark_ms = state.getCurrentWatermarkMs()
+        ends = {who: ((END_US if gap_us is None else v[5] + gap_us) + SHIFT_US) // 1000 for who, v in s.items()}
+        for who, end in ends.items():
+            if end < mark_ms:
+                _, _, n, buf, last_seq, last_t = v = s.pop(who)
+                out.append((v[0], n + 1, last_seq, last_t, True, buf))
+        if s:
+            state.update((pack(pd.DataFrame(list(s.values()), columns=held)),))
+            state.setTimeoutTimestamp(max(mark_ms, min(end for who, end in ends.items() if who in s)))
+        elif state.exists:
             state.remove()
+        if out:
             yield pd.DataFrame(out, columns=cols)
-            return
-        pdf = _concat(pdfs)
-        if len(pdf):
-            pdf = pdf.sort_values("seq", kind="stable")
-            for sq, t, d in zip(pdf["seq"], pdf["t_us"], pdf["delta"]):
-                s[2] += d
-                if s[0] is None or t - s[0] >= interval:
-                    s[1] += 1
-                    out.append((key[0], s[1], int(sq), int(t), False, s[2]))
-                    s[0], s[2] = int(t), ""
-                s[3], s[4] = int(sq), int(t)
-            state.update(tuple(s))
-            state.setTimeoutTimestamp(((END_US if gap_us is None else s[4] + gap_us) + SHIFT_US) // 1000)
-        yield pd.DataFrame(out, columns=cols)
 
     return fn
 
 
 def stream_throttle(stream: DataFrame, p: Params, gap_us: int | None = None) -> DataFrame:
-    """State per reply stream: last emit time, emitted count, text since the last emit; the tail is flushed when the
-    stream has been idle for ``gap_us`` (a chunk after that starts the reply anew), without it at the end of all streams.
+    """State per reply stream (dealt to buckets, see ``ordered``): last emit time, emitted count, text since the last emit; the
+    tail is flushed when the stream has been idle for ``gap_us`` (a chunk after that starts the reply anew), without it at the end of all streams.
     ``stream`` is ``watermarked``."""
     iv = p.us(p.throttle_interval)
-    return stream.groupBy("stream_id").applyInPandasWithState(
-        _throttle_fn(iv, gap_us), tx.THROTTLE_SCHEMA,
-        "last_emit long, n int, buf string, last_seq int, last_t long", "append", "EventTimeTimeout")
+    rows = stream.select(bucket(["stream_id"]).alias("_bucket"), "stream_id", "seq", "t_us", "delta", "ts")
+    return rows.groupBy("_bucket").applyInPandasWithState(
+        _throttle_fn(iv, gap_us), tx.THROTTLE_SCHEMA, "streams binary", "append", "EventTimeTimeout")
 
 
 # --- telemetry tail -----------------------------------------------------------------------

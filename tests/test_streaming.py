@@ -248,3 +248,33 @@ def test_input_is_staged_in_one_pass(spark):
                       read_result=lambda out: None)
     assert [s for s in seen if s] == [[*range(10), 99], [*range(10, 20)], [*range(20, 40)]] and len(folders) == 4
     assert folders[0] == [f"_step={k}" for k in range(3)]         # all there before the first step; none for what has no rows
+
+
+@pytest.mark.parametrize("gap_us", [None, 1_000_000])
+def test_throttle_of_a_bucket_of_streams(gap_us):
+    """1,500 streams in one group, their chunks over several triggers: one call a trigger, each stream by the plain rule."""
+    run, state, calls, out = twins._throttle_fn(200, gap_us), Marked(), [], []
+    chunk = [(f"s{k}" if k else None, n, 100 * n * (k % 5 + 1), f"{n},") for k in range(1500) for n in range(1, 9)]
+    marks = [0, 350, 1200, 5000, ordered.END_US + 1000]
+    for lo, hi in zip(marks[:-1], marks[1:]):
+        rows_ = [c for c in chunk if lo < c[2] <= hi]
+        sys.setprofile(lambda f, what, arg: calls.append(what) if what == "call" else None)
+        state.mark = lo
+        for got in run((0,), iter([pd.DataFrame(rows_[::-1], columns=["stream_id", "seq", "t_us", "delta"])] if rows_ else []), state):
+            out += got.values.tolist()
+        state.mark = hi
+        for got in run((0,), iter([]), state):
+            out += got.values.tolist()
+        sys.setprofile(None)
+    want = []
+    for k in range(1500):
+        mine, last, n, buf = [c for c in chunk[8 * k:8 * k + 8]], None, 0, ""
+        for name, seq, t, delta in mine:
+            buf += delta
+            if last is None or t - last >= 200:
+                n, last = n + 1, t
+                want.append([name, n, seq, t, False, buf])
+                buf = ""
+        want.append([name, n + 1, seq, t, True, buf])
+    assert sorted(out, key=str) == sorted(want, key=str) and not state.exists
+    assert len(calls) < 45_000, len(calls)                        # 4 triggers, 1,500 streams, 12,000 chunks
