@@ -600,6 +600,27 @@ def test_search_walk_skips_and_is_exact():
     assert shard.scored < 0.5 * shard.bounds
 
 
+def test_search_scores_adjacent_blocks_in_one_product(monkeypatch):
+    """Blocks that the same queries reach are scored together; a block scored ahead isn't found twice."""
+    rng = np.random.default_rng(6)
+    texts = [(i, {int(t): int(c) for t, c in zip(rng.integers(0, 200, 30), rng.integers(1, 5, 30))}) for i in range(640)]
+    shard, lens = shard_of(texts, search.Bm25(k=6, block=8, batch=64))
+    products, tile = [], search._Shard._tile
+    monkeypatch.setattr(search._Shard, "_tile", lambda self, *blocks: products.append(blocks) or tile(self, *blocks))
+    queries = [texts[i][1] for i in range(0, 640, 10)]
+    owner = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+    terms, idf = np.concatenate([sorted(q) for q in queries]).astype(np.int64), rng.random(len(owner)) * 5 + 0.01
+    want = []
+    for n in range(len(queries)):
+        w = dict(zip(terms[owner == n].tolist(), idf[owner == n]))
+        s = [(-round(sum(w[t] * c * 2.2 / (c + 1.2 * (.25 + .75 * lens[d] / lens.mean())) for t, c in sorted(x.items()) if t in w), 6), i) for d, (i, x) in enumerate(texts)]
+        want.append(sorted(x for x in s if x[0] < 0)[:6])
+    for share in (0.0, 0.9):
+        q, ids, score = shard.search(len(queries), owner, terms, idf, np.array([-share * w[-1][0] for w in want]))
+        assert all(ids[q == n].tolist() == [i for _, i in w] and np.allclose(score[q == n], [-x for x, _ in w], atol=2e-6) for n, w in enumerate(want))
+    assert len(products) < 150, len(products)        # 80 blocks, two searches; the first also scores each query's best block
+
+
 def test_search_long_query_is_bounded():
     import tracemalloc
 
